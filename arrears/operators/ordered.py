@@ -27,6 +27,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arrears.session import cut_lineage
+
 DEFAULT_ACCURACY = 10_000
 MAX_FETCH = 100_000
 N_BUCKETS = 256
@@ -95,8 +97,8 @@ def order_statistics(x: DataFrame, n: int, ranks: Sequence[int],
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
                     rel_err: float = 1.0 / DEFAULT_ACCURACY) -> list[float | None]:
     """Exact quantiles of ``col`` (linear interpolation, NaN/null ignored)."""
-    x = df.select(F.col(col).cast("double").alias("x")).filter(
-        F.col("x").isNotNull() & ~F.isnan("x"))
+    x = cut_lineage(df.select(F.col(col).cast("double").alias("x")).filter(
+        F.col("x").isNotNull() & ~F.isnan("x")))
     n = x.count()
     if n == 0:
         return [None for _ in probs]
@@ -115,8 +117,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Seque
     full group (checked, never silently wrong).
     """
     keys = list(keys)
-    x = df.select(*keys, F.col(col).cast("double").alias("_x")).filter(
-        F.col("_x").isNotNull() & ~F.isnan("_x"))
+    x = cut_lineage(df.select(*keys, F.col(col).cast("double").alias("_x")).filter(
+        F.col("_x").isNotNull() & ~F.isnan("_x")))
     eps = 2.0 / accuracy
     lo_probs = [max(0.0, p - eps) for p in probs]
     hi_probs = [min(1.0, p + eps) for p in probs]
@@ -183,13 +185,17 @@ def _bucketize(df: DataFrame, ord_col: str, n_buckets: int) -> DataFrame:
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                 partition_cols: Sequence[str] = (), descending: bool = False,
-                n_buckets: int = N_BUCKETS) -> DataFrame:
+                n_buckets: int = N_BUCKETS, materialize: bool = True) -> DataFrame:
     """Add ``<c>_cum`` (inclusive running sum) for each ``c`` of ``sum_cols``.
 
     ``df`` must hold one row per (partition, order value).  Order is
     ascending by ``order_col`` (or descending) within ``partition_cols``.
+    The input is read twice (boundary sketch, then the sums); it is cut from
+    its lineage first (reliable checkpoint) unless ``materialize=False``.
     """
     part = list(partition_cols)
+    if materialize:
+        df = cut_lineage(df)
     ordc = F.col(order_col).cast("double")
     d = df.withColumn("_ord", -ordc if descending else ordc)
     d = _bucketize(d, "_ord", n_buckets)
@@ -207,10 +213,12 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 
 def with_next(df: DataFrame, order_col: str, cols: Sequence[str],
               partition_cols: Sequence[str] = (), descending: bool = False,
-              n_buckets: int = N_BUCKETS) -> DataFrame:
+              n_buckets: int = N_BUCKETS, materialize: bool = True) -> DataFrame:
     """Add ``<c>_next``: value of ``c`` on the next row in the given order
     (null on the last row), without a global window."""
     part = list(partition_cols)
+    if materialize:
+        df = cut_lineage(df)
     ordc = F.col(order_col).cast("double")
     d = df.withColumn("_ord", -ordc if descending else ordc)
     d = _bucketize(d, "_ord", n_buckets)

@@ -15,6 +15,7 @@ from arrears.operators import features as feat
 from arrears.operators.clean import fixture_clean
 from arrears.operators.fit import Fitted, fit
 from arrears.operators.split import assign_split
+from arrears.session import cut_lineage
 from arrears.sources.tables import receivables
 
 KEYS = ["order_key", "line_no", "part_key", "supp_key"]
@@ -33,9 +34,17 @@ def fitted(spark: SparkSession, sf_dir: str, seed: int = K.FIXTURE_SEED) -> Fitt
     return _FITS[key]
 
 
+_FEATS: dict = {}
+
+
 def featurized(spark: SparkSession, sf_dir: str, seed: int = K.FIXTURE_SEED,
                mode: str = "offline") -> DataFrame:
-    return feat.transform(base(spark, sf_dir, seed), fitted(spark, sf_dir, seed), mode)
+    """Feature rows of every split, materialised once (reliable checkpoint)
+    like the reference's processed split files."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), seed, mode)
+    if key not in _FEATS:
+        _FEATS[key] = cut_lineage(feat.transform(base(spark, sf_dir, seed), fitted(spark, sf_dir, seed), mode))
+    return _FEATS[key]
 
 
 def scorecards(df: DataFrame) -> DataFrame:
