@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arrears.plans import catalog_batch, catalog_compare, catalog_eval, catalog_fit  # noqa: F401
+from arrears.plans import catalog_batch, catalog_compare, catalog_eval, catalog_fit, catalog_models  # noqa: F401
 from arrears.plans.base import featurized, scorecards
 
 
