@@ -38,6 +38,7 @@ def upload_file(spark, sf_dir) -> str:
     cols.append(F.when(ok % 107 == 0, F.lit("")).otherwise(F.col("district")).alias("kecamatan"))
     cols.append(F.when(ok % 109 == 0, F.lit("")).otherwise(F.col("customer_group")).alias("nama_group_customer"))
     cols.append(F.col("remark").alias("keterangan"))
+    cols.append(F.date_format("invoice_date", "d/M/yyyy").alias("tanggal"))  # day-first, unknown header kept
     t.select(*cols).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
     _UPLOADS[key] = path
     return path
@@ -145,3 +146,45 @@ def s07_experiment_tree(spark, sf_dir):
     back = artifacts.read_optional_json(spark, path, artifacts.METRICS_TREE)
     flat = artifacts.flatten_experiments(back)
     return flat.select("experiment", "model", "evaluation", "metric", r9("value", "value"))
+
+
+# ------------------------------------------------------------------ streaming twins
+_STREAMS: dict = {}
+
+
+def stream_outputs(spark, sf_dir) -> str:
+    from arrears.streaming import scoring
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _STREAMS:
+        _STREAMS[key] = scoring.run(spark, upload_file(spark, sf_dir), fitted(spark, sf_dir), scorecards,
+                                    f"score_{abs(hash(key))}")
+    return _STREAMS[key]
+
+
+@query("r01_stream_scoring", S.with_ctes(_BATCH_CTES, """
+SELECT order_key, line_no, part_key, supp_key, round(score_a, 9) AS score_a, round(score_b, 9) AS score_b, error FROM bs"""))
+def r01_stream_scoring(spark, sf_dir):
+    """R1 + R2: the upload files as a stream scored against the static
+    fitted tables; accepted and rejected sinks read back (batch twin: j10)."""
+    out = stream_outputs(spark, sf_dir)
+    acc = spark.read.parquet(os.path.join(out, "accepted"))
+    rej = spark.read.parquet(os.path.join(out, "rejected"))
+    allr = acc.unionByName(rej)
+    return allr.select(*[F.col(k).cast("long" if k != "line_no" else "int").alias(k) for k in KEYS],
+                       r9("score_a", "score_a"), r9("score_b", "score_b"), "error")
+
+
+@query("r03_decision_windows", S.with_ctes(_BATCH_CTES + ["""dw AS (SELECT u.*, b.score_a, b.score_b,
+   CAST(CAST(time_bucket(INTERVAL '7 days', CAST(x.invoice_date AS TIMESTAMP), TIMESTAMP '1970-01-01') AS DATE)
+        AS VARCHAR) AS window_start
+ FROM up u JOIN bs b USING (order_key, line_no, part_key, supp_key)
+ JOIN split x USING (order_key, line_no, part_key, supp_key) WHERE b.error IS NULL)"""], """
+SELECT window_start, count(*) AS n_decisions,
+       CAST(sum(CASE WHEN score_a >= 0.5 OR score_b >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_high_risk,
+       round(avg(score_a), 9) AS mean_score FROM dw GROUP BY window_start"""))
+def r03_decision_windows(spark, sf_dir):
+    """Running decision summary per 7-day event-time window (watermarked,
+    update mode), final state per window."""
+    from arrears.streaming import scoring
+    w = scoring.final_windows(spark, stream_outputs(spark, sf_dir))
+    return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n_decisions", "n_high_risk", r9("mean_score", "mean_score"))
