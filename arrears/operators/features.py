@@ -47,9 +47,23 @@ assert len(FEATURES) == 69
 
 
 def _lookup(df: DataFrame, fitted: Fitted, dim: str, key: Column, cols: list[str]) -> DataFrame:
+    """Left equi-join against one fitted dim.  Dims with label codes join on
+    the label (missing -> 'nan', one row per label), so a missing key still
+    finds its code; its statistics are then blanked (a missing key never
+    matches a statistic in the reference) and fall back to the defaults.
+    Plain equality keys keep the generated code small."""
+    if "code" in cols:
+        t = dim_table(fitted, dim, cols, by_label=True)
+        ren = t.select(F.col("label").alias(f"_k_{dim}"), *[F.col(c).alias(f"_{dim}_{c}") for c in cols])
+        out = df.join(ren, F.coalesce(key, F.lit("nan")) == F.col(f"_k_{dim}"), "left").drop(f"_k_{dim}")
+        stats = [c for c in cols if c != "code"]
+        if stats:
+            out = out.select(*[F.when(key.isNotNull(), F.col(c)).alias(c) if c in {f"_{dim}_{s}" for s in stats}
+                               else F.col(c) for c in out.columns])
+        return out
     t = dim_table(fitted, dim, cols)
     ren = t.select(F.col("key").alias(f"_k_{dim}"), *[F.col(c).alias(f"_{dim}_{c}") for c in cols])
-    return df.join(ren, key.eqNullSafe(F.col(f"_k_{dim}")), "left").drop(f"_k_{dim}")
+    return df.join(ren, key == F.col(f"_k_{dim}"), "left").drop(f"_k_{dim}")
 
 
 def pct_rank_within(df: DataFrame, part: str, col: str, out: str) -> DataFrame:
@@ -68,6 +82,9 @@ def transform(df: DataFrame, fitted: Fitted, mode: str = "offline") -> DataFrame
     g = fitted.g
     gl = F.lit(g["late_rate"])
     amount = F.col("amount").cast("double")
+    if mode == "offline":
+        # W1 on the narrow input rows (the shuffle-join back carries ~20 columns, not ~90)
+        df = pct_rank_within(df, "split", "amount", "amount_pct")
     out = df.withColumn("is_group_customer", (~F.col("customer_group").eqNullSafe(F.lit(K.NON_GROUP))).cast("int")) \
             .withColumn("has_remark", (~F.col("remark").eqNullSafe(F.lit(K.NO_REMARK))).cast("int"))
     if mode == "offline":
@@ -132,10 +149,10 @@ def transform(df: DataFrame, fitted: Fitted, mode: str = "offline") -> DataFrame
     for d in LE_DIMS:  # J11: unseen -> number of classes
         cols[f"code_{d}"] = F.coalesce(F.col(f"_{d}_code"), F.lit(fitted.n_classes.get(d, 0))).cast("int")
 
-    keep = [c for c in df.columns if c not in cols] + ["amount_bin"]
-    out = out.select(*keep, *[cols[k].alias(k) for k in cols])
+    keep = [c for c in df.columns if c not in cols and c != "amount_pct"] + ["amount_bin"]
     if mode == "offline":
-        out = pct_rank_within(out, "split", "amount", "amount_pct")
+        cols["amount_pct"] = F.col("amount_pct")
+    out = out.select(*keep, *[cols[k].alias(k) for k in cols])
     return out.select(*keep, *FEATURES)
 
 

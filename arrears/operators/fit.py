@@ -202,8 +202,14 @@ def _fit(train: DataFrame, with_medians: bool) -> Fitted:
     return Fitted(g=g, dims=dims, dim_sizes=dim_sizes, n_classes=n_classes)
 
 
-def dim_table(fitted: Fitted, dim: str, cols: list[str]) -> DataFrame:
-    t = fitted.dims.filter(F.col("dim") == dim).select("key", *cols)
+def dim_table(fitted: Fitted, dim: str, cols: list[str], by_label: bool = False) -> DataFrame:
+    t = fitted.dims.filter(F.col("dim") == dim)
+    if by_label:
+        # one row per label; a real key wins over the missing-key row
+        t = t.groupBy(F.coalesce("key", F.lit("nan")).alias("label")).agg(
+            F.max_by(F.struct(*cols), F.col("key").isNotNull()).alias("_r")).select("label", "_r.*")
+    else:
+        t = t.filter(F.col("key").isNotNull()).select("key", *cols)
     n = fitted.dim_sizes.get(dim)
     # broadcast only a dim whose key count was measured at fit time
     return F.broadcast(t) if n is not None and n <= BROADCAST_MAX_KEYS else t

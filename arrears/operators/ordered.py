@@ -23,6 +23,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,47 +52,74 @@ def _positions(n: int, p: float) -> tuple[int, int, float]:
 def order_statistics(x: DataFrame, n: int, ranks: Sequence[int],
                      rel_err: float = 1.0 / DEFAULT_ACCURACY,
                      max_fetch: int = MAX_FETCH) -> dict[int, float]:
-    """Exact 0-based order statistics of single double column ``x``."""
+    """Exact 0-based order statistics of the double column ``x``.
+
+    All wanted ranks narrow together: per round one sketch job (every
+    bracket's bounds) and one counting job (rows below / inside every
+    bracket); a bracket small enough is fetched and sorted on the driver
+    (at most ``max_fetch`` values).  Brackets are guaranteed by the sketch's
+    rank error; a violated guarantee falls back to a wider bracket.
+    """
     out: dict[int, float] = {}
-    for k in sorted(set(ranks)):
-        sub, below, m = x, 0, n  # rank k is at local rank k-below of ``sub``
-        lo_v, hi_v = -math.inf, math.inf
-        while True:
-            kk = k - below
-            if m <= max_fetch:
-                vals = sorted(r[0] for r in sub.collect())
-                out[k] = float(vals[kk])
-                break
+    # state per rank: (lo, hi, rows below lo, rows inside [lo, hi])
+    state = {k: (-math.inf, math.inf, 0, n) for k in set(ranks)}
+    for _ in range(64):
+        pending = {k: v for k, v in state.items() if k not in out}
+        if not pending:
+            break
+        small = {k: v for k, v in pending.items() if v[3] <= max_fetch}
+        if small:
+            cond = None
+            for lo, hi, _, _ in set(small.values()):
+                c = (F.col("x") >= lo) & (F.col("x") <= hi)
+                cond = c if cond is None else cond | c
+            vals = np.sort(np.array([r[0] for r in x.filter(cond).collect()], dtype=np.float64))
+            for k, (lo, hi, below, _) in small.items():
+                inside = vals[(vals >= lo) & (vals <= hi)]
+                out[k] = float(inside[k - below])
+            continue
+        big = {k: v for k, v in pending.items() if v[3] > max_fetch}
+        probs, keys = [], []
+        for k, (lo, hi, below, m) in big.items():
+            sub_rank = k - below
             margin = 2.0 * rel_err
-            p_lo = max(0.0, kk / m - margin)
-            p_hi = min(1.0, (kk + 1) / m + margin)
-            lo_v, hi_v = sub.approxQuantile("x", [p_lo, p_hi], rel_err)
-            if lo_v == hi_v:
-                cnt = sub.agg(F.sum(F.when(F.col("x") < lo_v, 1).otherwise(0)).alias("b"),
-                              F.sum(F.when(F.col("x") <= lo_v, 1).otherwise(0)).alias("u")).first()
-                if (cnt.b or 0) <= kk < (cnt.u or 0):
-                    out[k] = float(lo_v)
-                    break
-            if p_lo == 0.0:
-                lo_v = -math.inf
-            if p_hi == 1.0:
-                hi_v = math.inf
-            cnt = sub.agg(
-                F.sum(F.when(F.col("x") < lo_v, 1).otherwise(0)).alias("b"),
-                F.sum(F.when((F.col("x") >= lo_v) & (F.col("x") <= hi_v), 1).otherwise(0)).alias("m"),
-            ).first()
-            b, mm = int(cnt.b or 0), int(cnt.m or 0)
-            if not (b <= kk < b + mm) or mm >= m:
-                # sketch guarantee missed (should not happen): take the full range
-                if m <= 50 * max_fetch:
-                    vals = sorted(r[0] for r in sub.collect())
-                    out[k] = float(vals[kk])
-                    break
-                rel_err /= 4.0
-                continue
-            below += b
-            sub = sub.filter((F.col("x") >= lo_v) & (F.col("x") <= hi_v))
-            m = mm
+            probs += [max(0.0, sub_rank / m - margin), min(1.0, (sub_rank + 1) / m + margin)]
+            keys.append(k)
+        # the sketch runs on the union of the current brackets
+        cond = None
+        for lo, hi, _, _ in set(big.values()):
+            c = (F.col("x") >= lo) & (F.col("x") <= hi)
+            cond = c if cond is None else cond | c
+        sub = x.filter(cond)
+        qs = sub.approxQuantile("x", probs, rel_err) if len(set(big.values())) == 1 else None
+        new = {}
+        for i, k in enumerate(keys):
+            lo0, hi0, below0, m0 = big[k]
+            if qs is None:  # several disjoint brackets: sketch each one
+                one = x.filter((F.col("x") >= lo0) & (F.col("x") <= hi0))
+                lo_v, hi_v = one.approxQuantile("x", probs[2 * i:2 * i + 2], rel_err)
+            else:
+                lo_v, hi_v = qs[2 * i], qs[2 * i + 1]
+            if probs[2 * i] == 0.0:
+                lo_v = lo0
+            if probs[2 * i + 1] == 1.0:
+                hi_v = hi0
+            new[k] = (lo_v, hi_v)
+        aggs = []
+        for i, k in enumerate(keys):
+            lo_v, hi_v = new[k]
+            aggs += [F.sum(F.when(F.col("x") < lo_v, 1).otherwise(0)).alias(f"b{i}"),
+                     F.sum(F.when((F.col("x") >= lo_v) & (F.col("x") <= hi_v), 1).otherwise(0)).alias(f"m{i}")]
+        row = x.agg(*aggs).first()
+        for i, k in enumerate(keys):
+            b, mm = int(row[f"b{i}"] or 0), int(row[f"m{i}"] or 0)
+            lo0, hi0, below0, m0 = big[k]
+            if b <= k < b + mm and mm < m0:
+                state[k] = (new[k][0], new[k][1], b, mm)
+            elif new[k][0] == new[k][1] and b <= k < b + mm:
+                out[k] = float(new[k][0])          # a single heavy value holds the rank
+            else:
+                rel_err /= 4.0                      # guarantee missed: tighten and retry
     return out
 
 
@@ -103,7 +132,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     if n == 0:
         return [None for _ in probs]
     pos = [_positions(n, p) for p in probs]
-    stats = order_statistics(x, n, [r for k0, k1, _ in pos for r in (k0, k1)], rel_err)
+    stats = order_statistics(x, n, [r for k0, k1, _ in pos for r in (k0, k1)], rel_err, MAX_FETCH)
     return [lerp(stats[k0], stats[k1], t) for k0, k1, t in pos]
 
 

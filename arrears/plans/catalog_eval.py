@@ -375,3 +375,16 @@ def a45_decision_summary(spark, sf_dir):
         .withColumn("label_b", decide.risk_label("score_b", 0.5))
     s = decide.decision_summary(w)
     return s.select("n_decisions", "n_high_risk", r9("mean_score", "mean_score"))
+
+
+@query("f17_comparison_rows", S.with_ctes(S.scored_ctes() + [WIDE], """
+SELECT model, label, above_threshold, risk_level, count(*) AS n FROM (
+  SELECT 'a' AS model, score_a AS p FROM wide UNION ALL SELECT 'b', score_b FROM wide) t,
+  LATERAL (SELECT CASE WHEN p >= 0.5 THEN 'BERISIKO' ELSE 'LAYAK' END AS label, p >= 0.5 AS above_threshold,
+                  CASE WHEN p < 0.4 THEN 'low' WHEN p < 0.7 THEN 'medium' ELSE 'high' END AS risk_level) x
+GROUP BY ALL"""))
+def f17_comparison_rows(spark, sf_dir):
+    """per (invoice, model) probability, label, above-threshold flag and
+    level, summarised."""
+    c = decide.comparison_rows(_test_wide(spark, sf_dir), 0.5)
+    return c.groupBy("model", "label", "above_threshold", "risk_level").agg(F.count(F.lit(1)).alias("n"))

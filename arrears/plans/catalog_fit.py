@@ -279,3 +279,51 @@ def j01_group_stat_features(spark, sf_dir):
         aggs += [F.sum(f"{p}_tx_count").cast("long").alias(f"{p}_tx_count_sum"),
                  F.round(F.avg(f"{p}_avg_amount"), 4).alias(f"{p}_avg_amount_mean")]
     return df.groupBy("split").agg(*aggs)
+
+
+# ------------------------------------------------------------------ config-only feature families
+from arrears.functions import columns as C  # noqa: E402
+from arrears.operators import ordered as _ordered  # noqa: E402
+
+
+@query("p20_balance_features", S.with_ctes(S.base_ctes() + ["""gb AS (SELECT quantile_cont(balance, 0.01) AS lo,
+  quantile_cont(balance, 0.99) AS hi FROM split WHERE split = 'train')"""], f"""
+SELECT {_K}, round(least(greatest(balance, lo), hi), 6) AS balance_winsor, round(ln(1 + balance), 6) AS log_balance,
+       round(CASE WHEN amount <> 0 THEN 1 - balance / amount ELSE 0.0 END, 9) AS payment_ratio,
+       CAST(balance < amount AS INTEGER) AS has_partial_payment, round(amount - balance, 6) AS amount_minus_balance,
+       round(ln(1 + amount - balance), 6) AS log_amount_minus_balance
+FROM split CROSS JOIN gb"""))
+def p20_balance_features(spark, sf_dir):
+    """P20: remaining-balance features (winsor bounds fitted on train)."""
+    df = base(spark, sf_dir)
+    lo, hi = _ordered.exact_quantiles(df.filter(F.col("split") == "train"), "balance", [0.01, 0.99])
+    b = C.balance_features(df, lo, hi)
+    return b.select(*KEYS, r6("balance_winsor", "balance_winsor"), r6("log_balance", "log_balance"),
+                    r9("payment_ratio", "payment_ratio"), "has_partial_payment",
+                    r6("amount_minus_balance", "amount_minus_balance"),
+                    r6("log_amount_minus_balance", "log_amount_minus_balance"))
+
+
+@query("p21_calendar_features", S.with_ctes(S.base_ctes()[:3], """
+SELECT month(invoice_date) AS month, CAST(isodow(invoice_date) - 1 AS INTEGER) AS day_of_week,
+       quarter(invoice_date) AS quarter, CAST(week(invoice_date) AS INTEGER) AS week_of_year,
+       CAST(isodow(invoice_date) >= 6 AS INTEGER) AS is_weekend,
+       CAST(invoice_date = last_day(invoice_date) AS INTEGER) AS is_month_end, count(*) AS n
+FROM clean GROUP BY ALL"""))
+def p21_calendar_features(spark, sf_dir):
+    """P21 (+ P17: these are the leaky columns the model excludes)."""
+    c = C.calendar_features(base(spark, sf_dir))
+    return c.groupBy(F.col("month").cast("bigint").alias("month"), F.col("day_of_week").cast("int").alias("day_of_week"),
+                     F.col("quarter").cast("bigint").alias("quarter"), F.col("week_of_year").cast("int").alias("week_of_year"),
+                     "is_weekend", "is_month_end").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f18_prediction_ids", S.with_ctes(S.base_ctes(), f"""
+SELECT {_K}, 'pred_' || strftime(CAST(invoice_date AS TIMESTAMP), '%Y%m%d_%H%M%S') || '_'
+       || substr(md5(concat_ws('-', order_key, line_no, part_key, supp_key)), 1, 8) AS prediction_id
+FROM split WHERE split = 'test'"""))
+def f18_prediction_ids(spark, sf_dir):
+    """deterministic prediction ids (stamp + hash of the row key)."""
+    t = base(spark, sf_dir).filter(F.col("split") == "test")
+    key = F.concat_ws("-", *[F.col(k).cast("string") for k in KEYS])
+    return t.select(*KEYS, C.prediction_id(F.to_timestamp("invoice_date"), key).alias("prediction_id"))

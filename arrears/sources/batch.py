@@ -110,3 +110,26 @@ def input_summary(df: DataFrame) -> DataFrame:
     return df.select(F.col("amount").alias("jumlah"), F.col("customer").alias("kode_customer"),
                      F.col("salesperson").alias("nama_salesman"), F.col("division").alias("nama_divisi"),
                      F.col("category").alias("nama_kategori"), F.col("branch").alias("kode_cabang"))
+
+
+# FIXED VALUES: the reference's raw transaction columns and our names for them.
+RAW_COLUMNS = {
+    "KodeTransaksi": "invoice_id", "Tanggal": "invoice_date", "Umur": "age_days", "Jumlah": "amount",
+    "Sisa": "balance", "KodeCustomer": "customer", "NamaGroupCustomer": "customer_group",
+    "NamaSalesman": "salesperson", "NamaDivisi": "division", "NamaKategori": "category",
+    "NamaSubKategori": "subcategory", "KodeCabang": "branch", "Provinsi": "province", "Kota": "city",
+    "Kecamatan": "district", "Kelurahan": "subdistrict", "Keterangan": "remark",
+}
+RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
+
+
+def read_raw_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """S1 + P1: the raw invoice CSV with an explicit schema (never inferred);
+    day-first dates parsed, numbers cast with ``try_cast`` (bad -> null)."""
+    from arrears.operators.clean import parse_day_first
+    raw = spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    df = raw.withColumnsRenamed(RAW_COLUMNS)
+    return df.withColumn("invoice_date", parse_day_first("invoice_date")) \
+             .withColumn("age_days", F.col("age_days").try_cast("int")) \
+             .withColumn("amount", F.col("amount").try_cast("double")) \
+             .withColumn("balance", F.col("balance").try_cast("double"))
