@@ -11,8 +11,11 @@ def _points(spark, n=400, d=5, seed=11):
     rng = np.random.default_rng(seed)
     X = rng.normal(size=(n, d))
     X[50:60] = X[0]                      # duplicates -> exact ties
-    pdf = pd.DataFrame({"id": np.arange(n), "vec": list(X), "y": (rng.random(n) < 0.2).astype(int)})
-    return pdf, spark.createDataFrame(pdf, "id long, vec array<double>, y int")
+    pdf = pd.DataFrame({"id": np.arange(n), "vec": [list(map(float, r)) for r in X],
+                        "y": (rng.random(n) < 0.2).astype(int)})
+    rows = [(int(i), v, int(y)) for i, v, y in zip(pdf.id, pdf.vec, pdf.y)]
+    pdf["vec"] = list(X)
+    return pdf, spark.createDataFrame(rows, "id long, vec array<double>, y int")
 
 
 def test_knn_exact_vs_brute_force(spark):
