@@ -97,30 +97,59 @@ def _poisson1(u: Column) -> Column:
     return expr.otherwise(F.lit(k))
 
 
-def poisson_weight(row_key: Column, replicate: Column, seed: int = 42) -> Column:
-    return _poisson1(uniform_from(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), row_key)))
+MIX = 0x45D9F3B           # 32-bit integer mixer constant (products stay below 2^63)
+MASK32 = 0xFFFFFFFF
+
+
+def mix32(x: Column) -> Column:
+    """Two xor-shift-multiply rounds on a 32-bit value held in a long."""
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX)).bitwiseAND(F.lit(MASK32))
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
 
+def row_hash32(row_key: Column, seed: int = 42) -> Column:
+    """One md5 per row: the first 8 hex digits as an unsigned 32-bit value."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), row_key)), 1, 8), 16, 10).cast("long")
 
-def bootstrap(long: DataFrame, row_key: Column, n_boot: int = K.BOOTSTRAP_N, threshold: float = 0.5,
-              seed: int = 42, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Poisson bootstrap of AUC, F1, precision, recall (and AP).
 
-    Each row gets an integer weight per replicate from a hash (reproducible,
-    checkable in SQL); replicates are a fixed fan-out ``sequence(1, B)`` and
-    ties collapse per (replicate, score) before any ordering, so the work is
-    B x distinct scores, not B x rows.  Replicates with one class are
-    skipped.  Returns per group: mean, std (ddof 0), 2.5 / 97.5 percentiles.
+def replicate_uniform(row_h: Column, replicate: Column) -> Column:
+    """U[0,1) for (row, replicate) from the row's hash and the replicate
+    number: integer mixing only, the same arithmetic in SQL."""
+    return mix32(row_h.bitwiseXOR(mix32(replicate.cast("long")))).cast("double") / F.lit(4294967296.0)
+
+
+def poisson_weight(row_key: Column, replicate: Column, seed: int = 42) -> Column:
+    """Inline form (the uniform is referenced once per CASE branch; the
+    bootstrap materialises it as a column first)."""
+    return _poisson1(replicate_uniform(row_hash32(row_key, seed), replicate))
+
+
+def bootstrap(wide: DataFrame, row_key: Column, models: Sequence[str] = ("a", "b"), n_boot: int = K.BOOTSTRAP_N,
+              threshold: float = 0.5, seed: int = 42) -> DataFrame:
+    """Poisson bootstrap of AUC, F1, precision, recall per model.
+
+    ``wide`` holds one row per scored invoice (``y`` and ``score_<model>``).
+    Each invoice gets ONE weight per replicate (shared by every model, as a
+    resample is of rows): one md5 per invoice, then integer mixing per
+    replicate - reproducible and checkable in SQL.  Replicates are a fixed
+    fan-out ``sequence(1, B)``; ties collapse per (replicate, model, score)
+    before any ordering.  Replicates with one class are skipped.  Returns
+    per model: mean, std (ddof 0), 2.5 / 97.5 percentiles.
     """
-    by = list(by)
-    rep = long.select(*by, "y", "score", row_key.alias("_rk")) \
+    items = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"score_{m}").alias("score")) for m in models])
+    rep = wide.select("y", *[f"score_{m}" for m in models], row_hash32(row_key, seed).alias("_h")) \
         .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))) \
-        .withColumn("w", poisson_weight(F.col("_rk"), F.col("rep"), seed)) \
-        .filter(F.col("w") > 0)
+        .withColumn("_u", replicate_uniform(F.col("_h"), F.col("rep"))) \
+        .withColumn("w", _poisson1(F.col("_u"))) \
+        .filter(F.col("w") > 0) \
+        .select("y", "rep", "w", F.inline(items))
+    by = ["model"]
     grp = by + ["rep"]
     sc = rep.groupBy(*grp, "score").agg(
         F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).cast("long").alias("neg"))
-    up = ordered.prefix_sums(sc, "score", ["neg"], partition_cols=grp)  # checkpoints sc
+    up = ordered.prefix_sums(sc, "score", ["neg"], partition_cols=grp)  # materialises sc
     t = F.lit(float(threshold))
     per = up.groupBy(*grp).agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),

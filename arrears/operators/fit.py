@@ -34,7 +34,7 @@ PAIRS = [("division", "branch", "div_branch"), ("salesperson", "division", "sale
 SINGLE_DIMS = ["customer", "subcategory", "division", "branch", "salesperson", "city",
                "district", "customer_group", "category", "amount_bin", "province"]
 MEDIAN_DIMS = ["branch", "division"]
-BROADCAST_MAX_KEYS = 2_000_000
+BROADCAST_MAX_KEYS = 500_000   # ~100 bytes per key row: <= ~50 MB per broadcast dim
 
 
 @dataclass

@@ -108,18 +108,30 @@ def order_statistics(x: DataFrame, n: int, ranks: Sequence[int],
         aggs = []
         for i, k in enumerate(keys):
             lo_v, hi_v = new[k]
-            aggs += [F.sum(F.when(F.col("x") < lo_v, 1).otherwise(0)).alias(f"b{i}"),
-                     F.sum(F.when((F.col("x") >= lo_v) & (F.col("x") <= hi_v), 1).otherwise(0)).alias(f"m{i}")]
+            x_ = F.col("x")
+            aggs += [F.sum(F.when(x_ < lo_v, 1).otherwise(0)).alias(f"b{i}"),
+                     F.sum(F.when((x_ >= lo_v) & (x_ <= hi_v), 1).otherwise(0)).alias(f"m{i}"),
+                     F.sum(F.when(x_ == lo_v, 1).otherwise(0)).alias(f"el{i}"),
+                     F.sum(F.when(x_ == hi_v, 1).otherwise(0)).alias(f"eh{i}")]
         row = x.agg(*aggs).first()
         for i, k in enumerate(keys):
             b, mm = int(row[f"b{i}"] or 0), int(row[f"m{i}"] or 0)
+            el, eh = int(row[f"el{i}"] or 0), int(row[f"eh{i}"] or 0)
+            lo_v, hi_v = new[k]
             lo0, hi0, below0, m0 = big[k]
-            if b <= k < b + mm and mm < m0:
-                state[k] = (new[k][0], new[k][1], b, mm)
-            elif new[k][0] == new[k][1] and b <= k < b + mm:
-                out[k] = float(new[k][0])          # a single heavy value holds the rank
-            else:
+            if not (b <= k < b + mm):
                 rel_err /= 4.0                      # guarantee missed: tighten and retry
+            elif b <= k < b + el:
+                out[k] = float(lo_v)                # the rank sits on a repeated low edge
+            elif eh and k >= b + mm - eh:
+                out[k] = float(hi_v)                # ... or on a repeated high edge
+            elif mm < m0:
+                state[k] = (lo_v, hi_v, b, mm)
+            else:
+                # heavy edges stop the sketch from narrowing: exclude them strictly
+                state[k] = (float(np.nextafter(lo_v, np.inf)) if el else lo_v,
+                            float(np.nextafter(hi_v, -np.inf)) if eh else hi_v,
+                            b + el, mm - el - eh)
     return out
 
 

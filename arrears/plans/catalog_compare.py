@@ -97,11 +97,21 @@ def _poisson_sql(u: str) -> str:
 
 
 _RK = "concat_ws('-', order_key, line_no, part_key, supp_key)"
-_U = "(CAST(('0x' || substr(md5('42:' || CAST(rep AS VARCHAR) || ':' || rk), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
-@query("a31_bootstrap", _with_extra([f"""bs AS (SELECT model, y, score, rep, {_poisson_sql(_U)} AS w FROM (
-    SELECT model, y, score, {_RK} AS rk FROM ev) e, (SELECT CAST(range AS INTEGER) AS rep FROM range(1, {K.BOOTSTRAP_N + 1})) r)""",
+def _mix_sql(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor(({x}) >> 16, ({x})) * {cmp.MIX}) & {cmp.MASK32})"
+    return f"xor(({x}) >> 16, ({x}))"
+
+
+_U = f"(CAST({_mix_sql('xor(h, ' + _mix_sql('CAST(rep AS BIGINT)') + ')')} AS DOUBLE) / 4294967296.0)"
+
+
+@query("a31_bootstrap", _with_extra([f"""bs AS (SELECT model, y, score, rep, {_poisson_sql('u')} AS w FROM (
+    SELECT model, y, score, rep, {_U} AS u FROM (
+    SELECT model, y, score, CAST(('0x' || substr(md5('42:' || {_RK}), 1, 8)) AS BIGINT) AS h FROM ev) e,
+    (SELECT CAST(range AS INTEGER) AS rep FROM range(1, {K.BOOTSTRAP_N + 1})) r) q)""",
     """bsc AS (SELECT model, rep, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos,
     sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM bs WHERE w > 0 GROUP BY model, rep, score)""",
     """per AS (SELECT model, rep, sum(pos) AS P, sum(neg) AS N, sum(pos * (neg_cum - neg + neg / 2.0)) AS u,
@@ -116,9 +126,8 @@ _U = "(CAST(('0x' || substr(md5('42:' || CAST(rep AS VARCHAR) || ':' || rk), 1,
     f"round(quantile_cont({m}, 0.025), 9) AS {m}_ci_lower, round(quantile_cont({m}, 0.975), 9) AS {m}_ci_upper"
     for m in ("auc", "f1", "precision", "recall")) + " FROM m GROUP BY model"))
 def a31_bootstrap(spark, sf_dir):
-    long = scored_long(spark, sf_dir)
     rk = F.concat_ws("-", *[F.col(k).cast("string") for k in KEYS])
-    b = cmp.bootstrap(long, rk)
+    b = cmp.bootstrap(_wide(spark, sf_dir), rk)
     return b.select("model", "n_replicates", *[r9(c, c) for c in b.columns if c not in ("model", "n_replicates")])
 
 

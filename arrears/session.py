@@ -8,7 +8,9 @@ machine-local folder.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -73,9 +75,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
+    _owned(path)
     return spark.read.parquet(path)
 
 
+_OWNED: list[str] = []
+
+
+def _owned(path: str) -> None:
+    """Tables written by this process are removed when it exits (local
+    folders only; a cluster folder follows the cluster's retention)."""
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if local.startswith("/"):
+        if not _OWNED:
+            atexit.register(lambda: [shutil.rmtree(p, ignore_errors=True) for p in _OWNED])
+        _OWNED.append(local)
+
+
 def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Round-robin repartition only when the planned partition count is below
     the cluster's parallelism (few large row groups feeding wide per-row

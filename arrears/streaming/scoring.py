@@ -37,7 +37,7 @@ UPLOAD_SCHEMA = T.StructType(
     + [T.StructField("tanggal", T.StringType())])
 
 
-def read_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
     raw = (spark.readStream.schema(UPLOAD_SCHEMA).option("header", True)
            .option("maxFilesPerTrigger", max_files).option("nullValue", "\u0000").option("emptyValue", "")
            .csv(path))
