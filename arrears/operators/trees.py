@@ -326,17 +326,26 @@ def contributions(df: DataFrame, nodes_with_cover: DataFrame, features: Sequence
             trees.append((arr, cov))
         for pdf in batches:
             X = pdf[feats].to_numpy(np.float64, na_value=np.nan)
+            phi = np.zeros((X.shape[0], len(feats)))
+            for arr, cov in trees:
+                if cov[0] <= 0:
+                    continue
+                left, right, feat_, thr, dl, val = arr
+                internal = np.nonzero(left >= 0)[0]
+                # the recursion sees a row only through its decision at each
+                # internal node: solve once per distinct decision vector
+                xv = X[:, feat_[internal]]
+                dec = np.where(np.isnan(xv), dl[internal] == 1, xv < thr[internal])
+                uniq, first, inv = np.unique(dec, axis=0, return_index=True, return_inverse=True)
+                per = np.stack([_tree_shap_one(X[r], left, right, feat_, thr, dl == 1, val, cov, len(feats))
+                                for r in first])
+                phi += per[inv.reshape(-1)]
             rows_k, rows_f, rows_v = [], [], []
             for r in range(X.shape[0]):
-                phi = np.zeros(len(feats))
-                for arr, cov in trees:
-                    if cov[0] > 0:
-                        phi += _tree_shap_one(X[r], arr[0], arr[1], arr[2], arr[3], arr[4] == 1, arr[5], cov,
-                                              len(feats))
-                nz = np.nonzero(phi)[0]
+                nz = np.nonzero(phi[r])[0]
                 rows_k += [pdf[key].iloc[r]] * (len(nz) + 1)
                 rows_f += [feats[i] for i in nz] + ["__base__"]
-                rows_v += [float(phi[i]) for i in nz] + [expected]
+                rows_v += [float(phi[r, i]) for i in nz] + [expected]
             yield pd.DataFrame({key: rows_k, "feature": rows_f, "value": rows_v})
 
     schema = T.StructType([df.schema[key], T.StructField("feature", T.StringType()),
