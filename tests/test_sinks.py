@@ -80,3 +80,23 @@ def test_text_helpers_and_unpivot(spark):
     assert (r.a, r.b, r.c) == ("AUC", "cust avg amount", "12.3%")
     long = C.model_pair_long(df.select("seed", "xgb_auc", "mlp_auc"), "auc").orderBy("model").collect()
     assert [(x.model, x.value) for x in long] == [("mlp", 0.7), ("xgb", 0.8)]
+
+
+def test_raw_transactions_and_table_csv(spark, tmp_path):
+    """S1 + P1 (day-first dates, explicit schema) and S4 / S6 (CSV with a schema)."""
+    from pyspark.sql import types as T
+    from arrears.sources import batch
+    p = os.path.join(tmp_path, "raw.csv")
+    header = ",".join(batch.RAW_COLUMNS)
+    row = "T1,31/1/2024,45,1500.5,100,C1,NON-GROUP CUSTOMER,S1,D1,K1,SK1,B1,P1,K,KC,,"
+    with open(p, "w") as fh:
+        fh.write(header + "\n" + row + "\n")
+    r = batch.read_raw_transactions(spark, p).first()
+    assert str(r.invoice_date) == "2024-01-31" and r.age_days == 45 and r.amount == 1500.5
+    assert r.subdistrict is None and r.remark is None
+    schema = T.StructType([T.StructField("seed", T.IntegerType()), T.StructField("xgb_test_auc", T.DoubleType())])
+    q = os.path.join(tmp_path, "seeds.csv")
+    with open(q, "w") as fh:
+        fh.write("seed,xgb_test_auc\n1,0.77\n2,bad\n")
+    rows = A.read_table_csv(spark, q, schema).orderBy("seed").collect()
+    assert rows[0].xgb_test_auc == 0.77 and rows[1].xgb_test_auc is None
