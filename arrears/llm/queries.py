@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import bpe_dp, exact_dedup, packing, token_store
+from arrears.llm import bpe_dp, exact_dedup, packing, token_store, toxicity
 from arrears.llm.common import table
 from arrears.llm.tokens import tokenizer_path
 
@@ -22,6 +22,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -31,6 +36,6 @@ def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_bpe_prefix_dp, op2_exact_dedup, op8_token_store, op9_lp_packing)}
+    op1_bpe_prefix_dp, op2_exact_dedup, op5_toxicity, op8_token_store, op9_lp_packing)}
 
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
