@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import bpe_dp, exact_dedup, packing, token_store, toxicity
+from arrears.llm import bpe_dp, crf_lang, exact_dedup, packing, token_store, toxicity
 from arrears.llm.common import table
 from arrears.llm.tokens import tokenizer_path
 
@@ -35,7 +35,12 @@ def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf_lang.identify(docs, crf_lang.train(docs))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_bpe_prefix_dp, op2_exact_dedup, op5_toxicity, op8_token_store, op9_lp_packing)}
+    op1_bpe_prefix_dp, op2_exact_dedup, op5_toxicity, op8_token_store, op9_lp_packing, op10_crf_language)}
 
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
