@@ -18,18 +18,18 @@ from array import array
 from collections.abc import Callable
 
 #: White space as Unicode defines it (Python's \s also takes U+001C to U+001F).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-#: Marks that end a word's pretoken.
-MARKS = frozenset(".,;:!?")
-WIDE = re.compile(f"[{SPACE}] | [{SPACE}]")
+SPACES = [c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c)]
+#: A space beside other white space, either side.
+WIDE = sorted({f" {c}" for c in SPACES} | {f"{c} " for c in SPACES})
 
 
 class Recent(dict):
     """A dict that computes what it lacks and holds two generations of at most ``cap``
     entries, so frequent pieces stay and memory is bounded whatever the corpus holds."""
 
-    def __init__(self, compute: Callable, cap: int = 400_000) -> None:
+    def __init__(self, compute: Callable, cap: int = 300_000) -> None:
         super().__init__()
         self.compute, self.cap, self.older = compute, cap, {}
 
@@ -60,7 +60,7 @@ def as_u32(ids) -> bytes:
 
 def byte_pieces(text: str) -> list[str]:
     """The text cut before each lone space; the pieces after the first lack that space."""
-    return CUT.split(text) if WIDE.search(text) else text.split(" ")
+    return CUT.split(text) if any(w in text for w in WIDE) else text.split(" ")
 
 
 class ByteBpe:
@@ -68,17 +68,11 @@ class ByteBpe:
 
     def __init__(self, path: str) -> None:
         self.tok = load(path)
-        self.cache = Recent(self._piece)
-        self.marks = {m: self.whole(m) for m in MARKS}
+        self.cache = Recent(lambda piece: self.whole(" " + piece))
 
     def whole(self, text: str) -> bytes:
         return as_u32(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> bytes:
-        if piece[-1:] in MARKS and piece[-2:-1].isalpha():  # a pretoken ends between letter and mark
-            return self.cache[piece[:-1]] + self.marks[piece[-1]]
-        return self.whole(" " + piece)
-
     def encode(self, text: str) -> bytes:
         first, *rest = byte_pieces(text)
         return self.whole(first) + b"".join(map(self.cache.__getitem__, rest))
