@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import bpe_dp, crf_lang, exact_dedup, lsh_forest, packing, token_store, toxicity
+from arrears.llm import bpe_dp, crf_lang, exact_dedup, lsh_forest, packing, spann, token_store, toxicity
 from arrears.llm.common import table
 from arrears.llm.tokens import tokenizer_path
 
@@ -26,6 +26,10 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_spann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -45,6 +49,6 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_bpe_prefix_dp, op2_exact_dedup, op3_lsh_forest, op5_toxicity, op8_token_store, op9_lp_packing, op10_crf_language)}
+    op1_bpe_prefix_dp, op2_exact_dedup, op3_lsh_forest, op4_spann, op5_toxicity, op8_token_store, op9_lp_packing, op10_crf_language)}
 
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
