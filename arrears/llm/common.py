@@ -77,7 +77,7 @@ def put_file(uri: str, write: Callable) -> None:
     that a reader could pick up."""
     system, path = open_fs(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         write(out)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import bpe_dp, crf_lang, exact_dedup, lsh_forest, packing, spann, token_store, toxicity
+from arrears.llm import bpe_dp, crf_lang, exact_dedup, lsh_forest, packing, spann, token_store, toxicity, url_lm, warc
 from arrears.llm.common import table
 from arrears.llm.tokens import tokenizer_path
 
@@ -35,6 +35,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op7_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -49,6 +57,6 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_bpe_prefix_dp, op2_exact_dedup, op3_lsh_forest, op4_spann, op5_toxicity, op8_token_store, op9_lp_packing, op10_crf_language)}
+    op1_bpe_prefix_dp, op2_exact_dedup, op3_lsh_forest, op4_spann, op5_toxicity, op6_warc, op7_url_model, op8_token_store, op9_lp_packing, op10_crf_language)}
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_warc": warc.SQL}
