@@ -1,8 +1,70 @@
-"""Training-data pipeline over ``documents``; stages are added as their operators land."""
+"""Training-data pipeline over ``documents``: five stages, each applying one operator of
+``arrears.llm`` to all that the stage before it kept.
 
-STAGES: list = []
+language     documents in which no language is found go
+toxicity     documents that the classifier calls toxic go
+exact_dedup  of equal texts the row with the largest doc_id stays
+near_dedup   of each group of near-duplicates the smallest doc_id stays
+packing      the documents' tokens, packed into sequences
+
+Every stage's result is written as Parquet and read again as the next one's input.  All but
+the last return the columns of ``documents``, whatever they are.  Nulls, empty tables,
+repeated rows and clashing column names are handled as the operators' docstrings say; rows
+that are alike in doc_id and text count as copies of each other, so one of them stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arrears.llm import common, crf_lang, exact_dedup, lsh_forest, packing, toxicity
+from arrears.llm.tokens import tokenizer_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return crf_lang.with_language(docs, crf_lang.train(docs))
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_dedup(docs)
+    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
+    # rows alike in id and text pass the join together
+    again = found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
+        F.col("text_sha256").alias("__digest")).distinct()
+    if again.isEmpty():
+        return out
+    twice = docs.columns + ["__own"]
+    marked = out.withColumn("__own", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    once = marked.join(again, marked["__own"] == again["__digest"], "left_anti")
+    more = marked.join(again, marked["__own"] == again["__digest"], "left_semi").select(*twice).dropDuplicates(["__own"])
+    return once.unionByName(more).drop("__own")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = lsh_forest.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("toxicity", not_toxic), ("exact_dedup", exact), ("near_dedup", near),
+          ("packing", packed)]
+
+#: Learned models, signatures and the packing program have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stage(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
