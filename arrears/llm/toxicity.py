@@ -188,11 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, s
     rows, sizes = training_sample(docs, labels, sample, modulus, held)
     none = np.zeros(0, np.uint64), np.zeros(0)
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
-        rate = toxic / max(1, toxic + clean)
-        return Model(*none, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        rate = toxic / max(1, toxic + clean)
+        return Model(*none, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))))
     a, b = F.col("toxic"), F.col("clean")
     off = a * n0 - b * n1  # chi-square of the two-by-two table, but for a constant factor
     kept = (ngram_counts(rows).where(a + b >= LEAST)
