@@ -12,10 +12,10 @@
    threshold (four standard deviations of leeway) is confirmed on the full sets.  Confirmed
    pairs are the links.
 4. To link a group it takes no list of all its pairs.  First, each region hands out a
-   spanning forest of its best candidate pairs.  The links found join documents into
-   components; then, for documents outside their region's largest component, the best
-   candidates in other components; then every candidate pair still between two components.
-   So only pairs within one component are left out, and those cannot change the result.
+   spanning forest of its best candidate pairs, and the links among them join documents into
+   components.  Then, in each region, the candidate pairs that lie between two components
+   are confirmed on the spot, best first, until the components that can be joined are.  So
+   only pairs within one component are left out, and those cannot change the result.
 
 Cases: null texts, and texts without a word, have an empty set and link with nothing; a text
 of fewer words than a shingle is one shingle; rows that share a doc_id count as one document;
@@ -26,7 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,6 @@ from arrears.llm.tokens import Recent
 WORDS, PERCENT = 4, 80
 HASHES, TREES, DEPTH, REGION = 128, 24, 4, 1024
 LEEWAY = 4.0  # standard deviations of a signature's estimate
-BEST = 16  # second round: candidate pairs handed out per document
 MOST_IDS = 200_000  # ids that are broadcast at most
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -70,12 +69,10 @@ def hash_factors() -> np.ndarray:
 
 def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Least 32-bit value under each hash function."""
-    out = np.full(len(factors), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 4096):
-        x = shingles[at:at + 4096, None] * factors
-        x ^= x >> np.uint64(32)
-        out = np.minimum(out, (x * MIX[1] >> np.uint64(32)).min(0).astype(np.uint32))
-    return out
+    out = np.full(len(factors), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(out, (factors[:, None] * shingles[at:at + 1024]).min(1), out)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def tree_order(tree: int) -> np.ndarray:
@@ -188,6 +185,8 @@ def least_matches(percent: int) -> int:
 
 def matches(low: np.ndarray, at: int, to: int) -> np.ndarray:
     """Agreeing signature values of rows at..to with all rows."""
+    if len(low) <= 64:
+        return (low[at:to, None, :] == low[None, :, :]).sum(2)
     out = np.zeros((to - at, len(low)), np.int16)
     for k in range(HASHES):
         out += low[at:to, k, None] == low[None, :, k]
@@ -205,68 +204,133 @@ def candidates(low: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def spanning(i: np.ndarray, j: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
+class Sets:
+    """Union-find over a few members."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, a: int) -> int:
+        while self.up[a] != a:
+            self.up[a] = a = self.up[self.up[a]]
+        return a
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def spanning(i: np.ndarray, j: np.ndarray, m: np.ndarray, n: int) -> list[int]:
     """Positions of a spanning forest of best-agreeing pairs."""
-    up = np.arange(n)
-    kept = []
+    sets, kept = Sets(n), []
     for k in np.argsort(-m, kind="stable").tolist():
         a, b = int(i[k]), int(j[k])
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        while up[b] != b:
-            up[b] = up[up[b]]
-            b = up[b]
-        if a != b:
-            up[max(a, b)] = min(a, b)
+        if sets.root(a) != sets.root(b):
+            sets.join(a, b)
             kept.append(k)
-    return np.array(kept, np.int64)
-
-
-def best_of_each(i: np.ndarray, j: np.ndarray, m: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Positions of the BEST pairs of every row outside the largest group."""
-    if not len(i):
-        return np.zeros(0, np.int64)
-    values, counts = np.unique(group, return_counts=True)
-    main = values[counts.argmax()]
-    kept = []
-    for end in (i, j):
-        on = np.flatnonzero(group[end] != main)
-        order = on[np.lexsort((-m[on], end[on]))]
-        rows = end[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        kept.append(order[place < BEST])
-    return np.unique(np.concatenate(kept))
-
-
-def pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the forest's rows (with ``part``, the component)."""
+    return kept
+
+
+def bytes_of(column, dtype: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
+def by_region(rows: DataFrame, of_region: Callable, schema: str) -> DataFrame:
+    """``of_region`` for the rows of each region, sorted by id.  A task walks its sorted
+    regions, none with more than REGION rows, and holds one batch and an unfinished region."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if not t.num_rows:
+                continue
+            edges = edges_of(t)
+            for at, to in zip(edges[:-2], edges[1:-1]):
+                yield from of_region(t.slice(at, to - at))
+            rest = t.slice(edges[-2])
+        if rest is not None:
+            yield from of_region(rest)
+
+    common.small_batches(rows.sparkSession)
+    return rows.repartition("tree", "region").sortWithinPartitions("tree", "region", "id").mapInArrow(run, schema)
+
+
+def edges_of(t: pa.Table) -> np.ndarray:
+    tree, region = t["tree"].to_numpy(), t["region"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((tree[1:] != tree[:-1]) | (region[1:] != region[:-1])) + 1, [len(tree)]])
+
+
+def best_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b): a spanning forest of each region's candidate pairs."""
     least = least_matches(percent)
 
-    def of_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        ids, group = t["id"].to_numpy(), t["part"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, group = ids[order], group[order]
-        if len(ids) < 2 or (group == group[0]).all():
-            return
-        low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, HASHES)[order]
-        i, j, m = candidates(low, group, least)
-        if turn == 1:
+    def of_region(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, low = t["id"].to_numpy(), bytes_of(t["low"], "u1", HASHES)
+        if len(ids) > 1:
+            i, j, m = candidates(low, ids, least)
             on = spanning(i, j, m, len(ids))
-        elif turn == 2:
-            on = best_of_each(i, j, m, group)
-        else:  # a pair that several trees hold is handed out by the first that does
-            keys = np.frombuffer(b"".join(t["keys"].to_pylist()), "<i8").reshape(-1, TREES)[order]
-            first = (keys[i] == keys[j]).argmax(1) == t["tree"][0].as_py()
-            refined = bool(t["region"][0].as_py() != keys[0, t["tree"][0].as_py()])
-            on = np.flatnonzero(first | refined)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i[on]]), pa.array(ids[j[on]])], names=["a", "b"])
+            if on:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i[on]]), pa.array(ids[j[on]])], names=["a", "b"])
+
+    return by_region(rows.select("tree", "region", "id", "low"), of_region, "a long, b long").distinct()
+
+
+def between(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs between components that fall to this region: a pair that several
+    trees hold belongs to the first that does."""
+    part = t["part"].to_numpy()
+    if (part == part[0]).all():
+        return (np.zeros(0, np.int64),) * 3
+    i, j, m = candidates(bytes_of(t["low"], "u1", HASHES), part, least)
+    keys, tree = bytes_of(t["keys"], "<i8", TREES), t["tree"][0].as_py()
+    refined = keys[0, tree] != t["region"][0].as_py()
+    on = np.full(len(i), refined) | ((keys[i] == keys[j]).argmax(1) == tree)
+    return i[on], j[on], m[on]
+
+
+def unsettled(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows that have a candidate pair with another component in their region; staged."""
+    least = least_matches(percent)
+
+    def of_region(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j, _ = between(t, least)
+        if len(i):
+            yield from t.take(pa.array(np.unique(np.concatenate([i, j])))).to_batches()
+
+    columns = "tree int, region long, id long, low binary, keys binary, part long"
+    return common.stage(by_region(rows.select("tree", "region", "id", "low", "keys", "part"), of_region, columns), "unsettled")
+
+
+def links_between(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, confirmed on full sets; staged."""
+    least = least_matches(percent)
 
-    # turns 2 and 3 need no regions that lie in one component
-    alike = rows.groupBy("tree", "region").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
-    live = rows if turn == 1 else rows.join(alike.select("tree", "region"), ["tree", "region"], "left_semi")
-    return live.groupBy("tree", "region").applyInArrow(of_region, "a long, b long").distinct()
+    def of_region(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j, m = between(t, least)
+        ids = t["id"].to_numpy()
+        _, part = np.unique(t["part"].to_numpy(), return_inverse=True)
+        full = [long(x) for x in t["shingles"].to_pylist()]
+        joined, kept = Sets(len(ids)), []
+        for k in np.argsort(-m, kind="stable").tolist():
+            a, b = int(i[k]), int(j[k])
+            if joined.root(part[a]) != joined.root(part[b]) and alike(full[a], full[b], percent):
+                joined.join(part[a], part[b])
+                kept.append(k)
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[kept]]), pa.array(ids[j[kept]])], names=["a", "b"])
+
+    ids = rows.select("id").distinct()
+    near = rows.join(sets.join(few(ids), "id", "left_semi"), "id")
+    return common.stage(by_region(near, of_region, "a long, b long").distinct(), "links")
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets reach the threshold."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.sort(np.concatenate([x, y]), kind="stable")
+    both = int((merged[1:] == merged[:-1]).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -301,11 +365,7 @@ def confirmed(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose full sets are alike enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            on = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = long(x), long(y)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                on.append(100 * both >= percent * (len(x) + len(y) - both))
+            on = [alike(long(x), long(y), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -322,36 +382,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = common.documents(docs)
     rows = common.stage(sketches(docs, words), "sketches")
-    alike = rows.groupBy("set1", "set2").agg(
+    alike_sets = rows.groupBy("set1", "set2").agg(
         F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("group_size"), F.max("n_shingles").alias("size"),
         F.min("keys").alias("keys"), F.min("low").alias("low"))  # equal sets have equal keys and bytes
-    alike = common.stage(alike, "equal-sets")
-    nodes = alike.where("size > 0 and id is not null").select("id", "keys", "low")
+    alike_sets = common.stage(alike_sets, "equal-sets")
+    nodes = alike_sets.where("size > 0 and id is not null").select("id", "keys", "low")
     trees = forest(nodes)
-    part = None
-    links = tested = sets = None
-    for turn in (1, 2, 3):
-        placed = trees.withColumn("part", F.col("id")) if part is None else (
-            trees.join(part.select(F.col("node").alias("id"), F.col("root").alias("part")), "id"))
-        found = common.stage(pairs(placed, percent, turn), "candidates")
-        if turn == 1:
-            # every document of a candidate pair is in its region's spanning forest
-            sets = full_sets(docs, found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words)
-            fresh, tested = found, found
-        else:
-            fresh = common.stage(found.join(tested, ["a", "b"], "left_anti"), "fresh")
-            tested = tested.unionByName(fresh)
-        new = confirmed(fresh, sets, percent)
-        links = new if links is None else links.unionByName(new)
-        if turn == 1:
-            joined = components(links)
-        else:
-            joined = components(contracted(links, part))
-            joined = composed(part, joined)
-        part = common.stage(trees.select(F.col("id").alias("node")).distinct().join(joined, "node", "left").select(
-            "node", F.coalesce("root", "node").alias("root")), "parts")
-    common.drop(trees, sets)
-    return labelled(rows, alike, part)
+    found = common.stage(best_pairs(trees, percent), "candidates")
+    # every document of a candidate pair is in its region's spanning forest
+    sets = full_sets(docs, found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words)
+    part = components(confirmed(found, sets, percent))
+    placed = trees.join(part.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left").withColumn(
+        "part", F.coalesce("part", "id"))
+    open_ = unsettled(placed, percent)
+    links = links_between(open_, sets, percent)
+    everyone = common.stage(open_.select("id", "part").distinct(), "open").select(F.col("id").alias("node"), F.col("part").alias("root"))
+    part = composed(part.unionByName(everyone).distinct(), components(contracted(links, everyone)))
+    return labelled(rows, alike_sets, common.stage(part, "parts"))
 
 
 def contracted(links: DataFrame, part: DataFrame) -> DataFrame:
