@@ -29,21 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from arrears.llm import common
-from arrears.llm.tokens import Recent, as_u32, byte_pieces
+from arrears.llm.tokens import Recent, as_u32, byte_pieces, byte_symbols
 
 #: The byte-level pretoken pattern that the vocabulary's public tokenizer uses.  Fixed value.
 PATTERN = (r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in the vocabulary file: printable
-    Latin-1 stands for itself, the others follow from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
 class PrefixBpe:
     """Encoder and decoder of one byte-level BPE vocabulary file."""
 

@@ -20,9 +20,12 @@ from collections.abc import Callable
 #: White space as Unicode defines it (Python's \s also takes U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-SPACES = [c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c)]
-#: A space beside other white space, either side.
-WIDE = sorted({f" {c}" for c in SPACES} | {f"{c} " for c in SPACES})
+#: A space before, or after, other white space.
+WIDE = re.compile(f" [{SPACE}]"), re.compile(f"[{SPACE[:3]}{SPACE[4:]}] ")
+#: Marks of which one may end a word's piece; and letters that have no composed form to seek
+#: and one lower-case letter each.
+MARKS = frozenset(".,;:!?")
+SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 
 
 class Recent(dict):
@@ -60,31 +63,58 @@ def as_u32(ids) -> bytes:
 
 def byte_pieces(text: str) -> list[str]:
     """The text cut before each lone space; the pieces after the first lack that space."""
-    return CUT.split(text) if any(w in text for w in WIDE) else text.split(" ")
+    return CUT.split(text) if WIDE[0].search(text) or WIDE[1].search(text) else text.split(" ")
 
 
-class ByteBpe:
-    """``encode(text)`` -> ids as little-endian unsigned 32-bit integers."""
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in these vocabularies: printable
+    Latin-1 stands for itself, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+class Coder:
+    """A tokenizer, and its model alone for pieces that are one pretoken as they stand: the
+    library then need neither normalise nor cut them."""
 
     def __init__(self, path: str) -> None:
         self.tok = load(path)
-        self.cache = Recent(lambda piece: self.whole(" " + piece))
+        self.model = type(self.tok)(self.tok.model)
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.cache = Recent(self.piece)
 
     def whole(self, text: str) -> bytes:
         return as_u32(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def pretoken(self, text: str) -> bytes:
+        shown = text.encode().decode("latin-1").translate(self.symbols)
+        return as_u32(self.model.encode(shown, add_special_tokens=False).ids)
+
+
+class ByteBpe(Coder):
+    """``encode(text)`` -> ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.marks = {m: self.whole(m) for m in MARKS}
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.pretoken(" " + piece)
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            return self.cache[piece[:-1]] + self.marks[piece[-1]]
+        return self.whole(" " + piece)
+
     def encode(self, text: str) -> bytes:
         first, *rest = byte_pieces(text)
         return self.whole(first) + b"".join(map(self.cache.__getitem__, rest))
 
 
-class WordBpe:
-    def __init__(self, path: str) -> None:
-        self.tok = load(path)
-        self.cache = Recent(lambda piece: self.whole(piece.decode()))
-
-    def whole(self, text: str) -> bytes:
-        return as_u32(self.tok.encode(text, add_special_tokens=False).ids)
+class WordBpe(Coder):
+    def piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        return self.pretoken(text.lower()) if SIMPLE.fullmatch(text) else self.whole(text)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, text.encode().split()))
