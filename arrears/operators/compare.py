@@ -10,14 +10,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrears import constants as K
 from arrears.functions import stats
 from arrears.operators import evaluate as ev
 from arrears.operators import ordered
-from arrears.operators.split import uniform_from
+from arrears.session import cut_lineage
 
 
 # ---------------------------------------------------------------- A37 McNemar
@@ -83,46 +86,49 @@ def delong(long: DataFrame, keys: Sequence[str], models=("a", "b"), by: Sequence
 
 
 # ---------------------------------------------------------------- A31 bootstrap
-# Poisson(1) inverse CDF on a 32-bit hashed uniform.  P(X > 13) < 2^-32, the
-# uniform's resolution, so the chain below is exact for every possible u.
-def _poisson1(u: Column) -> Column:
-    cdf, term, k = 0.0, math.exp(-1.0), 0
-    expr = None
-    while k <= 13:
-        cdf += term
-        cond = u < F.lit(cdf)
-        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-        k += 1
-        term /= k
-    return expr.otherwise(F.lit(k))
-
-
 MIX = 0x45D9F3B           # 32-bit integer mixer constant (products stay below 2^63)
 MASK32 = 0xFFFFFFFF
 
 
-def mix32(x: Column) -> Column:
-    """Two xor-shift-multiply rounds on a 32-bit value held in a long."""
-    for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX)).bitwiseAND(F.lit(MASK32))
-    return F.shiftright(x, 16).bitwiseXOR(x)
-
-
 def row_hash32(row_key: Column, seed: int = 42) -> Column:
     """One md5 per row: the first 8 hex digits as an unsigned 32-bit value."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), row_key)), 1, 8), 16, 10).cast("long")
 
 
-def replicate_uniform(row_h: Column, replicate: Column) -> Column:
-    """U[0,1) for (row, replicate) from the row's hash and the replicate
-    number: integer mixing only, the same arithmetic in SQL."""
-    return mix32(row_h.bitwiseXOR(mix32(replicate.cast("long")))).cast("double") / F.lit(4294967296.0)
-
-
-def poisson_weight(row_key: Column, replicate: Column, seed: int = 42) -> Column:
-    """Inline form (the uniform is referenced once per CASE branch; the
-    bootstrap materialises it as a column first)."""
-    return _poisson1(replicate_uniform(row_hash32(row_key, seed), replicate))
+def _np_mix32(x: np.ndarray) -> np.ndarray:
+    """Two xor-shift-multiply rounds on 32-bit values held in 64 bits."""
+    for _ in range(2):
+        x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX)) & np.uint64(MASK32)
+    return (x >> np.uint64(16)) ^ x
+
+
+def _bucket_totals(n_boot: int, threshold: float, chunk: int = 64):
+    """All replicates' totals of one bucket: positives, negatives, their rank sum inside the
+    bucket, and those at or above the threshold, an array of ``n_boot`` each."""
+    cdf, term = [math.exp(-1.0)], math.exp(-1.0)
+    for i in range(1, 14):  # beyond 13 the uniform has no resolution left
+        term /= i
+        cdf.append(cdf[-1] + term)
+
+    def run(t: pa.Table) -> pa.Table:
+        score, y, h = (t[c].to_numpy() for c in ("score", "y", "_h"))
+        order = np.argsort(score, kind="stable")
+        score, y, h = score[order], y[order], h[order].astype(np.uint64)
+        first = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        above = score >= threshold
+        out = [[], [], [], [], []]
+        for at in range(1, n_boot + 1, chunk):
+            rep = _np_mix32(np.arange(at, min(at + chunk, n_boot + 1), dtype=np.uint64))
+            u = _np_mix32(h[:, None] ^ rep) / 4294967296.0
+            w = np.searchsorted(cdf, u, "right")
+            pos, neg = w * (y == 1)[:, None], w * (y == 0)[:, None]
+            p, n = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
+            below = n.cumsum(0) - n
+            for kept, v in zip(out, (p.sum(0), n.sum(0), (p * (below + n / 2.0)).sum(0), pos[above].sum(0), neg[above].sum(0))):
+                kept.append(v.astype(float))
+        return pa.table({"model": t["model"][:1], "_bkt": t["_bkt"][:1]} | {
+            c: pa.array([np.concatenate(v).tolist()], pa.list_(pa.float64())) for c, v in zip(("P", "N", "U", "tp", "fp"), out)})
+    return run
 
 
 def bootstrap(wide: DataFrame, row_key: Column, models: Sequence[str] = ("a", "b"), n_boot: int = K.BOOTSTRAP_N,
@@ -132,30 +138,39 @@ def bootstrap(wide: DataFrame, row_key: Column, models: Sequence[str] = ("a", "b
     ``wide`` holds one row per scored invoice (``y`` and ``score_<model>``).
     Each invoice gets ONE weight per replicate (shared by every model, as a
     resample is of rows): one md5 per invoice, then integer mixing per
-    replicate - reproducible and checkable in SQL.  Replicates are a fixed
-    fan-out ``sequence(1, B)``; ties collapse per (replicate, model, score)
-    before any ordering.  Replicates with one class are skipped.  Returns
-    per model: mean, std (ddof 0), 2.5 / 97.5 percentiles.
+    replicate - reproducible and checkable in SQL.
+
+    No row is copied per replicate.  Scores are cut into buckets once; a task
+    computes all replicates' weights for its bucket in blocks and returns one
+    row of totals per bucket, and replicates are put together from those.
+    Each boundary value is a bucket of its own, so a score that many rows
+    share is one, and its rows - whose totals just add up - are salted.
+    Replicates with one class are skipped.  Returns per model: mean, std
+    (ddof 0), 2.5 / 97.5 percentiles.
     """
-    items = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"score_{m}").alias("score")) for m in models])
-    rep = wide.select("y", *[f"score_{m}" for m in models], row_hash32(row_key, seed).alias("_h")) \
-        .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))) \
-        .withColumn("_u", replicate_uniform(F.col("_h"), F.col("rep"))) \
-        .withColumn("w", _poisson1(F.col("_u"))) \
-        .filter(F.col("w") > 0) \
-        .select("y", "rep", "w", F.inline(items))
-    by = ["model"]
-    grp = by + ["rep"]
-    sc = rep.groupBy(*grp, "score").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).cast("long").alias("pos"),
-        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).cast("long").alias("neg"))
-    up = ordered.prefix_sums(sc, "score", ["neg"], partition_cols=grp)  # materialises sc
-    t = F.lit(float(threshold))
-    per = up.groupBy(*grp).agg(
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-        F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") + F.col("neg") / 2.0)).alias("_u"),
-        F.sum(F.when(F.col("score") >= t, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("score") >= t, F.col("neg")).otherwise(0)).alias("fp"))
+    items = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"score_{m}").cast("double").alias("score")) for m in models])
+    rows = cut_lineage(wide.select(F.col("y").cast("int").alias("y"), row_hash32(row_key, seed).alias("_h"), F.inline(items))
+                       .filter(F.col("score").isNotNull() & ~F.isnan("score")))
+    n = rows.count()
+    splits = [-math.inf]
+    for b in ordered.boundaries(rows, "score", max(32, -(-n // 50_000))):
+        if b > splits[-1]:
+            splits += [b, math.nextafter(b, math.inf)]  # odd buckets hold one score
+    cut = Bucketizer(splits=[*splits, math.inf], inputCol="score", outputCol="_bkt").transform(rows)
+    salts = max(1, -(-n // 50_000))
+    salted = cut.withColumn("_salt", F.when(F.col("_bkt") % 2 == 1, F.col("_h") % salts).otherwise(0))
+    totals = ("P", "N", "U", "tp", "fp")
+    parts = salted.groupBy("model", "_bkt", "_salt").applyInArrow(
+        _bucket_totals(n_boot, float(threshold)),
+        "model string, _bkt double, " + ", ".join(f"{c} array<double>" for c in totals))
+    # zero-weight replicates drop out below; a salted bucket's rank sum is that of one tie
+    each = parts.select("model", "_bkt", F.posexplode(F.arrays_zip(*totals)).alias("rep", "_t")).groupBy(
+        "model", "rep", "_bkt").agg(*[F.sum(F.col("_t")[c]).alias(c) for c in totals])
+    rank = F.when(F.col("_bkt") % 2 == 1, F.col("P") * F.col("N") / 2.0).otherwise(F.col("U"))
+    before = F.sum("N").over(Window.partitionBy("model", "rep").orderBy("_bkt")) - F.col("N")
+    grp = ["model", "rep"]
+    per = each.withColumn("_u", rank + F.col("P") * before).groupBy(*grp).agg(
+        *[F.sum(c).alias(c) for c in ("P", "N", "_u", "tp", "fp")])
     per = per.filter((F.col("P") > 0) & (F.col("N") > 0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("P") - F.col("tp")
     per = per.select(*grp, (F.col("_u") / (F.col("P") * F.col("N"))).alias("auc"),
@@ -166,7 +181,7 @@ def bootstrap(wide: DataFrame, row_key: Column, models: Sequence[str] = ("a", "b
     for m in ("auc", "f1", "precision", "recall"):
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"),
                  F.percentile(m, 0.025).alias(f"{m}_ci_lower"), F.percentile(m, 0.975).alias(f"{m}_ci_upper")]
-    return per.groupBy(*by).agg(*aggs)
+    return per.groupBy("model").agg(*aggs)
 
 
 # ---------------------------------------------------------------- A39-A41 stability

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from arrears import constants as K
 from arrears.operators import ordered
+from arrears.session import cut_lineage
 
 
 def grouped(fn):
@@ -48,11 +49,19 @@ def browser_grid() -> list[float]:
     return out
 
 
+def reachable(score: Column) -> Column:
+    """The score as thresholds see it: null and NaN are below every one of them (Spark orders
+    NaN above all numbers)."""
+    s = score.cast("double")
+    return F.when(s.isNull() | F.isnan(s), F.lit(-math.inf)).otherwise(s)
+
+
 # ---------------------------------------------------------------- A19-A21
 def confusion(df: DataFrame, threshold: float | Column, by: Sequence[str] = ()) -> DataFrame:
-    """Score >= t is positive; anything not TP/FP/TN counts as FN."""
+    """Score >= t is positive; anything else, a null or NaN score included, is
+    negative."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    pred = F.col("score") >= t
+    pred = reachable(F.col("score")) >= t
     y = F.col("y")
     agg = df.groupBy(*by).agg(
         F.sum(F.when((y == 1) & pred, 1).otherwise(0)).cast("long").alias("tp"),
@@ -109,8 +118,9 @@ def class_report(df: DataFrame, threshold: float, by: Sequence[str] = ()) -> Dat
 
 # ---------------------------------------------------------------- ranks, AUC, AP, curves
 def score_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Ties collapsed: one row per (group, distinct score) with pos / neg."""
-    return df.filter(F.col("score").isNotNull()).groupBy(*by, "score").agg(
+    """Ties collapsed: one row per (group, distinct score) with pos / neg; a row without a
+    score has no rank."""
+    return df.filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*by, "score").agg(
         F.sum("y").cast("long").alias("pos"),
         (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
 
@@ -118,10 +128,20 @@ def score_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 @grouped
 def auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A22 (W3): Mann-Whitney with mid-ranks: sum pos*(neg below + neg/2) / (P*N)."""
-    sc = ordered.prefix_sums(score_counts(df, by), "score", ["neg"], partition_cols=by)
-    return sc.groupBy(*by).agg(
+    return ranking_metrics(score_counts(df, by), by).select(*by, "auc")
+
+
+def ranking_metrics(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """AUC (A22) and average precision (A23) from one ascending pass over the distinct
+    scores' counts; what lies above a score is the total less what lies below it."""
+    c = ordered.prefix_sums(counts, "score", ["pos", "neg"], partition_cols=by)
+    tot = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    j = c.join(tot, list(by))
+    tps, fps = F.col("P") - F.col("pos_cum") + F.col("pos"), F.col("N") - F.col("neg_cum") + F.col("neg")
+    return j.groupBy(*by).agg(
         (F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") + F.col("neg") / 2.0))
-         / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+         / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        F.sum(_div0(F.col("pos"), F.col("P")) * (tps / (tps + fps))).alias("average_precision"))
 
 
 def _desc_cum(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -134,12 +154,7 @@ def _desc_cum(df: DataFrame, by: Sequence[str]) -> DataFrame:
 @grouped
 def average_precision(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum over distinct thresholds of (R_i - R_{i-1}) * P_i."""
-    c = _desc_cum(df, by)
-    tot = c.groupBy(*by).agg(F.sum("pos").alias("P"))
-    j = c.join(F.broadcast(tot), list(by))  # tot: one row per group
-    return j.groupBy(*by).agg(
-        F.sum(_div0(F.col("pos"), F.col("P")) * (F.col("tps") / (F.col("tps") + F.col("fps"))))
-        .alias("average_precision"))
+    return ranking_metrics(score_counts(df, by), by).select(*by, "average_precision")
 
 
 @grouped
@@ -150,7 +165,7 @@ def roc_points(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     c = ordered.with_next(c, "score", ["pos", "neg"], partition_cols=by, descending=True)
     tot = c.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                              F.max("score").alias("smax"), F.min("score").alias("smin"))
-    c = c.join(F.broadcast(tot), list(by))
+    c = c.join(tot, list(by))
     keep = (F.col("score") == F.col("smax")) | (F.col("score") == F.col("smin")) | \
         (F.col("neg_next") != F.col("neg")) | (F.col("pos_next") != F.col("pos"))
     pts = c.filter(keep).select(*by, F.col("score").alias("threshold"),
@@ -166,7 +181,7 @@ def pr_points(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """precision/recall per distinct score plus the closing (r=0, p=1)."""
     c = _desc_cum(df, by)
     tot = c.groupBy(*by).agg(F.sum("pos").alias("P"))
-    c = c.join(F.broadcast(tot), list(by))
+    c = c.join(tot, list(by))
     pts = c.select(*by, F.col("score").alias("threshold"),
                    _div0(F.col("tps"), F.col("tps") + F.col("fps")).alias("precision"),
                    F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("tps") / F.col("P")).alias("recall"))
@@ -181,9 +196,8 @@ def grid_counts(df: DataFrame, grid: Sequence[float], by: Sequence[str] = ()) ->
     slot (binary search on the literal grid doubles), the slot histogram
     (<= len(grid)+1 rows per group) is turned into per-threshold counts."""
     grid = [float(t) for t in grid]
-    b = Bucketizer(splits=[-math.inf] + grid + [math.inf], inputCol="_s", outputCol="_slot",
-                   handleInvalid="skip")
-    slotted = b.transform(df.filter(F.col("score").isNotNull()).withColumn("_s", F.col("score").cast("double")))
+    b = Bucketizer(splits=[-math.inf] + grid + [math.inf], inputCol="_s", outputCol="_slot")
+    slotted = b.transform(df.withColumn("_s", reachable(F.col("score"))))
     hist = slotted.groupBy(*by, "_slot").agg(F.sum("y").cast("long").alias("pos"),
                                              (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
     # score >= grid[i]  <=>  slot >= i + 1
@@ -231,16 +245,18 @@ def best_threshold(df: DataFrame, by: Sequence[str] = (), metric: str = "f1",
 def metric_row(df: DataFrame, threshold: float | Column | DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision, recall, F1 at a threshold + AUC + AP.
     ``threshold`` may be a per-group table ``[*by, threshold]``."""
+    return threshold_rates(df, threshold, by).join(
+        ranking_metrics(cut_lineage(score_counts(df, by)), by), list(by))
+
+
+def threshold_rates(df: DataFrame, threshold: float | Column | DataFrame, by: Sequence[str]) -> DataFrame:
+    """Confusion counts and rates at one threshold, or at each group's own."""
     if isinstance(threshold, DataFrame):
         d = df.join(F.broadcast(threshold.select(*by, F.col("threshold").alias("_t"))), list(by))
         cm = confusion(d, F.col("_t"), by)
-        cm = cm.join(threshold.select(*by, "threshold"), list(by))
-    else:
-        cm = confusion(df, threshold, by)
-        cm = cm.withColumn("threshold", threshold if isinstance(threshold, Column) else F.lit(float(threshold)))
-    r = rates(cm)
-    out = r.join(auc(df, by=by), list(by))
-    return out.join(average_precision(df, by=by), list(by))
+        return rates(cm.join(threshold.select(*by, "threshold"), list(by)))
+    cm = confusion(df, threshold, by)
+    return rates(cm.withColumn("threshold", threshold if isinstance(threshold, Column) else F.lit(float(threshold))))
 
 
 # ---------------------------------------------------------------- distribution, calibration
@@ -248,7 +264,7 @@ def histogram(df: DataFrame, n_bins: int = K.HIST_BINS, by: Sequence[str] = ())
     """Per-class counts in ``min(floor(p / w), n-1)`` bins; every bin
     present (spine from ``sequence``, not a join against data)."""
     w = 1.0 / n_bins
-    binned = df.filter(F.col("score").isNotNull()).withColumn(
+    binned = df.filter(F.col("score").isNotNull() & ~F.isnan("score")).withColumn(
         "bin", F.least(F.floor(F.col("score") / F.lit(w)), F.lit(n_bins - 1)).cast("int"))
     counts = binned.groupBy(*by, "bin").agg(
         F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).cast("long").alias("on_time"),
@@ -267,7 +283,7 @@ def calibration_bins(df: DataFrame, n_bins: int = K.CALIBRATION_BINS, by: Sequen
     """Reliability points (mean score, observed rate) of non-empty
     uniform bins; a score of exactly 1 falls in the last bin."""
     b = F.least(F.floor(F.col("score") * n_bins), F.lit(n_bins - 1)).cast("int")
-    return df.filter(F.col("score").isNotNull()).withColumn("bin", b).groupBy(*by, "bin").agg(
+    return df.filter(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("bin", b).groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg("y").alias("observed_rate"))
 
 

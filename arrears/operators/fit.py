@@ -83,29 +83,19 @@ def stacked(df: DataFrame) -> DataFrame:
     return df.select("amount", "is_late", F.inline(F.array(*items)))
 
 
-MONEY = "decimal(18,2)"
-
-
-def exact_amount_sums(col: str) -> list[Column]:
-    """Money sums in decimal: exact, so group means and deviations do not
-    depend on partitioning or summation order (equal on every run)."""
-    x = F.col(col).cast(MONEY)
-    return [F.sum(x).alias("_s1"), F.sum(x * x).alias("_s2"), F.count(x).alias("_nx")]
-
-
-def amount_moments() -> list[Column]:
-    """mean, sample std (ddof=1; one row -> 0) and total from exact sums."""
-    n, s1, s2 = F.col("_nx").cast("double"), F.col("_s1").cast("double"), F.col("_s2").cast("double")
-    var = (s2 - s1 * s1 / n) / (n - 1)
-    return [(s1 / n).alias("amount_avg"),
-            F.when(F.col("_nx") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.0)).alias("amount_std"),
-            s1.alias("amount_total")]
+def amount_stats() -> list[Column]:
+    """mean, sample std (one row, or an infinite amount: 0) and total, in doubles; NaN is
+    missing.  Spark's deviation merges central moments, so large amounts lose no digits."""
+    x = F.when(~F.isnan("amount"), F.col("amount").cast("double"))
+    std = F.stddev_samp(x)
+    return [F.avg(x).alias("amount_avg"),
+            F.when(std.isNull() | F.isnan(std), F.lit(0.0)).otherwise(std).alias("amount_std"),
+            F.sum(x).alias("amount_total")]
 
 
 def fit_globals(train: DataFrame) -> dict:
     """A2, A4, A5, A6 (global), A17 - bounded driver scalars."""
-    row = train.agg(F.count(F.lit(1)).alias("n"), *exact_amount_sums("amount"),
-                    F.avg("is_late").alias("late_rate")).select("n", "late_rate", *amount_moments()) \
+    row = train.agg(F.count(F.lit(1)).alias("n"), *amount_stats(), F.avg("is_late").alias("late_rate")) \
         .withColumnRenamed("amount_avg", "amount_mean").first()
     q = ordered.exact_quantiles(train, "amount",
                                 [K.WINSOR_LOWER, K.WINSOR_UPPER, 0.0, 0.25, 0.5, 0.75, 1.0])
@@ -135,10 +125,10 @@ def _fit(train: DataFrame, with_medians: bool) -> Fitted:
     tr = train.withColumn("amount_bin", bin_train(F.col("amount"), g["bin_edges"]))
     agg = stacked(tr).groupBy("dim", "key").agg(
         F.count(F.lit(1)).alias("n"),
-        *exact_amount_sums("amount"),
+        *amount_stats(),
         F.avg("is_late").alias("late_mean"),
         F.sum("is_late").cast("long").alias("late_sum"),
-    ).select("*", *amount_moments())
+    )
     gl = F.lit(g["late_rate"])
     smooth = F.when(F.col("dim").isin(*[p for _, _, p in PAIRS]), F.lit(K.PAIR_TE_SMOOTHING)) \
               .otherwise(F.lit(K.TE_SMOOTHING))
@@ -157,13 +147,10 @@ def _fit(train: DataFrame, with_medians: bool) -> Fitted:
         F.when(nonnull, te).alias("te"),
         F.when(nonnull, F.col("n") / F.col("_dim_n")).alias("freq"),
     )
-    # Codes of sorted labels (missing -> text 'nan') for the LE dims only;
-    # one window partition per categorical column, each holding its labels.
+    # Codes of sorted labels (missing -> text 'nan') for the LE dims only
     labels = agg.filter(F.col("dim").isin(*LE_DIMS)).select(
         "dim", "key", F.coalesce("key", F.lit("nan")).alias("_label"))
-    codes = labels.select(
-        "dim", "key",
-        (F.dense_rank().over(Window.partitionBy("dim").orderBy("_label")) - 1).alias("code"))
+    codes = labels.join(label_codes(labels.select("dim", "_label").distinct()), ["dim", "_label"]).select("dim", "key", "code")
     dims = dims.join(codes, (dims.dim == codes.dim) & dims.key.eqNullSafe(codes.key), "left") \
         .select(dims["*"], codes.code)
     # Distinct divisions / customers per salesperson (two-stage distinct)
@@ -202,6 +189,19 @@ def _fit(train: DataFrame, with_medians: bool) -> Fitted:
     return Fitted(g=g, dims=dims, dim_sizes=dim_sizes, n_classes=n_classes)
 
 
+def label_codes(labels: DataFrame) -> DataFrame:
+    """0-based position of each distinct (dim, _label) among its dim's sorted labels.
+
+    Labels are dealt by range and the part is kept as a column, so a window only ever holds
+    one part of one dim; the parts' sizes, summed in front, make the codes run on."""
+    parts = cut_lineage(labels.repartitionByRange("dim", "_label").withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("dim", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("dim").orderBy("_part")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("dim", "_part").orderBy("_label")) - 1
+    return parts.withColumn("_at", inside).join(before, ["dim", "_part"]).select(
+        "dim", "_label", (F.col("_before") + F.col("_at")).cast("int").alias("code"))
+
+
 def dim_table(fitted: Fitted, dim: str, cols: list[str], by_label: bool = False) -> DataFrame:
     t = fitted.dims.filter(F.col("dim") == dim)
     if by_label:

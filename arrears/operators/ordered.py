@@ -12,10 +12,10 @@ every row lands in one task.  Two helpers avoid it:
 * ``prefix_sums`` / ``with_next`` - running totals (and successor values)
   over a table that holds one row per distinct ordering value.  Rows are
   range-bucketed by sketch boundaries (a bucket is a function of the value,
-  so ties never straddle), bucket totals are prefix-summed on a table of at
-  most ``n_buckets`` rows per partition and broadcast back, and the row-level
-  window runs inside ``partitionBy(bucket)``.  Boundaries only steer balance;
-  results are exact.
+  so ties never straddle), bucket totals are prefix-summed on a table of one
+  row per bucket and joined back, and the row-level window runs inside
+  ``partitionBy(bucket)``.  The number of buckets grows with the table.
+  Boundaries only steer balance; results are exact.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from arrears.session import cut_lineage
 
 DEFAULT_ACCURACY = 10_000
 MAX_FETCH = 100_000
-N_BUCKETS = 256
+#: Rows that a bucket's window should hold; the number of buckets follows from the table's size.
+BUCKET_ROWS, LEAST_BUCKETS = 500_000, 32
 
 
 def lerp(a: float, b: float, t: float) -> float:
@@ -63,10 +64,7 @@ def order_statistics(x: DataFrame, n: int, ranks: Sequence[int],
     out: dict[int, float] = {}
     # state per rank: (lo, hi, rows below lo, rows inside [lo, hi])
     state = {k: (-math.inf, math.inf, 0, n) for k in set(ranks)}
-    for _ in range(64):
-        pending = {k: v for k, v in state.items() if k not in out}
-        if not pending:
-            break
+    while pending := {k: v for k, v in state.items() if k not in out}:
         small = {k: v for k, v in pending.items() if v[3] <= max_fetch}
         if small:
             cond = None
@@ -85,26 +83,15 @@ def order_statistics(x: DataFrame, n: int, ranks: Sequence[int],
             margin = 2.0 * rel_err
             probs += [max(0.0, sub_rank / m - margin), min(1.0, (sub_rank + 1) / m + margin)]
             keys.append(k)
-        # the sketch runs on the union of the current brackets
-        cond = None
-        for lo, hi, _, _ in set(big.values()):
-            c = (F.col("x") >= lo) & (F.col("x") <= hi)
-            cond = c if cond is None else cond | c
-        sub = x.filter(cond)
-        qs = sub.approxQuantile("x", probs, rel_err) if len(set(big.values())) == 1 else None
+        # one job sketches every bracket
+        inside = [(F.col("x") >= big[k][0]) & (F.col("x") <= big[k][1]) for k in keys]
+        sketch = x.agg(*[F.percentile_approx(F.when(c, F.col("x")), F.array(*[F.lit(p) for p in probs[2 * i:2 * i + 2]]),
+                                             int(math.ceil(1 / rel_err))).alias(f"q{i}")
+                         for i, c in enumerate(inside)]).first()
         new = {}
         for i, k in enumerate(keys):
-            lo0, hi0, below0, m0 = big[k]
-            if qs is None:  # several disjoint brackets: sketch each one
-                one = x.filter((F.col("x") >= lo0) & (F.col("x") <= hi0))
-                lo_v, hi_v = one.approxQuantile("x", probs[2 * i:2 * i + 2], rel_err)
-            else:
-                lo_v, hi_v = qs[2 * i], qs[2 * i + 1]
-            if probs[2 * i] == 0.0:
-                lo_v = lo0
-            if probs[2 * i + 1] == 1.0:
-                hi_v = hi0
-            new[k] = (lo_v, hi_v)
+            lo_v, hi_v = sketch[f"q{i}"]
+            new[k] = (big[k][0] if probs[2 * i] == 0.0 else lo_v, big[k][1] if probs[2 * i + 1] == 1.0 else hi_v)
         aggs = []
         for i, k in enumerate(keys):
             lo_v, hi_v = new[k]
@@ -210,13 +197,64 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Seque
         .select(*keys, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
 
 
+def masked_quantiles(x: DataFrame, mask: str, n_masks: int, col: str, probs: Sequence[float],
+                     accuracy: int = DEFAULT_ACCURACY) -> list[list[float | None]]:
+    """Exact quantiles of ``col`` over the rows of each bit of ``mask``, without a copy of
+    the rows per bit: one job sketches a bracket per bit and quantile, one counts what lies
+    below and in it, and only rows inside a bracket are ranked."""
+    v = F.col(col).cast("double")
+    on = [(F.shiftright(mask, i).bitwiseAND(F.lit(1)) == 1) & v.isNotNull() & ~F.isnan(v) for i in range(n_masks)]
+    while True:
+        eps = 2.0 / accuracy
+        edges = [min(1.0, max(0.0, p + e)) for p in probs for e in (-eps, eps)]
+        first = x.agg(*[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(on)],
+                      *[F.percentile_approx(F.when(c, v), F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"q{i}")
+                        for i, c in enumerate(on)]).first()
+        wanted = {}  # (bit, quantile) -> bracket and position
+        for i in range(n_masks):
+            for k, p in enumerate(probs):
+                if first[f"n{i}"]:
+                    lo, hi = first[f"q{i}"][2 * k:2 * k + 2]
+                    wanted[i, k] = (-math.inf if edges[2 * k] == 0 else lo, math.inf if edges[2 * k + 1] == 1 else hi,
+                                    *_positions(first[f"n{i}"], p))
+        if not wanted:
+            return [[None] * len(probs) for _ in range(n_masks)]
+        inside = {(i, k): on[i] & (v >= lo) & (v <= hi) for (i, k), (lo, hi, *_) in wanted.items()}
+        counts = x.agg(*[F.count(F.when(on[i] & (v < w[0]), 1)).alias(f"b{i}_{k}") for (i, k), w in wanted.items()],
+                       *[F.count(F.when(c, 1)).alias(f"m{i}_{k}") for (i, k), c in inside.items()]).first()
+        if all(counts[f"b{i}_{k}"] <= w[2] and w[3] < counts[f"b{i}_{k}"] + counts[f"m{i}_{k}"] for (i, k), w in wanted.items()):
+            break
+        accuracy *= 4  # a bracket missed its rank
+    hit = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), c.alias("on"),
+                                      F.lit(counts[f"b{i}_{k}"]).alias("below"), F.lit(wanted[i, k][2]).alias("k0"),
+                                      F.lit(wanted[i, k][3]).alias("k1")) for (i, k), c in inside.items()]), lambda s: s["on"])
+    near = x.select(v.alias("_v"), F.inline(hit))
+    at = F.row_number().over(Window.partitionBy("i", "k").orderBy("_v")) - 1 + F.col("below")
+    found = near.withColumn("at", at).where("at = k0 or at = k1").groupBy("i", "k").agg(
+        F.min("_v").alias("a"), F.max("_v").alias("b")).collect()  # a row per bit and quantile
+    out = [[None] * len(probs) for _ in range(n_masks)]
+    for r in found:
+        out[r["i"]][r["k"]] = lerp(r["a"], r["b"], wanted[r["i"], r["k"]][4])
+    return out
+
+
 # ---------------------------------------------------------------------------
 # running sums over a distinct-value table
 # ---------------------------------------------------------------------------
 
-def _bucketize(df: DataFrame, ord_col: str, n_buckets: int) -> DataFrame:
-    bounds = df.approxQuantile(ord_col, [i / n_buckets for i in range(1, n_buckets)], 1.0 / (4 * n_buckets))
-    splits = sorted({b for b in bounds if b is not None and math.isfinite(b)})
+def bucket_count(rows: int) -> int:
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def boundaries(df: DataFrame, ord_col: str, n_buckets: int) -> list[float]:
+    """Sketched values that cut the column into buckets of about equal size."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = df.approxQuantile(ord_col, probs, 1.0 / (4 * n_buckets)) if probs else []
+    return sorted({b for b in bounds if b is not None and math.isfinite(b)})
+
+
+def _bucketize(df: DataFrame, ord_col: str, n_buckets: int | None) -> DataFrame:
+    splits = boundaries(df, ord_col, n_buckets or bucket_count(df.count()))
     if not splits:
         return df.withColumn("_bkt", F.lit(0.0))
     b = Bucketizer(splits=[-math.inf] + splits + [math.inf], inputCol=ord_col,
@@ -226,7 +264,7 @@ def _bucketize(df: DataFrame, ord_col: str, n_buckets: int) -> DataFrame:
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                 partition_cols: Sequence[str] = (), descending: bool = False,
-                n_buckets: int = N_BUCKETS, materialize: bool = True) -> DataFrame:
+                n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``<c>_cum`` (inclusive running sum) for each ``c`` of ``sum_cols``.
 
     ``df`` must hold one row per (partition, order value).  Order is
@@ -244,8 +282,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     wb = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*part, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
                                         for c in sum_cols])
-    # at most n_buckets rows per partition value: bounded, broadcast
-    d = d.join(F.broadcast(offs), part + ["_bkt"])
+    # the window below needs the rows by the same keys, so a shuffle join costs nothing more
+    d = d.join(offs, part + ["_bkt"])
     w = Window.partitionBy(*part, "_bkt").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
     for c in sum_cols:
         d = d.withColumn(f"{c}_cum", F.col(f"_o_{c}") + F.sum(c).over(w))
@@ -254,7 +292,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 
 def with_next(df: DataFrame, order_col: str, cols: Sequence[str],
               partition_cols: Sequence[str] = (), descending: bool = False,
-              n_buckets: int = N_BUCKETS, materialize: bool = True) -> DataFrame:
+              n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``<c>_next``: value of ``c`` on the next row in the given order
     (null on the last row), without a global window."""
     part = list(partition_cols)
@@ -267,7 +305,7 @@ def with_next(df: DataFrame, order_col: str, cols: Sequence[str],
         F.min_by(F.struct(*[F.col(c) for c in cols]), F.col("_ord")).alias("_head"))
     wb = Window.partitionBy(*part).orderBy("_bkt")
     heads = heads.select(*part, "_bkt", F.lead("_head").over(wb).alias("_nh"))
-    d = d.join(F.broadcast(heads), part + ["_bkt"])
+    d = d.join(heads, part + ["_bkt"])
     w = Window.partitionBy(*part, "_bkt").orderBy("_ord")
     for c in cols:
         d = d.withColumn(f"{c}_next", F.coalesce(F.lead(c).over(w), F.col("_nh")[c]))

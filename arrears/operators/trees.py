@@ -306,7 +306,7 @@ def _tree_shap_one(x, left, right, feature, threshold, default_left, value, cove
 
 def contributions(df: DataFrame, nodes_with_cover: DataFrame, features: Sequence[str], key: str,
                   base_score: float = 0.5) -> DataFrame:
-    """M3: per-row, per-feature additive contributions (long) plus the
+    """M3: per-row contributions of every feature, zeros included (long), plus the
     ``__base__`` expected value; sum over a row = margin."""
     pdn = nodes_with_cover.toPandas().sort_values(["tree", "node"])
     bn = df.sparkSession.sparkContext.broadcast(pdn)
@@ -340,17 +340,13 @@ def contributions(df: DataFrame, nodes_with_cover: DataFrame, features: Sequence
                 per = np.stack([_tree_shap_one(X[r], left, right, feat_, thr, dl == 1, val, cov, len(feats))
                                 for r in first])
                 phi += per[inv.reshape(-1)]
-            rows_k, rows_f, rows_v = [], [], []
-            for r in range(X.shape[0]):
-                nz = np.nonzero(phi[r])[0]
-                rows_k += [pdf[key].iloc[r]] * (len(nz) + 1)
-                rows_f += [feats[i] for i in nz] + ["__base__"]
-                rows_v += [float(phi[r, i]) for i in nz] + [expected]
-            yield pd.DataFrame({key: rows_k, "feature": rows_f, "value": rows_v})
-
-    schema = T.StructType([df.schema[key], T.StructField("feature", T.StringType()),
-                           T.StructField("value", T.DoubleType())])
-    return df.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(run, schema)
+            yield pd.DataFrame({key: pdf[key], "phi": list(np.column_stack([phi, np.full(len(phi), expected)]))})
+
+    schema = T.StructType([df.schema[key], T.StructField("phi", T.ArrayType(T.DoubleType()))])
+    dense = df.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(run, schema)
+    names = F.array(*[F.lit(f) for f in [*feats, "__base__"]])
+    return dense.select(key, F.posexplode("phi").alias("_i", "value")).select(
+        key, F.get(names, F.col("_i")).alias("feature"), "value")
 
 
 def top_contributions(contrib: DataFrame, key: str, n: int = 10) -> DataFrame:

@@ -134,7 +134,7 @@ def a31_bootstrap(spark, sf_dir):
 # ------------------------------------------------------------------ seed stability
 def _seed_sql() -> list[str]:
     h = "substr(md5(CAST(s.seed AS VARCHAR) || ':' || c.customer), 1, 2)"
-    dims = experiment.SCORE_DIMS
+    dims = ["salesperson", "division", "city", "customer_group", "amount_bin"]
     te_union = " UNION ALL ".join(
         f"SELECT seed, is_late, late_rate, '{d}' AS dim, {d} AS key FROM xb WHERE split = 'train'" for d in dims)
     joins = " ".join(f"LEFT JOIN te t_{d} ON t_{d}.seed = xb.seed AND t_{d}.dim = '{d}' AND t_{d}.key = xb.{d}"
@@ -187,15 +187,15 @@ _SEED_RESULTS: dict = {}
 def _seed_results(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _SEED_RESULTS:
-        long = experiment.multi_seed_scores(base(spark, sf_dir), SEEDS, KEYS)
-        _SEED_RESULTS[key] = cut_lineage(experiment.seed_results(long))
+        counts = experiment.seed_score_counts(base(spark, sf_dir), SEEDS)
+        _SEED_RESULTS[key] = cut_lineage(experiment.seed_results(counts))
     return _SEED_RESULTS[key]
 
 
 @query("m15_seed_results", S.with_ctes(S.base_ctes() + _seed_sql(),
                                        "SELECT seed, model, metric, round(value, 9) AS value FROM res"))
 def m15_seed_results(spark, sf_dir):
-    """30 seeds x (split, fit, score, evaluate) in one plan."""
+    """30 seeds x (split, fit, score, evaluate) over shared scans."""
     r = _seed_results(spark, sf_dir)
     return r.select("seed", "model", "metric", r9("value", "value"))
 
@@ -273,9 +273,10 @@ def a48_class_balance(spark, sf_dir):
 def _experiments(spark, sf_dir):
     """Long comparison table (model, experiment, threshold, metrics)."""
     val_best = ev.best_threshold(scored_long(spark, sf_dir, "val"), ["model"], "f1").select("model", "threshold")
-    test = scored_long(spark, sf_dir)
-    tuned = ev.metric_row(test, val_best, by=["model"]).withColumn("experiment", F.lit("tuned"))
-    default = ev.metric_row(test, 0.5, by=["model"]).withColumn("experiment", F.lit("default"))
+    test, by = scored_long(spark, sf_dir), ["model"]
+    ranking = cut_lineage(ev.ranking_metrics(cut_lineage(ev.score_counts(test, by)), by))  # the same for both
+    tuned = ev.threshold_rates(test, val_best, by).join(ranking, by).withColumn("experiment", F.lit("tuned"))
+    default = ev.threshold_rates(test, 0.5, by).join(ranking, by).withColumn("experiment", F.lit("default"))
     cols = ["model", "experiment", "threshold", "accuracy", "precision", "recall", "f1", "auc", "average_precision"]
     return tuned.select(*cols).unionByName(default.select(*cols))
 

@@ -65,40 +65,31 @@ def a51_dataset_profile(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ fitted tables
-def _money(col="amount"):
-    return f"CAST({col} AS DECIMAL(18,2))"
-
-
-_A01 = _union([f"""SELECT '{d}' AS dim, {d} AS key, count(*) AS n,
-       round(CAST(sum({_money()}) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS amount_avg,
-       round(CASE WHEN count(*) > 1 THEN sqrt(greatest(
-             (CAST(sum({_money()} * {_money()}) AS DOUBLE)
-              - CAST(sum({_money()}) AS DOUBLE) * CAST(sum({_money()}) AS DOUBLE) / CAST(count(*) AS DOUBLE))
-             / (CAST(count(*) AS DOUBLE) - 1), 0.0)) ELSE 0.0 END, 6) AS amount_std
+_A01 = _union([f"""SELECT '{d}' AS dim, {d} AS key, count(*) AS n, round(avg(amount), 4) AS amount_avg,
+       round(COALESCE(stddev_samp(amount), 0.0), 3) AS amount_std
 FROM split WHERE split = 'train' AND {d} IS NOT NULL GROUP BY {d}""" for d in AMOUNT_DIM_LIST])
 
 
 @query("a01_group_amount_stats", S.with_ctes(S.base_ctes(), _A01))
 def a01_group_amount_stats(spark, sf_dir):
     d = _dims(spark, sf_dir, AMOUNT_DIM_LIST)
-    return d.select("dim", "key", "n", r6("amount_avg", "amount_avg"), r6("amount_std", "amount_std"))
+    return d.select("dim", "key", "n", F.round("amount_avg", 4).alias("amount_avg"), F.round("amount_std", 3).alias("amount_std"))
 
 
 @query("a03_customer_totals", S.with_ctes(S.base_ctes(), f"""
-SELECT customer, round(CAST(sum({_money()}) AS DOUBLE), 4) AS total_amount
+SELECT customer, round(sum(amount), 2) AS total_amount
 FROM split WHERE split = 'train' GROUP BY customer"""))
 def a03_customer_totals(spark, sf_dir):
     d = _dims(spark, sf_dir, ["customer"])
-    return d.select(F.col("key").alias("customer"), F.round("amount_total", 4).alias("total_amount"))
+    return d.select(F.col("key").alias("customer"), F.round("amount_total", 2).alias("total_amount"))
 
 
 @query("a04_global_fit_scalars", S.with_ctes(S.base_ctes() + [S.GLOBALS], f"""
 SELECT round(winsor_lo, 6) AS winsor_lo, round(winsor_hi, 6) AS winsor_hi, round(q1, 6) AS q1,
        round(q2, 6) AS q2, round(q3, 6) AS q3, round(late_rate, 9) AS late_rate, n_train,
-       round((SELECT CAST(sum({_money()}) AS DOUBLE) / CAST(count(*) AS DOUBLE) FROM split WHERE split = 'train'), 6)
-         AS amount_mean,
-       round((SELECT avg(t) FROM (SELECT CAST(sum({_money()}) AS DOUBLE) AS t FROM split
-              WHERE split = 'train' GROUP BY customer)), 4) AS cust_total_mean
+       round(amount_mean, 4) AS amount_mean,
+       round((SELECT avg(t) FROM (SELECT sum(amount) AS t FROM split
+              WHERE split = 'train' GROUP BY customer)), 2) AS cust_total_mean
 FROM g"""))
 def a04_global_fit_scalars(spark, sf_dir):
     """A2, A3 (mean of totals), A4, A5, A17 as one row."""
@@ -107,7 +98,7 @@ def a04_global_fit_scalars(spark, sf_dir):
     e = F.col("bin_edges")
     return g.select(r6("winsor_lo", "winsor_lo"), r6("winsor_hi", "winsor_hi"), r6(e[1], "q1"), r6(e[2], "q2"),
                     r6(e[3], "q3"), r9("late_rate", "late_rate"), F.col("n_train").cast("long").alias("n_train"),
-                    r6("amount_mean", "amount_mean"), F.round("cust_total_mean", 4).alias("cust_total_mean"))
+                    F.round("amount_mean", 4).alias("amount_mean"), F.round("cust_total_mean", 2).alias("cust_total_mean"))
 
 
 @query("a06_group_medians", S.with_ctes(S.base_ctes(), _union([
@@ -265,9 +256,9 @@ _GS = ["customer", "salesperson", "city"]
 
 @query("j01_group_stat_features", S.with_ctes(S.base_ctes() + [S.GLOBALS] + [f"""gs_{d} AS (
   SELECT {d} AS key, count(*) AS n,
-         CAST(sum({_money()}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS a
+         avg(amount) AS a
   FROM split WHERE split = 'train' AND {d} IS NOT NULL GROUP BY {d})""" for d in _GS]
-    + [f"""gm AS (SELECT CAST(sum({_money()}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS m FROM split WHERE split = 'train')"""], f"""
+    + [f"""gm AS (SELECT avg(amount) AS m FROM split WHERE split = 'train')"""], f"""
 SELECT x.split, {", ".join(f"CAST(sum(COALESCE(gs_{d}.n, 1)) AS BIGINT) AS {p}_tx_count_sum, round(avg(COALESCE(gs_{d}.a, gm.m)), 4) AS {p}_avg_amount_mean" for d, p in (("customer", "cust"), ("salesperson", "sales"), ("city", "city")))}
 FROM split x CROSS JOIN gm {" ".join(f"LEFT JOIN gs_{d} ON x.{d} = gs_{d}.key" for d in _GS)}
 GROUP BY x.split"""))

@@ -131,11 +131,12 @@ def write_decisions_csv(df: DataFrame, path: str) -> None:
 
 def shap_arrays(contrib: DataFrame, features: list[str], key: str = "row_id") -> DataFrame:
     """Long (row, feature, value) -> one dense array per row in
-    the fixed feature order (a row holds at most len(features) entries)."""
-    idx = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
-    c = contrib.withColumn("_i", idx[F.col("feature")])
-    g = c.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "value"))).alias("_v"))
-    return g.select(key, F.transform("_v", lambda s: s["value"]).alias("shap_values"))
+    the fixed feature order; a feature without an entry is 0, entries of other names
+    (the base value) are left out (a row holds at most len(features) entries)."""
+    c = contrib.where(F.col("feature").isin(*features))
+    g = c.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_v"))
+    rows = contrib.select(key).distinct().join(g, key, "left")
+    return rows.select(key, F.array(*[F.coalesce(F.col("_v")[f], F.lit(0.0)) for f in features]).alias("shap_values"))
 
 
 def shap_long(arrays: DataFrame, features: list[str], key: str = "row_id") -> DataFrame:

@@ -8,7 +8,7 @@ validation with a reject reason.  Everything is a column expression over
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +37,32 @@ class MissingColumns(ValueError):
     pass
 
 
-def read_upload(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Header row, cells trimmed, short rows kept (PERMISSIVE:
-    missing cells become empty and are reported by ``validate``), empty
-    cells stay empty strings (as the reference's reader does)."""
-    df = (spark.read.option("header", True).option("encoding", encoding)
-          .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True)
-          .option("ignoreTrailingWhiteSpace", True).option("nullValue", "\u0000")
-          .option("emptyValue", "").csv(path))
+#: Holds the raw line of a row whose number of cells differs from the header's.
+MALFORMED = "malformed_line"
+
+
+def read_upload(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Header row, cells trimmed, doubled quotes inside quoted cells, empty cells
+    stay empty strings.  Rows with too few or too many cells keep their line in
+    ``malformed_line`` and are rejected by ``validate``.  Without ``encoding`` the file is
+    read as UTF-8, and as Latin-1 if it holds bytes that are no UTF-8."""
+    def read(schema: T.StructType | None, code: str) -> DataFrame:
+        r = (spark.read.option("header", True).option("encoding", code).option("mode", "PERMISSIVE")
+             .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True)
+             .option("ignoreTrailingWhiteSpace", True).option("nullValue", "\u0000").option("emptyValue", ""))
+        if schema is not None:  # every cell is parsed, or miscounted rows would pass unseen
+            r = r.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False)
+        return r.csv(path)
+
+    def whole(code: str) -> DataFrame:
+        names = read(None, code).columns
+        return read(T.StructType([T.StructField(c, T.StringType()) for c in [*names, MALFORMED]]), code)
+
+    df = whole(encoding or "UTF-8")
+    if encoding is None:
+        broken = F.exists(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]), lambda v: v.contains("\ufffd"))
+        if "\ufffd" in "".join(df.columns) or not df.where(broken).isEmpty():
+            df = whole("ISO-8859-1")
     return canonical(df)
 
 
@@ -87,7 +105,8 @@ def validate(df: DataFrame, strict: bool = True) -> DataFrame:
     non-empty) to batches; lenient mode only rejects non-finite amounts."""
     amount = F.col("amount")
     nonfinite = F.isnan(amount) | (F.abs(amount) == F.lit(float("inf")))
-    checks = [(nonfinite, "amount is not a finite number")]
+    checks = [(F.col(MALFORMED).isNotNull(), "wrong number of cells")] if MALFORMED in df.columns else []
+    checks.append((nonfinite, "amount is not a finite number"))
     if strict:
         checks.append((amount <= 0, "amount must be > 0"))
         checks += [(F.length(F.col(c)) == 0, f"{c} is empty") for c in STRING_FIELDS]
@@ -98,11 +117,15 @@ def validate(df: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0-based position in read order (``zipWithIndex``: one counting
-    job over partition sizes, no data through a single task)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """0-based position in read order, on the JVM: the position within the partition,
+    plus the row counts of the partitions before it (one small row per partition)."""
+    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    offsets = sizes.select("_part", before.alias("_before"))
+    return marked.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
+        name, F.col("_before") + at).drop("_at", "_part", "_before")
 
 
 def input_summary(df: DataFrame) -> DataFrame:

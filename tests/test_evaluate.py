@@ -123,3 +123,15 @@ def test_poisson_weights_mean(spark):
     df = spark.range(20000).select(cmp.poisson_weight(F.col("id").cast("string"), F.lit(1)).alias("w"))
     r = df.agg(F.avg("w"), F.variance("w")).first()
     assert abs(r[0] - 1) < 0.03 and abs(r[1] - 1) < 0.05
+
+
+def test_null_and_nan_scores_are_below_every_threshold(spark):
+    nan = float("nan")
+    rows = [(1, 0.9), (0, 0.8), (1, 0.1), (0, 0.2), (1, nan), (0, nan), (0, None)]
+    df = spark.createDataFrame(rows, "y int, score double")
+    from arrears.operators import evaluate as ev
+    cm = ev.confusion(df, 0.5).first()
+    assert (cm.tp, cm.fp, cm.tn, cm.fn) == (1, 1, 3, 2)
+    g = ev.grid_counts(df, [0.5]).first()
+    assert (g.tp, g.fp, g.tn, g.fn) == (1, 1, 3, 2)
+    assert abs(ev.auc(df).first().auc - 0.5) < 1e-12

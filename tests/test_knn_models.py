@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from arrears.operators import knn, resample, trees
@@ -18,9 +19,11 @@ def _points(spark, n=400, d=5, seed=11):
     return pdf, spark.createDataFrame(rows, "id long, vec array<double>, y int")
 
 
-def test_knn_exact_vs_brute_force(spark):
+@pytest.mark.parametrize("rows", [16, 1024])
+def test_knn_exact_vs_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", rows)
     pdf, df = _points(spark)
-    got = knn.knn(df.select("id", "vec"), 5, bucket_rows=16).toPandas()
+    got = knn.knn(df.select("id", "vec"), 5).toPandas()
     X = np.stack(pdf.vec.to_numpy())
     D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
     for i in range(len(X)):
@@ -29,6 +32,38 @@ def test_knn_exact_vs_brute_force(spark):
         assert list(g.nn_id) == [j for _, j in order]
 
 
+def test_knn_of_unequal_groups(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(2)
+    sizes = {"a": 500, "b": 30, "c": 3, "d": 1}
+    rows = [(g, i, rng.normal(size=4).tolist()) for g, n in sizes.items() for i in range(n)]
+    got = knn.knn(spark.createDataFrame(rows, "g string, id long, vec array<double>"), 5, ["g"]).toPandas()
+    for g, n in sizes.items():
+        x = np.array([v for h, _, v in rows if h == g])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        for i in range(n):
+            want = sorted((d[i, j], j) for j in range(n) if j != i)[:5]
+            mine = got[(got.g == g) & (got.id == i)].sort_values("nn_rank")
+            assert list(mine.nn_id) == [j for _, j in want]
+
+
+def test_knn_lsh_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 6)) * 5
+    rows = [(i, (centres[i % 20] + rng.normal(size=6) * 0.2).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    r = knn.recall(knn.knn(df, 5), knn.knn_lsh(df, 5)).first()
+    assert r.n_neighbours == 3000 and r.recall >= 0.9
+
+
+def test_smote_of_a_tiny_class_loses_no_copy(spark):
+    rows = [(i, [float(i), 1.0], int(i < 3)) for i in range(23)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, y int")
+    assert resample.smote(df).count() == 17
+    with pytest.raises(ValueError):
+        resample.smote(df.filter("id = 0 or y = 0"))
+
+
 def test_smote_balances_and_stays_between(spark):
     pdf, df = _points(spark)
     syn = resample.smote(df, k=3).toPandas()
@@ -58,6 +93,8 @@ def test_tree_scorer_and_shap(spark):
     assert np.allclose(ours.probability.to_numpy(), ml.p.to_numpy(), atol=1e-12)
     cov = trees.node_cover(df, nodes, feats)
     c = trees.contributions(df, cov, feats, "rid").groupBy("rid").agg(F.sum("value").alias("s")).toPandas()
+    per = trees.contributions(df, cov, feats, "rid").groupBy("rid").count().agg(F.min("count"), F.max("count")).first()
+    assert tuple(per) == (5, 5)  # a row for every feature, zeros too, and the base
     margin = np.log(ours.probability / (1 - ours.probability)).to_numpy()
     c = c.sort_values("rid")
     assert np.allclose(c.s.to_numpy(), margin, atol=1e-9)

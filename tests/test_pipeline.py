@@ -40,3 +40,11 @@ def test_headers_bom_defaults_and_missing(spark):
         batch.canonical(df.drop("kota"))
     v = batch.validate(batch.coerce(c.withColumn("district", F.lit("")))).first()
     assert v.error == "district is empty"
+
+
+def test_money_keeps_digits_and_infinities(spark):
+    from arrears.operators import fit
+    rows = [("a", 10.005), ("a", 10.004), ("a", 0.001), ("b", 2e16), ("c", float("inf")), ("c", 1.0), ("d", float("nan"))]
+    got = {r.k: r for r in spark.createDataFrame(rows, "k string, amount double").groupBy("k").agg(*fit.amount_stats()).collect()}
+    assert abs(got["a"].amount_std - 5.775523) < 1e-6 and got["b"].amount_total == 2e16 and got["b"].amount_std == 0
+    assert got["c"].amount_avg == float("inf") and got["c"].amount_std == 0 and got["d"].amount_avg is None

@@ -100,3 +100,34 @@ def test_raw_transactions_and_table_csv(spark, tmp_path):
         fh.write("seed,xgb_test_auc\n1,0.77\n2,bad\n")
     rows = A.read_table_csv(spark, q, schema).orderBy("seed").collect()
     assert rows[0].xgb_test_auc == 0.77 and rows[1].xgb_test_auc is None
+
+
+def test_shap_arrays_are_dense(spark):
+    from arrears.sources import artifacts
+    rows = [(1, "f2", 0.5), (1, "__base__", -9.0), (2, "__base__", -9.0)]
+    got = {r.row_id: list(r.shap_values) for r in artifacts.shap_arrays(
+        spark.createDataFrame(rows, "row_id long, feature string, value double"), ["f0", "f1", "f2"]).collect()}
+    assert got == {1: [0.0, 0.0, 0.5], 2: [0.0, 0.0, 0.0]}
+
+
+HEADER = "jumlah,kode_customer,nama_salesman,nama_divisi,nama_kategori,nama_sub_kategori,kode_cabang,provinsi,kota,kecamatan"
+
+
+def test_upload_quotes_miscounted_rows_and_latin1(spark, tmp_path):
+    from arrears.sources import batch
+    lines = [HEADER, '"1,000",C1,"PT ""MAJU"", Tbk",D,K,S,B,P,Kota,Kec', "5,C2,N,D,K,S,B,P", "6,C3,N,D,K,S,B,P,Kota,Kec,more"]
+    (tmp_path / "a.csv").write_text("\n".join(lines), encoding="utf-8")
+    rows = batch.validate(batch.coerce(batch.read_upload(spark, str(tmp_path / "a.csv")))).collect()
+    by = {r.customer: r for r in rows}
+    assert (by["C1"].salesperson, by["C1"].amount, by["C1"].error) == ('PT "MAJU", Tbk', 1000.0, None)
+    assert by["C2"].error == by["C3"].error == "wrong number of cells"
+    (tmp_path / "b.csv").write_bytes("\n".join([HEADER, "7,Café,N,D,K,S,B,P,Kota,Kec"]).encode("latin-1"))
+    assert batch.read_upload(spark, str(tmp_path / "b.csv")).first().customer == "Café"
+
+
+def test_row_index_follows_read_order(spark, tmp_path):
+    from arrears.sources import batch
+    df = spark.range(1000).repartition(7)
+    df.write.parquet(str(tmp_path / "t"))
+    got = batch.with_row_index(spark.read.parquet(str(tmp_path / "t"))).orderBy("row_index").collect()
+    assert [r.row_index for r in got] == list(range(1000)) and sorted(r.id for r in got) == list(range(1000))
