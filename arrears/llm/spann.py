@@ -39,7 +39,7 @@ from arrears.llm import common
 SAMPLE, SAMPLE_BYTES, LIST_ROWS = 20_000, 64 << 20, 512
 DEGREE, LINKS, COPIES, NEAR = 16, 4, 4, 1.15
 TRIALS, RECALL = 256, 0.985
-LEAST_BLOCK, MOST_BLOCK = 384, 65_536
+LEAST_BLOCK, MOST_BLOCK, STRIPE = 4096, 65_536, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -195,12 +195,13 @@ def fit(x: np.ndarray, total: int, longest: float, k: int, seed: int = 4) -> Lis
 
 def best_of(q: np.ndarray, v: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query (ids, scores) of its k best, without itself."""
-    rough = q @ v.T
     slack = 1e-9 * (1 + np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max(initial=0)))
     for r in range(len(q)):
+        if r % STRIPE == 0:
+            rough = q[r:r + STRIPE] @ v.T
         on = np.flatnonzero(ids != own[r])
         if len(on) > k:
-            s = rough[r, on]
+            s = rough[r % STRIPE, on]
             on = on[s >= np.partition(s, len(s) - k)[len(s) - k] - slack[r]]
         # the same vectors get the same score wherever they lie
         score = (v[on] * q[r]).sum(1)

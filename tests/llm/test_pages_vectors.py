@@ -48,6 +48,7 @@ def test_op4_query_recall(spark):
 def test_op4_ties_and_odd_rows(spark, monkeypatch, lists):
     monkeypatch.setattr(spann, "LIST_ROWS", lists)
     monkeypatch.setattr(spann, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(spann, "STRIPE", 4)
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + 0.1 * rng.normal(size=8)).tolist()) for i in range(300)]
