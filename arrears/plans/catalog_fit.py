@@ -65,7 +65,7 @@ def a51_dataset_profile(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ fitted tables
-_A01 = _union([f"""SELECT '{d}' AS dim, {d} AS key, count(*) AS n, round(avg(amount), 4) AS amount_avg,
+_A01 = _union([f"""SELECT '{d}' AS dim, {d} AS key, count(*) AS n, round(round(sum(amount), 2) / count(*), 6) AS amount_avg,
        round(COALESCE(stddev_samp(amount), 0.0), 3) AS amount_std
 FROM split WHERE split = 'train' AND {d} IS NOT NULL GROUP BY {d}""" for d in AMOUNT_DIM_LIST])
 
@@ -73,7 +73,8 @@ FROM split WHERE split = 'train' AND {d} IS NOT NULL GROUP BY {d}""" for d in AM
 @query("a01_group_amount_stats", S.with_ctes(S.base_ctes(), _A01))
 def a01_group_amount_stats(spark, sf_dir):
     d = _dims(spark, sf_dir, AMOUNT_DIM_LIST)
-    return d.select("dim", "key", "n", F.round("amount_avg", 4).alias("amount_avg"), F.round("amount_std", 3).alias("amount_std"))
+    return d.select("dim", "key", "n", # amounts are in cents: a mean's digits beyond the exact total are noise of summation
+                    r6(F.round(F.col("amount_avg") * F.col("n"), 2) / F.col("n"), "amount_avg"), F.round("amount_std", 3).alias("amount_std"))
 
 
 @query("a03_customer_totals", S.with_ctes(S.base_ctes(), f"""
