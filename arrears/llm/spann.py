@@ -174,7 +174,9 @@ def fit(x: np.ndarray, total: int, longest: float, k: int, seed: int = 4) -> Lis
     apart = (c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T
     np.fill_diagonal(apart, np.inf)
     near = np.argsort(apart, 1, kind="stable")[:, :min(DEGREE, max(1, n - 1))]
-    lists.graph = np.column_stack([near, rng.integers(0, n, (n, LINKS)), (np.arange(n) + 1) % n])
+    links = np.sort(np.column_stack([near, rng.integers(0, n, (n, LINKS)), (np.arange(n) + 1) % n]), 1)
+    again = np.column_stack([np.zeros(n, bool), links[:, 1:] == links[:, :-1]])
+    lists.graph = np.where(again, np.arange(n)[:, None], links)  # a repeated link leads nowhere new
     # what ratio reaches the lists of true neighbours
     trial = rng.choice(len(x), min(TRIALS, len(x)), replace=False)
     scores = x[trial] @ x.T

@@ -70,6 +70,21 @@ def test_op4_ties_and_odd_rows(spark, monkeypatch, lists):
     assert spann.search(df.limit(0)).count() == 0 and spann.search(df.where("vec_id = 1000")).count() == 0
 
 
+@pytest.mark.parametrize("n", [30, 900])
+def test_op4_beam_finds_each_list_once(n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 12))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    lists = spann.fit(x, 16 * 512, 1.0, 20)
+    for width in (4, 16):
+        ids, dist = lists.beam(lists.asked(x), width)
+        assert all(len(set(r)) == len(r) for r in ids.tolist()) and (np.diff(dist) >= 0).all()
+    row, home = lists.homes(x)
+    assert len({*zip(row.tolist(), home.tolist())}) == len(row)
+    away = ((lists.placed(x)[:, None] - lists.centroids[None]) ** 2).sum(2)
+    assert np.mean(home[np.searchsorted(row, np.arange(n))] == away.argmin(1)) > 0.9
+
+
 def test_op6_oracle(spark):
     assert ": OK" in compare(spark, duck(SMALL), "op6_warc", queries.QUERIES["op6_warc"], queries.ORACLES["op6_warc"], SMALL)
 
