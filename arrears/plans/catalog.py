@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arrears.plans import (catalog_batch, catalog_compare, catalog_eval, catalog_fit, catalog_models,  # noqa: F401
-                           catalog_resample)
+from arrears.plans import (catalog_batch, catalog_compare, catalog_eval, catalog_features, catalog_fit,  # noqa: F401
+                           catalog_models, catalog_resample)
 from arrears.plans.base import featurized, scorecards
 
 
