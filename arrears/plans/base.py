@@ -15,8 +15,8 @@ from arrears.operators import features as feat
 from arrears.operators.clean import fixture_clean
 from arrears.operators.fit import Fitted, fit
 from arrears.operators.split import assign_split
-from arrears.session import cut_lineage, ensure_parallelism
-from arrears.sources.tables import receivables
+from arrears.session import cut_lineage
+from arrears.sources.tables import receivables, version
 
 KEYS = ["order_key", "line_no", "part_key", "supp_key"]
 _FITS: dict = {}
@@ -29,14 +29,14 @@ def base(spark: SparkSession, sf_dir: str, seed: int = K.FIXTURE_SEED) -> DataFr
     """Cleaned receivables with their customer split, materialised once as a
     table in the checkpoint folder (fit, transform and the split-level
     queries all re-read it instead of re-running the six-way join)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), seed)
+    key = (version(spark, sf_dir), seed)
     if key not in _BASES:
-        _BASES[key] = cut_lineage(ensure_parallelism(assign_split(fixture_clean(receivables(spark, sf_dir)), seed)))
+        _BASES[key] = cut_lineage(assign_split(fixture_clean(receivables(spark, sf_dir)), seed))
     return _BASES[key]
 
 
 def fitted(spark: SparkSession, sf_dir: str, seed: int = K.FIXTURE_SEED) -> Fitted:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), seed)
+    key = (version(spark, sf_dir), seed)
     if key not in _FITS:
         _FITS[key] = fit(base(spark, sf_dir, seed).filter(F.col("split") == "train"))
     return _FITS[key]
@@ -49,7 +49,7 @@ def featurized(spark: SparkSession, sf_dir: str, seed: int = K.FIXTURE_SEED,
                mode: str = "offline") -> DataFrame:
     """Feature rows of every split, materialised once (reliable checkpoint)
     like the reference's processed split files."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), seed, mode)
+    key = (version(spark, sf_dir), seed, mode)
     if key not in _FEATS:
         _FEATS[key] = cut_lineage(feat.transform(base(spark, sf_dir, seed), fitted(spark, sf_dir, seed), mode))
     return _FEATS[key]

@@ -4,6 +4,7 @@ A46, W5, T1/T2) and artifact round trips (S5, S7, S9)."""
 from __future__ import annotations
 
 import os
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from arrears.plans.base import KEYS, base, fitted, scorecards
 from arrears.plans.catalog_compare import _exp_sql, _experiments
 from arrears.plans.registry import query, r9
 from arrears.session import checkpoint_dir
+from arrears.sources.tables import version
 from arrears.sources import artifacts, batch
 
 _UPLOADS: dict = {}
@@ -23,7 +25,7 @@ def upload_file(spark, sf_dir) -> str:
     """The test split's raw invoices written as an upload CSV with the
     reference's snake_case headers, plus edge cells injected by expression:
     unparseable amount, thousands separators, empty district, empty group."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = version(spark, sf_dir)
     if key in _UPLOADS:
         return _UPLOADS[key]
     path = os.path.join(checkpoint_dir(spark), "uploads", f"batch_{abs(hash(key))}")
@@ -141,7 +143,7 @@ def s07_experiment_tree(spark, sf_dir):
                     F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                        for m in ("threshold", "accuracy", "precision", "recall", "f1", "auc")])))
     doc = artifacts.nest_experiments(long)
-    path = os.path.join(checkpoint_dir(spark), "artifacts", f"metrics_{abs(hash((spark.sparkContext.applicationId, sf_dir)))}")
+    path = os.path.join(checkpoint_dir(spark), "artifacts", f"metrics_{zlib.crc32(sf_dir.encode())}")
     doc.write.mode("overwrite").json(path)
     back = artifacts.read_optional_json(spark, path, artifacts.METRICS_TREE)
     flat = artifacts.flatten_experiments(back)
@@ -154,10 +156,10 @@ _STREAMS: dict = {}
 
 def stream_outputs(spark, sf_dir) -> str:
     from arrears.streaming import scoring
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = version(spark, sf_dir)
     if key not in _STREAMS:
-        _STREAMS[key] = scoring.run(spark, upload_file(spark, sf_dir), fitted(spark, sf_dir), scorecards,
-                                    f"score_{abs(hash(key))}")
+        _STREAMS[key] = scoring.run(spark, upload_file(spark, sf_dir), fitted(spark, sf_dir), scorecards, watermark="3650 days",  # the upload is in no order of time
+                                    name=f"score_{zlib.crc32(repr(key).encode())}")
     return _STREAMS[key]
 
 
@@ -174,6 +176,23 @@ def r01_stream_scoring(spark, sf_dir):
                        r9("score_a", "score_a"), r9("score_b", "score_b"), "error")
 
 
+@query("r02_accepted_rows", S.with_ctes(_BATCH_CTES, """
+SELECT order_key, line_no, part_key, supp_key, round(score_a, 9) AS score_a, round(score_b, 9) AS score_b FROM bs WHERE error IS NULL"""))
+def r02_accepted_rows(spark, sf_dir):
+    """R2: the accepted sink alone."""
+    acc = spark.read.parquet(os.path.join(stream_outputs(spark, sf_dir), "accepted"))
+    return acc.select(*[F.col(k).cast("long" if k != "line_no" else "int").alias(k) for k in KEYS],
+                      r9("score_a", "score_a"), r9("score_b", "score_b"))
+
+
+@query("r02_rejected_rows", S.with_ctes(_BATCH_CTES, """
+SELECT order_key, line_no, part_key, supp_key, error FROM bs WHERE error IS NOT NULL"""))
+def r02_rejected_rows(spark, sf_dir):
+    """R2: the rejected sink alone."""
+    rej = spark.read.parquet(os.path.join(stream_outputs(spark, sf_dir), "rejected"))
+    return rej.select(*[F.col(k).cast("long" if k != "line_no" else "int").alias(k) for k in KEYS], "error")
+
+
 @query("r03_decision_windows", S.with_ctes(_BATCH_CTES + ["""dw AS (SELECT u.*, b.score_a, b.score_b,
    CAST(CAST(time_bucket(INTERVAL '7 days', CAST(x.invoice_date AS TIMESTAMP), TIMESTAMP '1970-01-01') AS DATE)
         AS VARCHAR) AS window_start

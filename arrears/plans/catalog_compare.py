@@ -17,6 +17,7 @@ from arrears.plans.base import KEYS, base, featurized, scorecards, scored_long
 from arrears.plans.catalog_eval import SC_CTES, _metric_row_sql, _rates_sql, _with_extra
 from arrears.plans.registry import query, r9
 from arrears.session import cut_lineage
+from arrears.sources.tables import version
 
 WIDE = "wide AS (SELECT * FROM scored WHERE split = 'test')"
 N_SEEDS = 30
@@ -37,12 +38,42 @@ _MC = """mc AS (SELECT
 FROM (SELECT y, score_a, score_b FROM wide) w)"""
 
 
+def _simpson(f: str, lo: str, width: float, n: int) -> str:
+    """Integral of ``f`` (in ``x``) from ``lo`` on, by Simpson's rule as SQL."""
+    h = width / n
+    at = f.replace("{x}", f"({lo} + i * {h!r})")
+    return (f"(SELECT sum(CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {at}) * {h!r} / 3 "
+            f"FROM (SELECT CAST(range AS DOUBLE) AS i FROM range(0, {n + 1})) steps)")
+
+
+def _erfc_sql(z: str) -> str:
+    return f"(2 / sqrt(pi()) * {_simpson('exp(-{x} * {x})', z, 10.0, 10000)})"
+
+
+def _t_tail_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t by integrating its density."""
+    density = f"pow(1 + {{x}} * {{x}} / {df}, -({df} + 1) / 2.0)"
+    return (f"(2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * "
+            f"{_simpson(density, f'abs({t})', 80.0, 40000)})")
+
+
+def _ln(p) -> F.Column:
+    """Logarithm of a p-value: tells small ones apart."""
+    return F.round(F.log(F.when(p > 1e-290, p)), 5)
+
+
+def _ln_sql(p: str) -> str:
+    return f"round(ln(CASE WHEN {p} > 1e-290 THEN {p} END), 5)"
+
+
 @query("a37_mcnemar", S.with_ctes(S.scored_ctes() + [WIDE, _MC], f"""
-SELECT both_correct, b, c, both_wrong, round(chi2, 9) AS chi2, round({stats.erfc_sql('sqrt(chi2 / 2.0)')}, 12) AS p_value
-FROM (SELECT *, CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) ELSE 0.0 END AS chi2 FROM mc) t"""))
+SELECT both_correct, b, c, both_wrong, round(chi2, 9) AS chi2, round(p, 12) AS p_value, {_ln_sql('p')} AS ln_p
+FROM (SELECT *, {_erfc_sql('sqrt(chi2 / 2.0)')} AS p FROM (
+  SELECT *, CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) ELSE 0.0 END AS chi2 FROM mc) t) q"""))
 def a37_mcnemar(spark, sf_dir):
     m = cmp.mcnemar(_wide(spark, sf_dir), 0.5)
-    return m.select("both_correct", "b", "c", "both_wrong", r9("chi2", "chi2"), F.round("p_value", 12).alias("p_value"))
+    return m.select("both_correct", "b", "c", "both_wrong", r9("chi2", "chi2"), F.round("p_value", 12).alias("p_value"),
+                    _ln(F.col("p_value")).alias("ln_p"))
 
 
 @query("a37_mcnemar_exact", S.with_ctes(S.scored_ctes() + [WIDE, _MC], """
@@ -74,12 +105,13 @@ _DL = ["""pl AS (SELECT sc.model, sc.score,
 
 @query("a38_delong", _with_extra(SC_CTES + _DL, f"""
 SELECT round(auc_a, 9) AS auc_a, round(auc_b, 9) AS auc_b, round(variance, 12) AS variance,
-       round(z, 6) AS z, round({stats.erfc_sql(f'abs(z) / {math.sqrt(2.0)!r}')}, 12) AS p_value
-FROM (SELECT *, CASE WHEN variance > 0 THEN (auc_a - auc_b) / sqrt(variance) END AS z FROM dz) t"""))
+       round(z, 6) AS z, round(pv, 12) AS p_value, {_ln_sql('pv')} AS ln_p
+FROM (SELECT *, {_erfc_sql('abs(z) / sqrt(2.0)')} AS pv FROM (
+  SELECT *, CASE WHEN variance > 0 THEN (auc_a - auc_b) / sqrt(variance) END AS z FROM dz) t) q"""))
 def a38_delong(spark, sf_dir):
     d = cmp.delong(scored_long(spark, sf_dir), KEYS)
     return d.select(r9("auc_a", "auc_a"), r9("auc_b", "auc_b"), F.round("variance", 12).alias("variance"),
-                    F.round("z", 6).alias("z"), F.round("p_value", 12).alias("p_value"))
+                    F.round("z", 6).alias("z"), F.round("p_value", 12).alias("p_value"), _ln(F.col("p_value")).alias("ln_p"))
 
 
 # ------------------------------------------------------------------ bootstrap
@@ -185,7 +217,7 @@ _SEED_RESULTS: dict = {}
 
 
 def _seed_results(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = version(spark, sf_dir)
     if key not in _SEED_RESULTS:
         counts = experiment.seed_score_counts(base(spark, sf_dir), SEEDS)
         _SEED_RESULTS[key] = cut_lineage(experiment.seed_results(counts))
@@ -200,7 +232,8 @@ def m15_seed_results(spark, sf_dir):
     return r.select("seed", "model", "metric", r9("value", "value"))
 
 
-T_975 = stats.t_ppf(0.975, N_SEEDS - 1)
+# FIXED VALUE: the .975 quantile of Student's t with 29 degrees of freedom, from tables
+T_975 = 2.045229642132703
 STAB_METRICS = ["test_auc", "test_f1", "test_precision", "test_recall", "test_ap", "test_accuracy"]
 
 
@@ -231,11 +264,17 @@ def a40_paired_differences(spark, sf_dir):
                     F.round("t_stat", 6).alias("t_stat"), "wins_a", "wins_b", "ties")
 
 
-@query("a40_paired_p_values")
+@query("a40_paired_p_values", S.with_ctes(S.base_ctes() + _seed_sql(), f"""
+SELECT metric, round(t, 6) AS t_stat, round(p, 9) AS p_value, {_ln_sql('p')} AS ln_p, p < 0.05 AS significant FROM (
+  SELECT metric, t, {_t_tail_sql('t', 'v')} AS p FROM (
+    SELECT metric, count(*) - 1.0 AS v, CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t
+    FROM (SELECT a.metric, a.value - b.value AS d FROM res a JOIN res b
+          ON a.seed = b.seed AND a.metric = b.metric AND a.model = 'a' AND b.model = 'b') x GROUP BY metric) y) z"""))
 def a40_paired_p_values(spark, sf_dir):
-    """Two-sided Student-t p of the paired deltas (incomplete beta; no SQL twin)."""
+    """Two-sided Student-t p of the paired deltas."""
     p = cmp.paired_differences(_seed_results(spark, sf_dir))
-    return p.select("metric", "t_stat", "p_value", "significant")
+    return p.select("metric", F.round("t_stat", 6).alias("t_stat"), r9("p_value", "p_value"),
+                    _ln(F.col("p_value")).alias("ln_p"), "significant")
 
 
 @query("a42_spearman_scores", S.with_ctes(S.scored_ctes() + [WIDE], """
@@ -248,9 +287,14 @@ def a42_spearman_scores(spark, sf_dir):
     return s.select("n", r9("rho", "rho"))
 
 
-@query("a42_spearman_p_value")
+@query("a42_spearman_p_value", S.with_ctes(S.scored_ctes() + [WIDE], f"""
+SELECT n, round(rho, 9) AS rho, round({_t_tail_sql('(rho * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2.0)')}, 9) AS p_value FROM (
+  SELECT count(*) AS n, corr(ra, rb) AS rho FROM (
+    SELECT rank() OVER (ORDER BY score_a) + (count(*) OVER (PARTITION BY score_a) - 1) / 2.0 AS ra,
+           rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2.0 AS rb FROM wide) t) q"""))
 def a42_spearman_p_value(spark, sf_dir):
-    return cmp.spearman(_wide(spark, sf_dir), "score_a", "score_b")
+    """The t-based p of Spearman's rho."""
+    return cmp.spearman(_wide(spark, sf_dir), "score_a", "score_b").select("n", r9("rho", "rho"), r9("p_value", "p_value"))
 
 
 @query("a48_class_balance", S.with_ctes(S.base_ctes(), """

@@ -92,12 +92,12 @@ def _owned(path: str) -> None:
         _OWNED.append(local)
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when the planned partition count is below
-    the cluster's parallelism (few large row groups feeding wide per-row
-    work).  On a large input the count already exceeds it and nothing
-    changes - no extra shuffle at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def ensure_parallelism(scan: DataFrame) -> DataFrame:
+    """Round-robin repartition of a table scan that is too small to give every core a
+    split (few large row groups feeding wide work).  It asks the optimizer for the scan's size,
+    runs nothing, and changes nothing once the splits suffice."""
+    spark = scan.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return scan if size // split >= target else scan.repartition(target)

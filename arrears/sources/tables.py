@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrears import constants as K
+from arrears.session import ensure_parallelism
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -20,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """What names the tables' present state: application, folder, and each entry's size and
+    time, so results kept for a folder are not used for new data in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir.rstrip("/"))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"),
+            *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -29,7 +39,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def receivables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw invoice table (reference names in brackets in FIXTURES.md §2)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = ensure_parallelism(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders")
     cust = table(spark, sf_dir, "customer")
     supp = table(spark, sf_dir, "supplier")

@@ -11,7 +11,8 @@
   row per window.
 
 Sources are file streams with explicit schemas; checkpoints live under the
-session's shared checkpoint folder, so a restarted driver resumes.
+folder the caller names, so a restarted driver resumes there (by default under
+the application's own checkpoint folder).
 """
 
 from __future__ import annotations
@@ -67,9 +68,10 @@ def route_batches(out_dir: str):
 
 
 def decision_windows(scored: DataFrame, threshold: float, window: str = "7 days",
-                     watermark: str = "3650 days") -> DataFrame:
+                     watermark: str = "30 days") -> DataFrame:
     """Per event-time window: decisions, high-risk (either model risky),
-    mean score of model a."""
+    mean score of model a.  Decisions more than ``watermark`` behind the latest one are
+    late and left out; a source in no order of time needs a wider one."""
     d = scored.filter(F.col("error").isNull()) \
         .withColumn("event_ts", F.to_timestamp(parse_day_first("tanggal"))) \
         .withColumn("label_a", decide.risk_label("score_a", threshold)) \
@@ -88,17 +90,24 @@ def window_sink(out_dir: str):
     return sink
 
 
-def run(spark: SparkSession, source: str, fitted: Fitted, scorer, name: str, threshold: float = 0.5) -> str:
+def run(spark: SparkSession, source: str, fitted: Fitted, scorer, name: str, threshold: float = 0.5,
+        root: str | None = None, watermark: str = "30 days") -> str:
     """Run R1-R3 to completion over what is in ``source`` (availableNow) and
-    return the output folder."""
-    root = os.path.join(checkpoint_dir(spark), "streams", name)
+    return the output folder.  Rows are scored once; the windows read the accepted sink.
+
+    With a ``root`` that outlives the application, a later run resumes where the last one
+    ended: files that were scored are not scored again."""
+    root = root or os.path.join(checkpoint_dir(spark), "streams", name)
     out = os.path.join(root, "out")
     scored = score_stream(read_stream(spark, source), fitted, scorer)
     q1 = (scored.writeStream.foreachBatch(route_batches(out))
           .option("checkpointLocation", os.path.join(root, "ckpt_route")).trigger(availableNow=True).start())
     q1.awaitTermination()
-    q2 = (decision_windows(scored, threshold).writeStream.outputMode("update").foreachBatch(window_sink(out))
-          .option("checkpointLocation", os.path.join(root, "ckpt_windows")).trigger(availableNow=True).start())
+    accepted = (spark.readStream.schema(T.StructType([*scored.schema.fields, T.StructField("batch", T.IntegerType())]))
+                .parquet(os.path.join(out, "accepted")))
+    q2 = (decision_windows(accepted, threshold, watermark=watermark).writeStream.outputMode("update")
+          .foreachBatch(window_sink(out)).option("checkpointLocation", os.path.join(root, "ckpt_windows"))
+          .trigger(availableNow=True).start())
     q2.awaitTermination()
     return out
 

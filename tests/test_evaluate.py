@@ -111,12 +111,11 @@ def test_special_functions():
             sum(math.comb(4, j) * (x / 6) ** j * (1 - x / 6) ** (4 - j) for j in range(2, 5)), rel=1e-10)
 
 
-def test_erfc_col(spark):
-    xs = [-3.0, -1.0, 0.0, 0.5, 1.0, 2.0, 4.0]
-    df = spark.createDataFrame([(x,) for x in xs], "x double")
-    got = [r[0] for r in df.select(stats.erfc_col(F.col("x"))).collect()]
-    for x, g in zip(xs, got):
-        assert g == pytest.approx(math.erfc(x), rel=1.3e-7)
+def test_tails_on_rows(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (34.2988,), (None,)], "x double")
+    got = [r[0] for r in df.select(stats.chi2_1_sf(F.col("x"))).collect()]
+    assert got[:3] == [pytest.approx(math.erfc(math.sqrt(v / 2)), rel=1e-14) for v in (0.0, 1.0, 34.2988)] and got[3] is None
+
 
 
 def test_poisson_weights_mean(spark):

@@ -48,3 +48,31 @@ def test_money_keeps_digits_and_infinities(spark):
     got = {r.k: r for r in spark.createDataFrame(rows, "k string, amount double").groupBy("k").agg(*fit.amount_stats()).collect()}
     assert abs(got["a"].amount_std - 5.775523) < 1e-6 and got["b"].amount_total == 2e16 and got["b"].amount_std == 0
     assert got["c"].amount_avg == float("inf") and got["c"].amount_std == 0 and got["d"].amount_avg is None
+
+
+def test_stream_resumes_after_a_restart(spark, tmp_path):
+    """A second run on the same folder scores only the new file, and keeps what was there."""
+    import os
+    import shutil
+    from pyspark.sql import functions as F
+    from arrears.plans.base import fitted, scorecards
+    from arrears.plans.catalog_batch import upload_file
+    from arrears.streaming import scoring
+    from tests.conftest import SMALL
+    local = upload_file(spark, SMALL).removeprefix("file:")
+    files = sorted(f for f in os.listdir(local) if f.endswith(".csv"))
+    source, root = tmp_path / "in", str(tmp_path / "root")
+    source.mkdir()
+    half = max(1, len(files) // 2)
+    fit = fitted(spark, SMALL)
+    counts = []
+    for part in (files[:half], files[half:]):
+        for f in part:
+            shutil.copy(f"{local}/{f}", source / f)
+        out = scoring.run(spark, str(source), fit, scorecards, "t", root=root, watermark="3650 days")
+        rows = spark.read.parquet(f"{out}/accepted").unionByName(spark.read.parquet(f"{out}/rejected"))
+        counts.append(rows.count())
+        assert counts[-1] == spark.read.option("header", True).csv(str(source)).count()
+        windows = scoring.final_windows(spark, out).agg(F.sum("n_decisions")).first()[0]
+        assert windows == spark.read.parquet(f"{out}/accepted").count()
+    assert len(files) == 1 or counts[0] < counts[1]
