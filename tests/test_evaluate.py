@@ -117,11 +117,21 @@ def test_tails_on_rows(spark):
     assert got[:3] == [pytest.approx(math.erfc(math.sqrt(v / 2)), rel=1e-14) for v in (0.0, 1.0, 34.2988)] and got[3] is None
 
 
-
-def test_poisson_weights_mean(spark):
-    df = spark.range(20000).select(cmp.poisson_weight(F.col("id").cast("string"), F.lit(1)).alias("w"))
-    r = df.agg(F.avg("w"), F.variance("w")).first()
-    assert abs(r[0] - 1) < 0.03 and abs(r[1] - 1) < 0.05
+def test_bootstrap_weights_and_ties(spark):
+    """Weights are Poisson(1), and buckets add up to what one sorted table gives."""
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    n, boot = 4000, 8
+    score, y, h = rng.integers(0, 50, n) / 50, rng.integers(0, 2, n), rng.integers(0, 2 ** 32, n)
+    def totals(on):
+        t = pa.table({"model": ["a"] * on.sum(), "_bkt": [0.0] * on.sum(), "score": score[on], "y": y[on], "_h": h[on]})
+        r = cmp._bucket_totals(boot, 0.5)(t).to_pydict()
+        return {c: np.array(r[c][0]) for c in ("P", "N", "U", "tp", "fp")}
+    whole, low, high = totals(score >= 0), totals(score < 0.3), totals(score >= 0.3)
+    assert np.allclose(whole["U"], low["U"] + high["U"] + high["P"] * low["N"])
+    assert np.allclose(whole["tp"], low["tp"] + high["tp"]) and np.allclose(whole["P"], low["P"] + high["P"])
+    assert abs((whole["P"] + whole["N"]).mean() / n - 1) < 0.03
 
 
 def test_null_and_nan_scores_are_below_every_threshold(spark):
