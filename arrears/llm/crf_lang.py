@@ -170,7 +170,7 @@ def scaled(scores: np.ndarray) -> np.ndarray:
 class Labeller:
     """A worker's model, with the emissions of the words it has met."""
 
-    def __init__(self, model: Crf, cap: int = 600_000) -> None:
+    def __init__(self, model: Crf, cap: int = 400_000) -> None:
         self.model, self.cap = model, cap
         self.step = np.exp(model.moves).astype(np.float32)
         self.start = np.full(len(model.languages), 1 / max(1, len(model.languages)), np.float32)

@@ -44,7 +44,7 @@ LEEWAY = 4.0  # standard deviations of a signature's estimate
 MOST_IDS = 200_000  # ids that are broadcast at most
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
-_WORDS: Recent = Recent(xxhash.xxh3_64_intdigest, 400_000)
+_WORDS: Recent = Recent(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:

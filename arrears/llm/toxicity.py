@@ -34,7 +34,7 @@ from arrears.llm import common
 #: n-gram lengths; sample rows of each class; kept features; fewest documents of a feature.
 ORDERS, SAMPLE, FEATURES, LEAST = (4, 5, 6), 2500, 8192, 4
 ALPHA, PENALTY, STEPS = 1.0, 0.02, 150
-WINDOW = 1 << 20  # characters hashed at a time
+WINDOW = 1 << 18  # characters hashed at a time
 TABLE_BITS = 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
