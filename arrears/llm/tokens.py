@@ -22,9 +22,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 #: A space before, or after, other white space.
 WIDE = re.compile(f" [{SPACE}]"), re.compile(f"[{SPACE[:3]}{SPACE[4:]}] ")
-#: Marks of which one may end a word's piece; and letters that have no composed form to seek
-#: and one lower-case letter each.
-MARKS = frozenset(".,;:!?")
+#: Letters and marks, and after one line end again; and letters that have no composed form to
+#: seek and one lower-case letter each.
+PARTS = re.compile(r"([^\W\d_]+)([^\w\s']+)?(?:\n([^\W\d_]+)([^\w\s']+)?)?")
 SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 
 
@@ -93,18 +93,26 @@ class Coder:
 
 
 class ByteBpe(Coder):
-    """``encode(text)`` -> ids as little-endian unsigned 32-bit integers."""
+    """``encode(text)`` -> ids as little-endian unsigned 32-bit integers.
+
+    A piece's letters, the run of marks after them, a line end and the letters and marks
+    after that are pretokens, remembered one by one; any other piece goes to the library."""
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.marks = {m: self.whole(m) for m in MARKS}
+        self.cache.cap = 600_000
+        self.bare = Recent(self.pretoken, 50_000)
+        self.marks = Recent(self.whole, 10_000)
 
     def piece(self, piece: str) -> bytes:
         if piece.isalpha():
             return self.pretoken(" " + piece)
-        if piece[-1:] in MARKS and piece[:-1].isalpha():
-            return self.cache[piece[:-1]] + self.marks[piece[-1]]
-        return self.whole(" " + piece)
+        found = PARTS.fullmatch(piece)
+        if found is None or not found[1].isalpha() or not (found[3] or "a").isalpha():
+            return self.whole(" " + piece)
+        word, marks, after, last = found.groups()
+        out = self.cache[word] + (self.marks[marks] if marks else b"")
+        return out if after is None else b"".join([out, self.marks["\n"], self.bare[after], self.marks[last] if last else b""])
 
     def encode(self, text: str) -> bytes:
         first, *rest = byte_pieces(text)
