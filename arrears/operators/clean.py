@@ -38,11 +38,3 @@ def clean(df: DataFrame, drop_category: str = K.DROP_CATEGORY,
 
 def fixture_clean(df: DataFrame) -> DataFrame:
     return clean(df, K.FIXTURE_DROP_CATEGORY, K.FIXTURE_MERGE_CATEGORIES)
-
-
-def with_flags(df: DataFrame) -> DataFrame:
-    """Group-customer and remark flags; missing compares unequal -> 1."""
-    return (df.withColumn("is_group_customer",
-                          (~F.col("customer_group").eqNullSafe(F.lit(K.NON_GROUP))).cast("int"))
-              .withColumn("has_remark",
-                          (~F.col("remark").eqNullSafe(F.lit(K.NO_REMARK))).cast("int")))

@@ -1,16 +1,14 @@
-"""Embedding MLP (M2 forward, M12 training, F10-F12, P14).
-
-Architecture (the reference's): scale the continuous features, look up one
-embedding per categorical code (clipped to the table), concatenate, dense +
-GELU, residual blocks (dense + GELU + skip), dense to one logit, sigmoid.
-
-* ``score`` - forward pass per Arrow batch in ``mapInPandas`` (numpy
-  matmuls), weights broadcast once.
-* ``train`` - distributed full-batch training: each step broadcasts the
-  weights, every task returns its partial gradient as a long
-  ``(param index, value)`` table, one ``groupBy(index).sum`` reduces them
-  (a shuffle, not the driver), Adam updates on the driver (the parameter
-  vector is the model, ~0.2 M numbers).
+"""Networks: the embedding MLP's forward pass (M2, F10-F12, P14) and a trained perceptron.
+
+Architecture of the first (the reference's): scale the continuous features, look up one
+embedding per categorical code (clipped to the table), concatenate, dense + GELU, residual
+blocks (dense + GELU + skip), dense to one logit, sigmoid.
+
+* ``score`` - forward pass per Arrow batch in ``mapInPandas`` (numpy matmuls), weights
+  broadcast once.  An embedding is multiplied with its part of the first layer beforehand, so
+  a code costs one row look-up.  The weights are an artifact: the reference ships none, and
+  ``init_params`` makes a network of its size.
+* ``train_perceptron`` - MLlib's ``MultilayerPerceptronClassifier`` on the scaled features.
 """
 
 from __future__ import annotations
@@ -46,10 +44,6 @@ def gelu(x: np.ndarray) -> np.ndarray:
     return 0.5 * x * (1.0 + _erf(x / SQRT2))
 
 
-def gelu_grad(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + _erf(x / SQRT2)) + x * np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
-
-
 def emb_dim(card: int) -> int:
     return min(50, (card + 1) // 2)
 
@@ -71,52 +65,24 @@ def init_params(n_cont: int, cards: Sequence[int], hidden: int = 192, n_blocks:
     return p
 
 
-def flatten(p: dict) -> np.ndarray:
-    parts = [e.ravel() for e in p["emb"]] + [p["in_w"].ravel(), p["in_b"]]
-    for w, b in p["blocks"]:
-        parts += [w.ravel(), b]
-    parts += [p["out_w"].ravel(), p["out_b"]]
-    return np.concatenate(parts)
-
-
-def unflatten(v: np.ndarray, like: dict) -> dict:
-    out = {"emb": [], "blocks": []}
-    i = 0
-
-    def take(shape):
-        nonlocal i
-        n = int(np.prod(shape))
-        a = v[i:i + n].reshape(shape)
-        i += n
-        return a
-    out["emb"] = [take(e.shape) for e in like["emb"]]
-    out["in_w"], out["in_b"] = take(like["in_w"].shape), take(like["in_b"].shape)
-    out["blocks"] = [[take(w.shape), take(b.shape)] for w, b in like["blocks"]]
-    out["out_w"], out["out_b"] = take(like["out_w"].shape), take(like["out_b"].shape)
-    return out
-
-
-def forward(p: dict, xc: np.ndarray, codes: np.ndarray, cache: bool = False):
-    """xc: (n, n_cont) already scaled; codes: (n, n_cat) ints."""
-    embs = []
-    idx = []
-    for j, e in enumerate(p["emb"]):
-        k = np.clip(codes[:, j], 0, e.shape[0] - 1).astype(np.int64)   # P14
-        idx.append(k)
-        embs.append(e[k])
-    h0 = np.concatenate([xc] + embs, axis=1)
-    z = h0 @ p["in_w"].T + p["in_b"]
+def prepared(p: dict, n_cont: int) -> dict:
+    """Weights for ``forward``: each embedding table times its columns of the first layer."""
+    tables, at = [], n_cont
+    for e in p["emb"]:
+        tables.append(e @ p["in_w"][:, at:at + e.shape[1]].T)
+        at += e.shape[1]
+    return p | {"tables": tables, "cont_w": np.ascontiguousarray(p["in_w"][:, :n_cont].T)}
+
+
+def forward(p: dict, xc: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Logits; xc: (n, n_cont) already scaled; codes: (n, n_cat) ints."""
+    z = xc @ p["cont_w"] + p["in_b"]
+    for j, table in enumerate(p["tables"]):
+        z += table[np.clip(codes[:, j], 0, table.shape[0] - 1)]   # P14
     h = gelu(z)
-    zs, hs = [z], [h0, h]
     for w, b in p["blocks"]:
-        zb = h @ w.T + b
-        h = gelu(zb) + h
-        zs.append(zb)
-        hs.append(h)
-    logit = (h @ p["out_w"].T + p["out_b"])[:, 0]
-    if cache:
-        return logit, (zs, hs, idx)
-    return logit
+        h = gelu(h @ w.T + b) + h
+    return (h @ p["out_w"].T + p["out_b"])[:, 0]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -124,39 +90,6 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def grad(p: dict, xc: np.ndarray, codes: np.ndarray, y: np.ndarray, w: np.ndarray):
-    """Sum over rows of d(weighted BCE)/d(params), plus the loss sum."""
-    logit, (zs, hs, idx) = forward(p, xc, codes, cache=True)
-    prob = sigmoid(logit)
-    eps = 1e-12
-    loss = -np.sum(w * (y * np.log(prob + eps) + (1 - y) * np.log(1 - prob + eps)))
-    d = (w * (prob - y))[:, None]                      # dL/dlogit
-    g = {"blocks": [None] * len(p["blocks"])}
-    h_last = hs[-1]
-    g["out_w"] = d.T @ h_last
-    g["out_b"] = d.sum(axis=0)
-    dh = d @ p["out_w"]
-    for bi in range(len(p["blocks"]) - 1, -1, -1):
-        wb, _ = p["blocks"][bi]
-        zb, h_in = zs[bi + 1], hs[bi + 1]
-        dz = dh * gelu_grad(zb)
-        g["blocks"][bi] = [dz.T @ h_in, dz.sum(axis=0)]
-        dh = dh + dz @ wb
-    dz = dh * gelu_grad(zs[0])
-    g["in_w"] = dz.T @ hs[0]
-    g["in_b"] = dz.sum(axis=0)
-    dh0 = dz @ p["in_w"]
-    n_cont = xc.shape[1]
-    off = n_cont
-    g["emb"] = []
-    for j, e in enumerate(p["emb"]):
-        ge = np.zeros_like(e)
-        np.add.at(ge, idx[j], dh0[:, off:off + e.shape[1]])
-        g["emb"].append(ge)
-        off += e.shape[1]
-    return flatten(g), loss
-
-
 # ---------------------------------------------------------------- Spark plumbing
 def _prep(pdf: pd.DataFrame, cont: list[str], cats: list[str], mean: np.ndarray, scale: np.ndarray):
     """(x - mean) / scale with non-finite -> 0."""
@@ -176,53 +109,30 @@ def fit_scaler(df: DataFrame, cont: Sequence[str]) -> tuple[np.ndarray, np.ndarr
     return mean, np.where(sd > 0, sd, 1.0)
 
 
-def train(df: DataFrame, cont: Sequence[str], cats: Sequence[str], cards: Sequence[int], label: str = "y",
-          weight: str | None = None, hidden: int = 192, n_blocks: int = 4, steps: int = 30, lr: float = 3e-3,
-          seed: int = 42) -> dict:
-    """Full-batch Adam with distributed gradient sums."""
-    cont, cats = list(cont), list(cats)
+def network(df: DataFrame, cont: Sequence[str], cats: Sequence[str], cards: Sequence[int], hidden: int = 192,
+            n_blocks: int = 4, seed: int = 42) -> dict:
+    """A network of the given size with the scaler fitted on ``df`` and seeded weights."""
     mean, scale = fit_scaler(df, cont)
-    p = init_params(len(cont), cards, hidden, n_blocks, seed)
-    theta = flatten(p)
-    m_, v_ = np.zeros_like(theta), np.zeros_like(theta)
-    cols = cont + cats + [label] + ([weight] if weight else [])
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    n = data.count()
-    sc = df.sparkSession.sparkContext
-    for step in range(1, steps + 1):
-        bp = sc.broadcast((unflatten(theta, p), mean, scale))
-
-        def part(batches, bp=bp):
-            params, mu, sd = bp.value
-            total = None
-            loss = 0.0
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                xc, codes = _prep(pdf, cont, cats, mu, sd)
-                y = pdf[label].to_numpy(np.float64)
-                w = pdf[weight].to_numpy(np.float64) if weight else np.ones(len(pdf))
-                gv, lv = grad(params, xc, codes, y, w)
-                total = gv if total is None else total + gv
-                loss += lv
-            if total is not None:
-                nz = np.nonzero(total)[0]
-                yield pd.DataFrame({"i": np.append(nz, -1).astype(np.int64),
-                                    "g": np.append(total[nz], loss)})
-
-        g = data.mapInPandas(part, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
-        bp.unpersist()
-        gv = np.zeros_like(theta)
-        body = g[g.i >= 0]
-        gv[body.i.to_numpy()] = body.g.to_numpy()
-        gv /= max(n, 1)
-        m_ = 0.9 * m_ + 0.1 * gv
-        v_ = 0.999 * v_ + 0.001 * gv * gv
-        theta = theta - lr * (m_ / (1 - 0.9 ** step)) / (np.sqrt(v_ / (1 - 0.999 ** step)) + 1e-8)
-    out = unflatten(theta, p)
-    out["scaler_mean"], out["scaler_scale"] = mean, scale
-    out["cont"], out["cats"] = cont, cats
-    return out
+    return prepared(init_params(len(cont), cards, hidden, n_blocks, seed), len(cont)) | {
+        "scaler_mean": mean, "scaler_scale": scale, "cont": list(cont), "cats": list(cats)}
+
+
+def train_perceptron(df: DataFrame, features: Sequence[str], label: str = "y", hidden: Sequence[int] = (32, 16),
+                     steps: int = 40, seed: int = 42):
+    """An MLlib pipeline - assemble, scale to unit deviation, multilayer perceptron."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep"),
+        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
+        MultilayerPerceptronClassifier(featuresCol="_features", labelCol=label, layers=[len(features), *hidden, 2],
+                                       maxIter=steps, seed=seed)]).fit(df)
+
+
+def perceptron_score(df: DataFrame, model, keep: Sequence[str], out: str = "probability") -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+    return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(out))
 
 
 def score(df: DataFrame, model: dict, keep: Sequence[str], out: str = "probability") -> DataFrame:
@@ -245,12 +155,3 @@ def score(df: DataFrame, model: dict, keep: Sequence[str], out: str = "probabili
 
     cols = keep + [c for c in cont + cats if c not in keep]
     return df.select(*cols).mapInPandas(run, schema)
-
-
-def n_params(model: dict) -> int:
-    return int(flatten(model).size)
-
-
-def logit(p):
-    """F10 inverse: -log(1/p - 1)."""
-    return -np.log(1.0 / p - 1.0)

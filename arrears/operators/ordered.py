@@ -204,27 +204,28 @@ def masked_quantiles(x: DataFrame, mask: str, n_masks: int, col: str, probs: Seq
     below and in it, and only rows inside a bracket are ranked."""
     v = F.col(col).cast("double")
     on = [(F.shiftright(mask, i).bitwiseAND(F.lit(1)) == 1) & v.isNotNull() & ~F.isnan(v) for i in range(n_masks)]
+    sizes = x.agg(*[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(on)]).first()
+    some = [n for n in sizes if n]
+    if not some:
+        return [[None] * len(probs) for _ in range(n_masks)]
+    eps = 2.0 / accuracy + 2.0 / min(some)
     while True:
-        eps = 2.0 / accuracy
         edges = [min(1.0, max(0.0, p + e)) for p in probs for e in (-eps, eps)]
-        first = x.agg(*[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(on)],
-                      *[F.percentile_approx(F.when(c, v), F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"q{i}")
+        first = x.agg(*[F.percentile_approx(F.when(c, v), F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"q{i}")
                         for i, c in enumerate(on)]).first()
         wanted = {}  # (bit, quantile) -> bracket and position
         for i in range(n_masks):
             for k, p in enumerate(probs):
-                if first[f"n{i}"]:
+                if sizes[f"n{i}"]:
                     lo, hi = first[f"q{i}"][2 * k:2 * k + 2]
                     wanted[i, k] = (-math.inf if edges[2 * k] == 0 else lo, math.inf if edges[2 * k + 1] == 1 else hi,
-                                    *_positions(first[f"n{i}"], p))
-        if not wanted:
-            return [[None] * len(probs) for _ in range(n_masks)]
+                                    *_positions(sizes[f"n{i}"], p))
         inside = {(i, k): on[i] & (v >= lo) & (v <= hi) for (i, k), (lo, hi, *_) in wanted.items()}
         counts = x.agg(*[F.count(F.when(on[i] & (v < w[0]), 1)).alias(f"b{i}_{k}") for (i, k), w in wanted.items()],
                        *[F.count(F.when(c, 1)).alias(f"m{i}_{k}") for (i, k), c in inside.items()]).first()
         if all(counts[f"b{i}_{k}"] <= w[2] and w[3] < counts[f"b{i}_{k}"] + counts[f"m{i}_{k}"] for (i, k), w in wanted.items()):
             break
-        accuracy *= 4  # a bracket missed its rank
+        eps *= 4  # a bracket missed its rank; the widest ones hold all rows
     hit = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), c.alias("on"),
                                       F.lit(counts[f"b{i}_{k}"]).alias("below"), F.lit(wanted[i, k][2]).alias("k0"),
                                       F.lit(wanted[i, k][3]).alias("k1")) for (i, k), c in inside.items()]), lambda s: s["on"])

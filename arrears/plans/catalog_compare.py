@@ -277,6 +277,19 @@ def a40_paired_p_values(spark, sf_dir):
                     _ln(F.col("p_value")).alias("ln_p"), "significant")
 
 
+@query("f21_significance", S.with_ctes(S.base_ctes() + _seed_sql(), f"""
+SELECT metric, CASE WHEN p < 0.001 THEN 'p < 0.001' WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS flag FROM (
+  SELECT metric, {_t_tail_sql('t', 'v')} AS p FROM (
+    SELECT metric, count(*) - 1.0 AS v, CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t
+    FROM (SELECT a.metric, a.value - b.value AS d FROM res a JOIN res b
+          ON a.seed = b.seed AND a.metric = b.metric AND a.model = 'a' AND b.model = 'b') x GROUP BY metric) y) z"""))
+def f21_significance(spark, sf_dir):
+    """significance flag of each metric's paired difference."""
+    from arrears.operators.decide import significance
+    p = cmp.paired_differences(_seed_results(spark, sf_dir))
+    return p.select("metric", significance("p_value").alias("flag"))
+
+
 @query("a42_spearman_scores", S.with_ctes(S.scored_ctes() + [WIDE], """
 SELECT count(*) AS n, round(corr(ra, rb), 9) AS rho FROM (
   SELECT rank() OVER (ORDER BY score_a) + (count(*) OVER (PARTITION BY score_a) - 1) / 2.0 AS ra,

@@ -153,3 +153,28 @@ def j11_code_rows(spark, sf_dir):
 def f05_online_rows(spark, sf_dir):
     """Scoring-time amount percentile (bin centre) and customer late rate."""
     return featurized(spark, sf_dir, mode="online").select(*KEYS, r6("amount_pct", "amount_pct"), r9("cust_late_rate", "cust_late_rate"))
+
+
+_AMOUNTS = ["amount", "amount_winsor", "log_amount", "log_amount_winsor"]
+_AMOUNT_SQL = ["""am AS (SELECT split, amount, least(greatest(amount, winsor_lo), winsor_hi) AS amount_winsor, ln(1 + amount) AS log_amount,
+  ln(1 + least(greatest(amount, winsor_lo), winsor_hi)) AS log_amount_winsor FROM split CROSS JOIN g)"""]
+
+
+@query("a18_amount_bounds", S.with_ctes(S.base_ctes() + [S.GLOBALS] + _AMOUNT_SQL, " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM am WHERE split = 'train'" for c in _AMOUNTS)))
+def a18_amount_bounds(spark, sf_dir):
+    """Training bounds of the amount features."""
+    train = featurized(spark, sf_dir).filter(F.col("split") == "train")
+    row = train.agg(*[f(c).alias(f"{k}_{c}") for c in _AMOUNTS for k, f in (("lo", F.min), ("hi", F.max))])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), r6(f"lo_{c}", "min"), r6(f"hi_{c}", "max")) for c in _AMOUNTS])))
+
+
+@query("a55_amount_scaler", S.with_ctes(S.base_ctes() + [S.GLOBALS] + _AMOUNT_SQL, " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS scale FROM am WHERE split = 'train'" for c in _AMOUNTS)))
+def a55_amount_scaler(spark, sf_dir):
+    """Mean and population deviation of the amount features, by the scaler's own fit."""
+    from arrears.operators import mlp
+    train = featurized(spark, sf_dir).filter(F.col("split") == "train")
+    mean, scale = mlp.fit_scaler(train, _AMOUNTS)
+    return spark.createDataFrame([(c, round(float(a), 4), round(float(b), 4)) for c, a, b in zip(_AMOUNTS, mean, scale)],
+                                 "feature string, mean double, scale double")

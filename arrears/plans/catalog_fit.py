@@ -33,6 +33,18 @@ def m04_customer_split(spark, sf_dir):
     return p.select("split", "n_rows", "n_customers", r9("late_rate", "late_rate"))
 
 
+@query("m04_exact_customer_shares", S.with_ctes(S.base_ctes()[:3], """
+SELECT CASE WHEN r <= round(n * 0.7) THEN 'train' WHEN r <= round(n * 0.7) + round(n * 0.15) THEN 'val' ELSE 'test' END AS split,
+       count(*) AS n_customers, CAST(sum(k) AS BIGINT) AS n_rows FROM (
+  SELECT customer, count(*) AS k, row_number() OVER (ORDER BY md5('42:' || customer), customer) AS r, count(*) OVER () AS n
+  FROM clean GROUP BY customer) t GROUP BY 1"""))
+def m04_exact_customer_shares(spark, sf_dir):
+    """M4: customers and rows of each split when shares are exact."""
+    from arrears.operators.split import assign_split_exact
+    df = assign_split_exact(base(spark, sf_dir).drop("split"))
+    return df.groupBy("split").agg(F.count_distinct("customer").alias("n_customers"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("u06_split_disjoint", S.with_ctes(S.base_ctes(), """
 SELECT count(*) AS n_shared_customers FROM (
   SELECT customer FROM split GROUP BY customer HAVING count(DISTINCT split) > 1) t"""))
@@ -194,6 +206,18 @@ def a14_category_values(spark, sf_dir):
     return tr.select(F.inline(items)).distinct()
 
 
+@query("t05_category_lists", S.with_ctes(S.base_ctes(), _union([
+    f"""SELECT '{c}' AS column_name, count(*) AS n_values, string_agg(v, '|' ORDER BY v) AS value_list
+FROM (SELECT DISTINCT {c} AS v FROM split WHERE split = 'train' AND {c} IS NOT NULL) q""" for c in RAW_CAT_COLS if c != "customer"])))
+def t05_category_lists(spark, sf_dir):
+    """T5: the sorted list of each categorical column's values (customers, which grow with
+    the data, stay a table: a14)."""
+    tr = base(spark, sf_dir).filter(F.col("split") == "train")
+    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in RAW_CAT_COLS if c != "customer"])
+    lists = tr.select(F.inline(items)).where("value is not null").groupBy("column_name").agg(F.array_sort(F.collect_set("value")).alias("v"))
+    return lists.select("column_name", F.size("v").cast("long").alias("n_values"), F.array_join("v", "|").alias("value_list"))
+
+
 @query("a15_label_codes", S.with_ctes(S.base_ctes() + [S.GLOBALS, S.BINNED], f"""
 SELECT dim, label, CAST(dense_rank() OVER (PARTITION BY dim ORDER BY label) - 1 AS INTEGER) AS code FROM (
 {_union([f"SELECT DISTINCT '{d}' AS dim, COALESCE(CAST({d} AS VARCHAR), 'nan') AS label FROM binned WHERE split = 'train'" for d in fitmod.LE_DIMS])}
@@ -298,7 +322,7 @@ def p20_balance_features(spark, sf_dir):
 
 @query("p21_calendar_features", S.with_ctes(S.base_ctes()[:3], """
 SELECT month(invoice_date) AS month, CAST(isodow(invoice_date) - 1 AS INTEGER) AS day_of_week,
-       quarter(invoice_date) AS quarter, CAST(week(invoice_date) AS INTEGER) AS week_of_year,
+       quarter(invoice_date) AS quarter, day(invoice_date) AS day_of_month, CAST(week(invoice_date) AS INTEGER) AS week_of_year,
        CAST(isodow(invoice_date) >= 6 AS INTEGER) AS is_weekend,
        CAST(invoice_date = last_day(invoice_date) AS INTEGER) AS is_month_end, count(*) AS n
 FROM clean GROUP BY ALL"""))
@@ -306,7 +330,8 @@ def p21_calendar_features(spark, sf_dir):
     """P21 (+ P17: these are the leaky columns the model excludes)."""
     c = C.calendar_features(base(spark, sf_dir))
     return c.groupBy(F.col("month").cast("bigint").alias("month"), F.col("day_of_week").cast("int").alias("day_of_week"),
-                     F.col("quarter").cast("bigint").alias("quarter"), F.col("week_of_year").cast("int").alias("week_of_year"),
+                     F.col("quarter").cast("bigint").alias("quarter"), F.col("day_of_month").cast("bigint").alias("day_of_month"),
+                     F.col("week_of_year").cast("int").alias("week_of_year"),
                      "is_weekend", "is_month_end").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -106,6 +106,19 @@ def write_fitted(fitted, path: str) -> None:
     fitted.globals_frame(fitted.dims.sparkSession).write.mode("overwrite").json(os.path.join(path, "globals"))
 
 
+def read_fitted(spark: SparkSession, path: str):
+    """The maps that ``write_fitted`` wrote, ready to transform with."""
+    from arrears.operators.fit import LE_DIMS, Fitted
+    dims = spark.read.option("basePath", os.path.join(path, "dims")).parquet(os.path.join(path, "dims"))
+    row = spark.read.json(os.path.join(path, "globals")).first().asDict()
+    inf = float("inf")
+    row["bin_edges"] = [-inf, *(float(e) for e in row["bin_edges"][1:-1]), inf]
+    sizes = {r.dim: (r.n, r.k) for r in dims.groupBy("dim").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("key", F.lit("nan"))).alias("k")).collect()}
+    return Fitted(g=row, dims=dims, dim_sizes={d: v[0] for d, v in sizes.items()},
+                  n_classes={d: sizes.get(d, (0, 0))[1] for d in LE_DIMS})
+
+
 def write_scored_batch(df: DataFrame, path: str, threshold: float) -> None:
     """``row_index, score_a, score_b, label_a, label_b`` with header."""
     out = df.select("row_index", "score_a", "score_b",

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arrears.operators import knn, resample, trees
+from arrears.operators import knn, mlp, resample, trees
 
 
 def _points(spark, n=400, d=5, seed=11):
@@ -98,3 +98,29 @@ def test_tree_scorer_and_shap(spark):
     margin = np.log(ours.probability / (1 - ours.probability)).to_numpy()
     c = c.sort_values("rid")
     assert np.allclose(c.s.to_numpy(), margin, atol=1e-9)
+
+
+def test_network_forward_equals_plain_layers(spark):
+    """Scaling, clipped embeddings, GELU, residual blocks and the logit, one row at a time."""
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.normal()), float(rng.normal() * 3 + 1), int(rng.integers(-2, 9)), int(rng.integers(0, 3))) for i in range(40)]
+    rows.append((99, float("nan"), float("inf"), 4, 1))
+    df = spark.createDataFrame(rows, "rid long, a double, b double, code_x int, code_y int")
+    m = mlp.network(df.filter("rid < 99"), ["a", "b"], ["code_x", "code_y"], [5, 3], hidden=7, n_blocks=2)
+    got = {r.rid: r.probability for r in mlp.score(df, m, ["rid"]).collect()}
+    for rid, a, b, x, y in rows:
+        h = [(v - mu) / sd if np.isfinite(v) else 0.0 for v, mu, sd in zip((a, b), m["scaler_mean"], m["scaler_scale"])]
+        h = np.array(h + list(m["emb"][0][min(max(x, 0), 4)]) + list(m["emb"][1][min(max(y, 0), 2)]))
+        h = mlp.gelu(m["in_w"] @ h + m["in_b"])
+        for w, bias in m["blocks"]:
+            h = mlp.gelu(w @ h + bias) + h
+        assert got[rid] == pytest.approx(1 / (1 + np.exp(-(m["out_w"] @ h + m["out_b"])[0])), abs=1e-12)
+
+
+def test_perceptron_learns(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 3))
+    df = spark.createDataFrame([(*map(float, r), int(r[0] + r[1] > 0)) for r in x], "a double, b double, c double, y int")
+    model = mlp.train_perceptron(df, ["a", "b", "c"], hidden=(8,), steps=40)
+    rows = mlp.perceptron_score(df, model, ["y"]).collect()
+    assert np.mean([(r.probability > 0.5) == r.y for r in rows]) > 0.93

@@ -76,3 +76,21 @@ def test_stream_resumes_after_a_restart(spark, tmp_path):
         windows = scoring.final_windows(spark, out).agg(F.sum("n_decisions")).first()[0]
         assert windows == spark.read.parquet(f"{out}/accepted").count()
     assert len(files) == 1 or counts[0] < counts[1]
+
+
+def test_fitted_maps_round_trip_and_scored_batch(spark, tmp_path):
+    from arrears.operators import features
+    from arrears.plans.base import base, fitted
+    from arrears.sources import artifacts
+    from tests.conftest import SMALL
+    fit = fitted(spark, SMALL)
+    artifacts.write_fitted(fit, str(tmp_path / "maps"))
+    back = artifacts.read_fitted(spark, str(tmp_path / "maps"))
+    rows = base(spark, SMALL).limit(50)
+    key = ["order_key", "line_no", "part_key", "supp_key", "amount"]
+    a, b = (sorted(map(str, features.transform(rows, f, mode="online").select(*key, *features.FEATURES[5:]).collect())) for f in (fit, back))
+    assert a == b
+    scored = spark.createDataFrame([(0, 0.9, 0.1), (1, 0.2, 0.3)], "row_index long, score_a double, score_b double")
+    artifacts.write_scored_batch(scored, str(tmp_path / "scored"), 0.5)
+    got = sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "scored")).collect()))
+    assert got == [("0", "0.9", "0.1", "BERISIKO", "LAYAK"), ("1", "0.2", "0.3", "LAYAK", "LAYAK")]
