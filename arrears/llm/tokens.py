@@ -25,7 +25,7 @@ WIDE = re.compile(f" [{SPACE}]"), re.compile(f"[{SPACE[:3]}{SPACE[4:]}] ")
 #: Letters and marks, and after one line end again; and letters that have no composed form to
 #: seek and one lower-case letter each.
 PARTS = re.compile(r"([^\W\d_]+)([^\w\s']+)?(?:\n([^\W\d_]+)([^\w\s']+)?)?")
-SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class Recent(dict):
@@ -120,9 +120,22 @@ class ByteBpe(Coder):
 
 
 class WordBpe(Coder):
+    """As above; pieces are bytes, and their letters and the run of marks after them are
+    remembered one by one."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.cache.cap = 450_000
+        self.marks = Recent(self.whole, 10_000)
+
     def piece(self, piece: bytes) -> bytes:
         text = piece.decode()
-        return self.pretoken(text.lower()) if SIMPLE.fullmatch(text) else self.whole(text)
+        found = SIMPLE.fullmatch(text)
+        if found is None:
+            return self.whole(text)
+        if found[2]:
+            return self.cache[found[1].encode()] + self.marks[found[2]]
+        return self.pretoken(text.lower())
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, text.encode().split()))
