@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from arrears.llm import common
-from arrears.llm.tokens import Recent, as_u32, byte_pieces, byte_symbols
+from arrears.llm.tokens import Recent, as_u32, byte_pieces, byte_symbols, spaced
 
 #: The byte-level pretoken pattern that the vocabulary's public tokenizer uses.  Fixed value.
 PATTERN = (r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -66,7 +66,7 @@ class PrefixBpe:
         self.splitter = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.words = Recent(self._word, cap)
-        self.pieces = Recent(lambda piece: self._piece(" " + piece), cap)
+        self.pieces = Recent(lambda piece: self._piece(spaced(piece)), cap)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE leaves the boundary between these two neighbours as it is.

@@ -4,9 +4,9 @@ library call for each distinct piece of text.
 Both vocabularies cut a text at places that depend on the neighbouring characters only, so
 the ids of a text are the ids of its pieces, one after the other:
 
-* ``byte_bpe``: a space with a non-space on both sides always starts a pretoken, so such
-  spaces cut the text (a text with a longer run of white space that holds a space is cut
-  nowhere else than there);
+* ``byte_bpe``: a space with a non-space on both sides always starts a pretoken, and a line
+  end with a non-space on both sides is one, so they cut the text (a text with a longer run
+  of white space is cut at such spaces only);
 * ``word_bpe``: white space is dropped, so every run of ASCII white space cuts it.
 """
 
@@ -20,11 +20,11 @@ from collections.abc import Callable
 #: White space as Unicode defines it (Python's \s also takes U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-#: A space before, or after, other white space.
-WIDE = re.compile(f" [{SPACE}]"), re.compile(f"[{SPACE[:3]}{SPACE[4:]}] ")
-#: Letters and marks, and after one line end again; and letters that have no composed form to
-#: seek and one lower-case letter each.
-PARTS = re.compile(r"([^\W\d_]+)([^\w\s']+)?(?:\n([^\W\d_]+)([^\w\s']+)?)?")
+#: White space beside white space.
+WIDE = re.compile(f" [{SPACE}]"), re.compile(f"[{SPACE[:3]}{SPACE[4:]}][{SPACE}]")
+#: Letters and a run of marks; and letters that have no composed form to seek and one
+#: lower-case letter each.
+PARTS = re.compile(r"([^\W\d_]+)([^\w\s']*)")
 SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
@@ -62,8 +62,16 @@ def as_u32(ids) -> bytes:
 
 
 def byte_pieces(text: str) -> list[str]:
-    """The text cut before each lone space; the pieces after the first lack that space."""
-    return CUT.split(text) if WIDE[0].search(text) or WIDE[1].search(text) else text.split(" ")
+    """The text cut before each lone space and line end; see ``spaced`` for the pieces after
+    the first."""
+    if WIDE[0].search(text) or WIDE[1].search(text):
+        return CUT.split(text)
+    return text.replace("\n", " \n").split(" ")
+
+
+def spaced(piece: str) -> str:
+    """What a piece stands for: with its space, unless it begins with a line end."""
+    return piece if piece[:1] == "\n" else " " + piece
 
 
 def byte_symbols() -> list[str]:
@@ -95,8 +103,8 @@ class Coder:
 class ByteBpe(Coder):
     """``encode(text)`` -> ids as little-endian unsigned 32-bit integers.
 
-    A piece's letters, the run of marks after them, a line end and the letters and marks
-    after that are pretokens, remembered one by one; any other piece goes to the library."""
+    A line end, the letters after it and the run of marks after those are pretokens,
+    remembered one by one; any other piece goes to the library."""
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -107,16 +115,17 @@ class ByteBpe(Coder):
     def piece(self, piece: str) -> bytes:
         if piece.isalpha():
             return self.pretoken(" " + piece)
-        found = PARTS.fullmatch(piece)
-        if found is None or not found[1].isalpha() or not (found[3] or "a").isalpha():
-            return self.whole(" " + piece)
-        word, marks, after, last = found.groups()
-        out = self.cache[word] + (self.marks[marks] if marks else b"")
-        return out if after is None else b"".join([out, self.marks["\n"], self.bare[after], self.marks[last] if last else b""])
+        line = piece[:1] == "\n"
+        found = PARTS.fullmatch(piece, line)
+        if found is None or not found[1].isalpha():
+            return self.whole(spaced(piece))
+        word = self.marks["\n"] + self.bare[found[1]] if line else self.cache[found[1]]
+        return word + self.marks[found[2]] if found[2] else word
 
     def encode(self, text: str) -> bytes:
         first, *rest = byte_pieces(text)
-        return self.whole(first) + b"".join(map(self.cache.__getitem__, rest))
+        head = self.bare[first] if first.isalpha() else self.whole(first)
+        return head + b"".join(map(self.cache.__getitem__, rest))
 
 
 class WordBpe(Coder):
