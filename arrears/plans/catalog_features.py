@@ -83,7 +83,7 @@ _MEDIANS = [f"""md_{d} AS (SELECT {d} AS key, quantile_cont(amount, 0.5) AS m FR
                                   " ".join([_left("md_branch", "branch"), _left("md_division", "division"), _left("st_customer", "customer"),
                                             _left("st_branch", "branch"), _left("st_division", "division")])))
 def f06_amount_ratios(spark, sf_dir):
-    """Ratios to group medians, z-score in the customer, log ratios to group means."""
+    """Ratios to group medians, z-score in the customer, log ratios to group means."""
     return featurized(spark, sf_dir).select(
         *KEYS, r6("branch_amount_ratio", "branch_amount_ratio"), r6("div_amount_ratio", "div_amount_ratio"),
         F.round("amount_cust_zscore", 4).alias("amount_cust_zscore"), r6("log_amount_vs_branch", "log_amount_vs_branch"),
