@@ -39,7 +39,7 @@ from arrears.llm.graph import components
 from arrears.llm.tokens import Recent
 
 WORDS, PERCENT = 4, 80
-HASHES, TREES, DEPTH, REGION = 128, 24, 4, 1024
+HASHES, TREES, DEPTH, REGION = 128, 24, 4, 2048
 LEEWAY = 4.0  # standard deviations of a signature's estimate
 MOST_IDS = 200_000  # ids that are broadcast at most
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -228,6 +228,8 @@ def spanning(i: np.ndarray, j: np.ndarray, m: np.ndarray, n: int) -> list[int]:
         if sets.root(a) != sets.root(b):
             sets.join(a, b)
             kept.append(k)
+            if len(kept) == n - 1:
+                break
     return kept
 
 
