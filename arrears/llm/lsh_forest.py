@@ -278,16 +278,12 @@ def best_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def between(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs between components that fall to this region: a pair that several
-    trees hold belongs to the first that does."""
+    """Candidate pairs of the region between components.  Other trees may hold the same pairs:
+    which of them still do after refinement is not to be seen from here."""
     part = t["part"].to_numpy()
     if (part == part[0]).all():
         return (np.zeros(0, np.int64),) * 3
-    i, j, m = candidates(bytes_of(t["low"], "u1", HASHES), part, least)
-    keys, tree = bytes_of(t["keys"], "<i8", TREES), t["tree"][0].as_py()
-    refined = keys[0, tree] != t["region"][0].as_py()
-    on = np.full(len(i), refined) | ((keys[i] == keys[j]).argmax(1) == tree)
-    return i[on], j[on], m[on]
+    return candidates(bytes_of(t["low"], "u1", HASHES), part, least)
 
 
 def unsettled(rows: DataFrame, percent: int) -> DataFrame:
