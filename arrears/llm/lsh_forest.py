@@ -5,17 +5,19 @@
    are one node from here on.
 2. The forest: ``TREES`` orders of the signature's values.  Sorted by one order, documents
    with a long common prefix are neighbours.  A region - documents that agree on the first
-   ``DEPTH`` values - is a set of candidates; a region with more than ``REGION`` documents
-   is refined to twice the depth, again and again, so depth adapts to how crowded the place
-   is.  A pair of similarity 0.8 misses all trees with a probability of 3e-6.
+   ``DEPTH`` values - is a set of candidates.  A pair of similarity 0.8 misses all trees with
+   a probability of 3e-6.
 3. Candidates are compared by their signatures inside their region, and what may reach the
-   threshold (four standard deviations of leeway) is confirmed on the full sets.  Confirmed
-   pairs are the links.
+   threshold (four standard deviations of leeway: a pair at exactly 0.8 falls below it with a
+   probability of 4.2e-5) is confirmed on the full sets.  Confirmed pairs are the links.
 4. To link a group it takes no list of all its pairs.  First, each region hands out a
    spanning forest of its best candidate pairs, and the links among them join documents into
-   components.  Then, in each region, the candidate pairs that lie between two components
-   are confirmed on the spot, best first, until the components that can be joined are.  So
-   only pairs within one component are left out, and those cannot change the result.
+   components.  For this step alone, a region with more than ``REGION`` documents is refined
+   to twice the depth, again and again.  Then, in each region of the base depth, the candidate
+   pairs that lie between two components are confirmed on the spot, best first, until the
+   components that can be joined are; a crowded region is dealt into blocks, each compared
+   with itself and every other, but for blocks of one same component.  So only pairs within
+   one component are left out, and those cannot change the result.
 
 Cases: null texts, and texts without a word, have an empty set and link with nothing; a text
 of fewer words than a shingle is one shingle; rows that share a doc_id count as one document;
@@ -31,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrears.llm import common
@@ -145,15 +147,16 @@ def deeper(rows: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """Rows (tree, region, id, low, keys) of all regions with company, none crowded; staged."""
+def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (tree, region, id, low, keys, refined) of all regions with company, crowded ones
+    being refined; and rows (tree, region, id) of the crowded regions as they were; staged."""
     rows = by_tree(nodes)
     sizes = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
     # most documents are alone in every tree: only those with company carry their signatures on
     shared = common.stage(rows.join(sizes, ["tree", "region"]), "regions")
     values = nodes.select("id", "low", "keys")
-    settled = shared.where(F.col("n") <= REGION).drop("n", "lead").join(values, "id")
-    crowded = shared.where(F.col("n") > REGION)
+    settled = shared.where(F.col("n") <= REGION).drop("n", "lead").join(values, "id").withColumn("refined", F.lit(False))
+    crowded = whole = shared.where(F.col("n") > REGION)
     depth = DEPTH
     while not crowded.isEmpty():
         depth *= 2
@@ -161,7 +164,7 @@ def forest(nodes: DataFrame) -> DataFrame:
         fine = common.stage(deeper(full.select("tree", "region", "id", "low", "keys"), depth), "deeper")
         sizes = fine.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
         # no window and no join on the rows of one region: sizes of crowded regions are few
-        fine = fine.join(sizes, ["tree", "region"])
+        fine = fine.join(sizes, ["tree", "region"]).withColumn("refined", F.lit(True))
         if depth >= HASHES:
             # documents that agree on every value: blocks of them, linked by a common lead
             parts = F.ceil(F.col("n") / REGION)
@@ -172,8 +175,41 @@ def forest(nodes: DataFrame) -> DataFrame:
             break
         fine = common.stage(fine, "deeper")
         settled = settled.unionByName(fine.where(F.col("n") <= REGION).select(*settled.columns))
-        crowded = fine.where(F.col("n") > REGION).drop("n", "lead")
-    return common.stage(settled, "forest")
+        crowded = fine.where(F.col("n") > REGION).drop("n", "lead", "refined")
+    return common.stage(settled, "forest"), whole.select("tree", "region", "id")
+
+
+def units(crowded: DataFrame, nodes: DataFrame, part: DataFrame) -> DataFrame:
+    """Rows of crowded regions, dealt: each region is cut into blocks of half a REGION, those of
+    a large component apart, and a unit (in ``region``'s place) holds two blocks as its sides 0
+    and 1, or one block.  No unit is made of blocks of one same component."""
+    block, here = REGION // 2, ["tree", "region"]
+    rows = common.stage(placed(crowded, part), "crowded")
+    sizes = common.stage(rows.groupBy(*here, "part").agg(F.count(F.lit(1)).alias("n")), "crowd-sizes")
+    large = F.col("n") > block
+    before = Window.partitionBy(*here).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = sizes.where(large).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn(
+        "first", F.coalesce(F.sum("blocks").over(before), F.lit(0))).drop("n")
+    whole = sizes.groupBy(*here).agg(F.ceil(F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)) / block).alias("small"),
+                                     F.coalesce(F.sum(F.when(large, F.ceil(F.col("n") / block))), F.lit(0)).alias("others"))
+    own, whole = (few(common.stage(x, "blocks")) for x in (own, whole))
+    deal = F.xxhash64("id")
+    low = F.coalesce(F.col("small") + F.col("first"), F.lit(0))
+    rows = (rows.join(whole, here).join(own, [*here, "part"], "left").withColumns(
+        {"low_block": low, "high_block": low + F.coalesce("blocks", F.lit(0)),
+         "own": F.when(F.col("blocks").isNull(), F.pmod(deal, F.greatest("small", F.lit(1)))).otherwise(
+             low + F.pmod(deal, F.coalesce("blocks", F.lit(1))))}))
+    every = F.sequence(F.lit(0).cast("long"), F.col("small") + F.col("others") - 1)
+    rows = rows.withColumn("other", F.explode(F.filter(every, lambda x: (x < F.col("low_block")) | (x >= F.col("high_block")))))
+    unit = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+    return (rows.select("tree", unit.alias("region"), "id", "part", (F.col("own") > F.col("other")).cast("int").alias("side"))
+            .join(nodes.select("id", "low", "keys"), "id"))
+
+
+def placed(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """``rows`` with the components of their documents; a document without links is its own."""
+    return rows.join(part.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left").withColumn(
+        "part", F.coalesce("part", "id"))
 
 
 def least_matches(percent: int) -> int:
@@ -183,24 +219,27 @@ def least_matches(percent: int) -> int:
     return int(np.floor(HASHES * seen - LEEWAY * np.sqrt(HASHES * seen * (1 - seen))))
 
 
-def matches(low: np.ndarray, at: int, to: int) -> np.ndarray:
-    """Agreeing signature values of rows at..to with all rows."""
-    if len(low) <= 64:
-        return (low[at:to, None, :] == low[None, :, :]).sum(2)
-    out = np.zeros((to - at, len(low)), np.int16)
+def matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Agreeing signature values of each row of x with each of y."""
+    if len(y) <= 64:
+        return (x[:, None, :] == y[None, :, :]).sum(2)
+    out = np.zeros((len(x), len(y)), np.int16)
     for k in range(HASHES):
-        out += low[at:to, k, None] == low[None, :, k]
+        out += x[:, k, None] == y[None, :, k]
     return out
 
 
-def candidates(low: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, matches) of all row pairs i < j in different groups that agree enough."""
-    found = []
-    for at in range(0, len(low), 256):
-        m = matches(low, at, min(at + 256, len(low)))
+def candidates(low: np.ndarray, group: np.ndarray, least: int, edge: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, matches) of all row pairs i < j in different groups that agree enough; with an
+    ``edge``, of the pairs across it only."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    end = len(low) if edge is None else edge
+    for at in range(0, end, 256):
+        start = at if edge is None else edge
+        m = matches(low[at:min(at + 256, end)], low[start:])
         i, j = np.nonzero(m >= least)
-        on = (i + at < j) & (group[i + at] != group[j])
-        found.append((i[on] + at, j[on], m[i[on], j[on]]))
+        on = (i + at < j + start) & (group[i + at] != group[j + start])
+        found.append((i[on] + at, j[on] + start, m[i[on], j[on]]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -278,12 +317,21 @@ def best_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def between(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of the region between components.  Other trees may hold the same pairs:
-    which of them still do after refinement is not to be seen from here."""
-    part = t["part"].to_numpy()
+    """Candidate pairs between components that fall to this region or unit: a pair that several
+    trees hold belongs to the first that does.  Regions are those of the base depth, whose
+    keys the rows carry, and units hold all of a region's pairs, so that tree has it."""
+    part, side = t["part"].to_numpy(), t["side"].to_numpy()
     if (part == part[0]).all():
         return (np.zeros(0, np.int64),) * 3
-    return candidates(bytes_of(t["low"], "u1", HASHES), part, least)
+    order = np.argsort(side, kind="stable")
+    i, j, m = candidates(bytes_of(t["low"], "u1", HASHES)[order], part[order], least,
+                         int((side == 0).sum()) if side.any() else None)
+    i, j = order[i], order[j]
+    keys, tree = bytes_of(t["keys"], "<i8", TREES), t["tree"][0].as_py()
+    on = np.zeros(len(i), bool)
+    for at in range(0, len(i), 65_536):
+        on[at:at + 65_536] = (keys[i[at:at + 65_536]] == keys[j[at:at + 65_536]]).argmax(1) == tree
+    return i[on], j[on], m[on]
 
 
 def unsettled(rows: DataFrame, percent: int) -> DataFrame:
@@ -295,8 +343,8 @@ def unsettled(rows: DataFrame, percent: int) -> DataFrame:
         if len(i):
             yield from t.take(pa.array(np.unique(np.concatenate([i, j])))).to_batches()
 
-    columns = "tree int, region long, id long, low binary, keys binary, part long"
-    return common.stage(by_region(rows.select("tree", "region", "id", "low", "keys", "part"), of_region, columns), "unsettled")
+    columns = "tree int, region long, id long, low binary, keys binary, part long, side int"
+    return common.stage(by_region(rows.select("tree", "region", "id", "low", "keys", "part", "side"), of_region, columns), "unsettled")
 
 
 def links_between(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -385,14 +433,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.min("keys").alias("keys"), F.min("low").alias("low"))  # equal sets have equal keys and bytes
     alike_sets = common.stage(alike_sets, "equal-sets")
     nodes = alike_sets.where("size > 0 and id is not null").select("id", "keys", "low")
-    trees = forest(nodes)
+    trees, crowded = forest(nodes)
     found = common.stage(best_pairs(trees, percent), "candidates")
     # every document of a candidate pair is in its region's spanning forest
     sets = full_sets(docs, found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words)
     part = components(confirmed(found, sets, percent))
-    placed = trees.join(part.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left").withColumn(
-        "part", F.coalesce("part", "id"))
-    open_ = unsettled(placed, percent)
+    regions = placed(trees.where("not refined").drop("refined"), part).withColumn("side", F.lit(0))
+    if not crowded.isEmpty():
+        regions = regions.unionByName(units(crowded, nodes, part))
+    open_ = unsettled(regions, percent)
+    # refinement may have left a document of a crowded region without candidates
+    more = common.stage(open_.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "more")
+    if not more.isEmpty():
+        sets = sets.unionByName(full_sets(docs, more, words))
     links = links_between(open_, sets, percent)
     everyone = common.stage(open_.select("id", "part").distinct(), "open").select(F.col("id").alias("node"), F.col("part").alias("root"))
     part = composed(part.unionByName(everyone).distinct(), components(contracted(links, everyone)))

@@ -38,3 +38,18 @@ def test_op3_pairs_crowded_in_some_trees(spark, monkeypatch, region):
     assert sizes_of_groups(want) == {1, 2}
     got = lsh_forest.near_duplicates(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+@pytest.mark.parametrize("region", [4, 24])
+def test_op3_pairs_parted_by_refinement(spark, monkeypatch, region):
+    """Nearly every region is crowded and refined, to depths at which lone pairs part."""
+    monkeypatch.setattr(lsh_forest, "REGION", region)
+    rows = templates(2, 20)
+    # beside them one large group, all linked, with a lone document that links to one of its members
+    base = [f"b{i}" for i in range(400)]
+    group = [base[:20 + 8 * k] + [f"g{k}"] + base[21 + 8 * k:] for k in range(40)]
+    far = group[5][:-60] + [f"far{i}" for i in range(24)]
+    rows += [(1000 + k, " ".join(words), None) for k, words in enumerate([*group, far])]
+    want = brute_components([(i, t) for i, t, _ in rows])
+    got = lsh_forest.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
