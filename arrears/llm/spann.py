@@ -7,8 +7,9 @@
   up to ``COPIES`` - 1 others whose centroids are at most ``NEAR`` times as far.
 * Search: a query probes the lists whose centroids are at most ``ratio`` times as far as its
   nearest one.  The ratio is calibrated on the sample, so that ``RECALL`` of its true
-  neighbours lie in probed lists.  There is no cap on lists: the beam widens until its
-  farthest centroid is beyond the ratio.
+  neighbours lie in probed lists.  A query that all but touches a centroid (copies of the
+  longest vector fill a list) has no such ratio; for those a distance is calibrated instead.
+  There is no cap on lists: the beam widens until its farthest centroid is beyond.
 
 Largest inner product is nearest distance after one more coordinate, sqrt(max |x|^2 - |x|^2),
 is added to the vectors (0 to queries, which are scaled to the longest vector's length);
@@ -39,6 +40,7 @@ from arrears.llm import common
 SAMPLE, SAMPLE_BYTES, LIST_ROWS = 20_000, 64 << 20, 512
 DEGREE, LINKS, COPIES, NEAR = 16, 4, 4, 1.15
 TRIALS, RECALL = 256, 0.985
+TOUCH = 1e-3  # of the longest vector's length: a distance too small to be multiplied
 LEAST_BLOCK, MOST_BLOCK, STRIPE = 4096, 65_536, 256
 
 
@@ -88,6 +90,11 @@ class Lists:
     graph: np.ndarray
     longest: float  # norm of the longest vector
     ratio: float = 1.0
+    touching: float = 0.0  # distance to search from queries nearer than TOUCH to a centroid
+
+    def reach(self, near: np.ndarray) -> np.ndarray:
+        """Distance to search, from that of the nearest centroid."""
+        return np.where(near > TOUCH * self.longest, self.ratio * near, self.touching)
 
     def placed(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the coordinate that turns inner products into distances."""
@@ -153,7 +160,7 @@ class Lists:
         while len(left):
             ids, dist = self.beam(x[left], width)
             size = np.where(ids >= 0, sizes[ids], 0)
-            want = (ids >= 0) & ((dist <= self.ratio * dist[:, :1]) | (size.cumsum(1) - size < least))
+            want = (ids >= 0) & ((dist <= self.reach(dist[:, :1])) | (size.cumsum(1) - size < least))
             enough = ~want[:, -1] | (ids.shape[1] >= n)
             row, k = np.nonzero(want & enough[:, None])
             rows.append(left[row])
@@ -191,7 +198,14 @@ def fit(x: np.ndarray, total: int, longest: float, k: int, seed: int = 4) -> Lis
     reach = np.full(true.size, np.inf)
     np.minimum.at(reach, row, away[row // k, home])
     # the larger the whole is beside the sample, the nearer the k nearest are: this errs to the safe side
-    lists.ratio = float(np.quantile(reach / np.repeat(away.min(1), k), RECALL)) + 1e-9
+    near = np.repeat(away.min(1), k)
+    apart = near > TOUCH * longest
+    if apart.any():
+        lists.ratio = float(np.quantile(reach[apart] / near[apart], RECALL)) + 1e-9
+    lists.touching = lists.ratio * TOUCH * longest
+    if not apart.all():
+        lists.touching = max(lists.touching, float(np.quantile(reach[~apart], RECALL)) + 1e-9 * longest)
+    assert np.isfinite(lists.ratio) and np.isfinite(lists.touching)
     return lists
 
 

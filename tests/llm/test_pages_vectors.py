@@ -85,6 +85,34 @@ def test_op4_beam_finds_each_list_once(n):
     assert np.mean(home[np.searchsorted(row, np.arange(n))] == away.argmin(1)) > 0.9
 
 
+@pytest.mark.parametrize("stretch", [1.0, 1.01])
+def test_op4_recall_beside_copies_of_the_longest_vector(stretch):
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(3000, 16))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        x[:1000] = x[0] * stretch
+        x = x[rng.permutation(len(x))]
+        longest = float(np.sqrt((x * x).sum(1).max()))
+        lists = spann.fit(x, 32 * spann.LIST_ROWS, longest, 20)
+        assert np.isfinite(lists.ratio)
+        row, home = lists.homes(x)
+        sizes = np.bincount(home, minlength=len(lists.centroids))
+        asked = np.arange(0, len(x), 20)
+        probed = np.zeros((len(asked), len(sizes)), bool)
+        probed[lists.probes(x[asked], sizes, spann.COPIES * 21)] = True
+        score = x[asked] @ x.T
+        score[np.arange(len(asked)), asked] = -np.inf
+        lies = np.zeros((len(x), len(sizes)), bool)
+        lies[row, home] = True
+        found = (lies[None] & probed[:, None]).any(2)
+        # of tied copies any may be found
+        least = np.sort(score, 1)[:, -20]
+        hits = np.minimum(20, (found & (score >= least[:, None] - 1e-9)).sum(1))
+        other = score.max(1) < longest ** 2 * (1 - 1e-9)  # queries that are not copies
+        assert hits.mean() >= 0.95 * 20 and hits[other].mean() >= 0.95 * 20
+
+
 def test_op6_oracle(spark):
     assert ": OK" in compare(spark, duck(SMALL), "op6_warc", queries.QUERIES["op6_warc"], queries.ORACLES["op6_warc"], SMALL)
 
