@@ -3,9 +3,10 @@
 Two smoothed variable-order Markov models are counted over the whole table, one on the URLs
 that rules allow and one on those that rules block.  Each order's probabilities are mixed
 with those of the order below by Witten-Bell weights, so a context that was seldom seen
-leans on its shorter endings.  A URL's score is the difference of its log-likelihoods,
-divided by its length; the threshold is calibrated on a fold of the rule-decided URLs that
-the models have not seen.
+leans on its shorter endings.  What is counted and scored is a URL's host and path, as the
+rules read them: scheme, query string and fragment are cut.  The score is the difference of
+log-likelihoods, divided by the length; the threshold is calibrated on a fold of the
+rule-decided URLs that the models have not seen.
 
 Characters are mapped to a small alphabet (letters, one digit, the URL's marks, and one sign
 for all others), so the counts of all four-character strings, and with them what is
