@@ -52,9 +52,16 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[:1] == b"\x02" else "<u4", offset=1).astype("<u4")
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """A dictionary from at most SAMPLE_DOCS documents; empty when there is too little text
-    (frames are then plain zstandard)."""
+def sample(docs: DataFrame, total: int) -> DataFrame:
+    """About SAMPLE_DOCS of ``total`` documents, at most twice as many, drawn by a hash of doc_id
+    over the whole table."""
+    share = min(1.0, SAMPLE_DOCS / max(1, total))
+    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * share).limit(2 * SAMPLE_DOCS)
+
+
+def train_dictionary(docs: DataFrame, tokenizer: str, total: int) -> bytes:
+    """A dictionary from a bounded sample of the ``total`` documents; empty when there is too
+    little text (frames are then plain zstandard)."""
     common.small_batches(docs.sparkSession)
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +71,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
                 [pa.array([pack(np.frombuffer(c.encode(x), "<u4"))[:SAMPLE_BYTES] for x in b.column("text").to_pylist()],
                           pa.binary())], names=["raw"])
 
-    some = docs.select("text").limit(SAMPLE_DOCS)  # of the first splits: it only steers compression
+    some = sample(docs, total).select("text")
     samples = [bytes(r.raw) for r in some.mapInArrow(serialized, "raw binary").collect()]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 10)
     try:
@@ -77,10 +84,11 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, end_id: int) -> DataF
     """Encode ``docs`` (doc_id, text), append ``end_id`` to each, write the store below
     ``uri``; returns the manifest, staged: part, file, n_docs, n_tokens."""
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer)
+    total = docs.count()
+    dictionary = train_dictionary(docs, tokenizer, total)
     common.put_file(f"{uri}/dictionary.zstd", lambda out: out.write(dictionary))
     files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")),
-                -(-docs.count() // ROWS_PER_FILE))
+                -(-total // ROWS_PER_FILE))
     common.small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,3 +165,11 @@ def test_plan_holds_every_piece_and_is_near_the_bound():
         assert held == dict(zip(lengths.tolist(), counts.tolist()))
         used, least = sum(c for c, _ in runs), -(-int(sizes.sum()) // 4096)
         assert used <= max(least + 2, 1.04 * least)
+
+
+def test_op8_dictionary_sample_is_of_the_whole_table(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "'x' AS text")
+    ids = [r.doc_id for r in token_store.sample(docs, 40_000).collect()]
+    assert 800 < len(ids) <= 2 * token_store.SAMPLE_DOCS
+    assert all(0.15 < sum(q <= i // 10_000 < q + 1 for i in ids) / len(ids) < 0.35 for q in range(4))
+    assert token_store.sample(docs.limit(50), 50).count() == 50
