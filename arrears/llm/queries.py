@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import bpe_dp, crf_lang, exact_dedup, lsh_forest, packing, spann, token_store, toxicity, url_lm, warc
+from arrears.llm import (bpe_dp, crf_lang, exact_dedup, filter_audit, lsh_forest, packing, resampling, spann, token_store, toxicity,
+                         url_lm, warc)
 from arrears.llm.common import table
 from arrears.llm.tokens import tokenizer_path
 
@@ -56,7 +57,17 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_lang.identify(docs, crf_lang.train(docs))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_bpe_prefix_dp, op2_exact_dedup, op3_lsh_forest, op4_spann, op5_toxicity, op6_warc, op7_url_model, op8_token_store, op9_lp_packing, op10_crf_language)}
+    op1_bpe_prefix_dp, op2_exact_dedup, op3_lsh_forest, op4_spann, op5_toxicity, op6_warc, op7_url_model, op8_token_store, op9_lp_packing,
+    op10_crf_language, op12_filter_audit, op13_importance_resampling)}
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_warc": warc.SQL, "op12_filter_audit": filter_audit.SQL,
+                           "op13_importance_resampling": resampling.SQL}
