@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import (bpe_dp, crf_lang, exact_dedup, filter_audit, lsh_forest, packing, resampling, spann, token_store, toxicity,
+from arrears.llm import (bpe_dp, crf_lang, exact_dedup, filter_audit, lsh_forest, packing, pii, resampling, spann, token_store, toxicity,
                          url_lm, warc)
 from arrears.llm.common import table
 from arrears.llm.tokens import tokenizer_path
@@ -57,6 +57,11 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_lang.identify(docs, crf_lang.train(docs))
 
 
+def op11_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(docs, pii.train(docs))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +72,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_bpe_prefix_dp, op2_exact_dedup, op3_lsh_forest, op4_spann, op5_toxicity, op6_warc, op7_url_model, op8_token_store, op9_lp_packing,
-    op10_crf_language, op12_filter_audit, op13_importance_resampling)}
+    op10_crf_language, op11_pii_crf, op12_filter_audit, op13_importance_resampling)}
 
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_warc": warc.SQL, "op12_filter_audit": filter_audit.SQL,
                            "op13_importance_resampling": resampling.SQL}
