@@ -24,7 +24,8 @@ _UPLOADS: dict = {}
 def upload_file(spark, sf_dir) -> str:
     """The test split's raw invoices written as an upload CSV with the
     reference's snake_case headers, plus edge cells injected by expression:
-    unparseable amount, thousands separators, empty district, empty group."""
+    unparseable amount, thousands separators, empty district, empty group, quotes and line
+    ends inside a cell, files with columns in another order, miscounted records."""
     key = version(spark, sf_dir)
     if key in _UPLOADS:
         return _UPLOADS[key]
@@ -39,9 +40,19 @@ def upload_file(spark, sf_dir) -> str:
         cols.append(F.col(c).alias(batch.UPLOAD_HEADER[c]))
     cols.append(F.when(ok % 107 == 0, F.lit("")).otherwise(F.col("district")).alias("kecamatan"))
     cols.append(F.when(ok % 109 == 0, F.lit("")).otherwise(F.col("customer_group")).alias("nama_group_customer"))
-    cols.append(F.col("remark").alias("keterangan"))
+    cols.append(F.when(ok % 127 == 0, F.lit('said "soon, maybe"\nor \ufffd later')).otherwise(F.col("remark")).alias("keterangan"))
     cols.append(F.date_format("invoice_date", "d/M/yyyy").alias("tanggal"))  # day-first, unknown header kept
-    t.select(*cols).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    rows = t.select(*cols, (ok % 113 == 0).alias("_odd"), (F.col("line_no") % 3).alias("_kind"))
+    plain = [c for c in rows.columns if c[0] != "_"]
+    rows.where("NOT _odd").select(*plain).write.mode("overwrite").option("header", True).option("escape", '"') \
+        .option("emptyValue", "").csv(path)
+    # files with another order of columns, and records with too few or too many cells
+    names = plain[:7] + plain[7:][::-1]
+    text = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in names]
+    line = F.when(F.col("_kind") == 0, F.concat_ws(",", *text[:-3])).when(F.col("_kind") == 1, F.concat_ws(",", *text, F.lit("more"))) \
+            .otherwise(F.concat_ws(",", *text))
+    rows.where("_odd").select(line.alias(",".join(names))).write.mode("append").option("header", True) \
+        .option("sep", "\u0001").option("quote", "").csv(path)
     _UPLOADS[key] = path
     return path
 
@@ -64,7 +75,8 @@ _UP = """up AS (SELECT order_key, line_no, part_key, supp_key,
    CASE WHEN order_key % 107 = 0 THEN '' ELSE district END AS district,
    CASE WHEN order_key % 109 = 0 THEN '' ELSE customer_group END AS customer_group, remark
  FROM split WHERE split = 'test')"""
-_ERR = """CASE WHEN isnan(amount) OR abs(amount) = CAST('inf' AS DOUBLE) THEN 'amount is not a finite number'
+_ERR = """CASE WHEN order_key % 113 = 0 AND line_no % 3 < 2 THEN 'wrong number of cells'
+   WHEN isnan(amount) OR abs(amount) = CAST('inf' AS DOUBLE) THEN 'amount is not a finite number'
    WHEN amount <= 0 THEN 'amount must be > 0' WHEN customer = '' THEN 'customer is empty'
    WHEN salesperson = '' THEN 'salesperson is empty' WHEN division = '' THEN 'division is empty'
    WHEN category = '' THEN 'category is empty' WHEN subcategory = '' THEN 'subcategory is empty'

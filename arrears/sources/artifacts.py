@@ -15,14 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arrears.operators.decide import risk_label
+from arrears.sources import records
 
 JSON_BIG = 1e18
 
 
 # ---------------------------------------------------------------- readers
 def read_table_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with an explicit schema (never inferred)."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """CSV columns by the files' headers, cast to an explicit schema (never
+    inferred; an empty or unreadable cell is null).  A record with a wrong number of cells is
+    an error: these tables are written by programs."""
+    raw = records.read(spark, path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}; available: {sorted(raw.columns)}")
+    sound = F.assert_true(F.col(records.MALFORMED).isNull(), F.concat(F.lit("wrong number of cells: "), F.col(records.MALFORMED)))
+    return raw.where(sound.isNull()).select(*[
+        F.when(F.col(f.name) != "", F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_optional_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A CSV of raw invoices -> canonical columns -> coerced amount -> per-row
 validation with a reject reason.  Everything is a column expression over
-``spark.read.csv``; the header check (U3) is a set difference on
+the records of ``sources.records``; the header check (U3) is a set difference on
 ``df.columns`` done before any job runs.
 """
 
@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from arrears import constants as K
+from arrears.sources import records
 
 # FIXED VALUES: accepted upload headers (the reference's snake_case and
 # PascalCase names) and the canonical column each one maps to.
@@ -37,46 +37,29 @@ class MissingColumns(ValueError):
     pass
 
 
-#: Holds the raw line of a row whose number of cells differs from the header's.
-MALFORMED = "malformed_line"
+MALFORMED = records.MALFORMED
 
 
-def read_upload(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Header row, cells trimmed, doubled quotes inside quoted cells, empty cells
-    stay empty strings.  Rows with too few or too many cells keep their line in
-    ``malformed_line`` and are rejected by ``validate``.  Without ``encoding`` the file is
-    read as UTF-8, and as Latin-1 if it holds bytes that are no UTF-8."""
-    def read(schema: T.StructType | None, code: str) -> DataFrame:
-        r = (spark.read.option("header", True).option("encoding", code).option("mode", "PERMISSIVE")
-             .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True)
-             .option("ignoreTrailingWhiteSpace", True).option("nullValue", "\u0000").option("emptyValue", ""))
-        if schema is not None:  # every cell is parsed, or miscounted rows would pass unseen
-            r = r.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False)
-        return r.csv(path)
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """Uploads by their headers, with ``malformed_line`` and the records' positions
+    (see ``records``); rows with too few or too many cells are rejected by ``validate``."""
+    return canonical(records.read(spark, path))
 
-    def whole(code: str) -> DataFrame:
-        names = read(None, code).columns
-        return read(T.StructType([T.StructField(c, T.StringType()) for c in [*names, MALFORMED]]), code)
 
-    df = whole(encoding or "UTF-8")
-    if encoding is None:
-        broken = F.exists(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]), lambda v: v.contains("\ufffd"))
-        if "\ufffd" in "".join(df.columns) or not df.where(broken).isEmpty():
-            df = whole("ISO-8859-1")
-    return canonical(df)
-
-
-def canonical(df: DataFrame) -> DataFrame:
+def canonical(df: DataFrame, fill: bool = False) -> DataFrame:
     """P7 + U3 + P8 + P10: alias headers (BOM and blanks stripped), keep
     unknown ones, fail fast listing missing required columns, add literal
-    defaults for *absent* optional columns only."""
+    defaults for *absent* optional columns only.  ``fill`` adds absent required columns as
+    empty text instead, which ``validate`` rejects row by row."""
     ren = {}
     for c in df.columns:
         s = c.replace("\ufeff", "").strip()
         ren[c] = HEADER_MAP.get(s, s)
     df = df.withColumnsRenamed(ren)
     missing = sorted(set(REQUIRED) - set(df.columns))
-    if missing:
+    if missing and fill:
+        df = df.withColumns({c: F.lit("") for c in missing})
+    elif missing:
         raise MissingColumns(f"missing required columns: {missing}; available: {sorted(df.columns)}")
     for c, v in OPTIONAL_DEFAULTS.items():
         if c not in df.columns:
@@ -117,15 +100,17 @@ def validate(df: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0-based position in read order, on the JVM: the position within the partition,
-    plus the row counts of the partitions before it (one small row per partition)."""
-    marked = df.withColumn("_at", F.monotonically_increasing_id())
-    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
-    offsets = sizes.select("_part", before.alias("_before"))
-    return marked.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
-        name, F.col("_before") + at).drop("_at", "_part", "_before")
+    """0-based position in file order: the place within the file's split plus the row
+    counts of the splits before (one small row per split)."""
+    if "_file" not in df.columns:  # rows that come from no file: their partitions' order
+        at = F.monotonically_increasing_id()
+        df = df.withColumns({"_file": F.lit(""), "_split": F.shiftright(at, 33), "_line": at})
+    own = Window.partitionBy("_file", "_split").orderBy("_line")
+    sizes = df.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_split")) - F.col("_n")
+    offsets = sizes.select("_file", "_split", before.alias("_before"))
+    return df.withColumn("_at", F.row_number().over(own) - 1).join(offsets, ["_file", "_split"]).withColumn(
+        name, F.col("_before") + F.col("_at")).drop("_at", "_before", *records.POSITION)
 
 
 def input_summary(df: DataFrame) -> DataFrame:
@@ -143,15 +128,20 @@ RAW_COLUMNS = {
     "NamaSubKategori": "subcategory", "KodeCabang": "branch", "Provinsi": "province", "Kota": "city",
     "Kecamatan": "district", "Kelurahan": "subdistrict", "Keterangan": "remark",
 }
-RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 
 def read_raw_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """S1 + P1: the raw invoice CSV with an explicit schema (never inferred);
-    day-first dates parsed, numbers cast with ``try_cast`` (bad -> null)."""
+    """S1 + P1: raw invoice files by their headers, every cell a string first (nothing is
+    inferred); day-first dates parsed, numbers cast with ``try_cast`` (bad -> null).
+    Records with a wrong number of cells keep their text in ``malformed_line`` and have no
+    values, so nothing is shifted into another column."""
     from arrears.operators.clean import parse_day_first
-    raw = spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    df = raw.withColumnsRenamed(RAW_COLUMNS)
+    raw = records.read(spark, path)
+    missing = sorted(set(RAW_COLUMNS) - set(raw.columns))
+    if missing:
+        raise MissingColumns(f"missing raw columns: {missing}; available: {sorted(raw.columns)}")
+    whole = F.col(MALFORMED).isNull()
+    df = raw.select(*[F.when(whole & (F.col(c) != ""), F.col(c)).alias(n) for c, n in RAW_COLUMNS.items()], MALFORMED)
     return df.withColumn("invoice_date", parse_day_first("invoice_date")) \
              .withColumn("age_days", F.col("age_days").try_cast("int")) \
              .withColumn("amount", F.col("amount").try_cast("double")) \

@@ -1,16 +1,18 @@
 """Structured Streaming jobs.
 
 * R1 - score a stream of raw invoice files against the static fitted
-  tables: the same online transform as the batch path, expressed as
-  stream-static broadcast joins.
+  tables.  A micro-batch holds whole files, so it is parsed by the very reader
+  of uploads (``sources.records``: headers by name, line ends in quotes, decoding
+  per file, wrong numbers of cells) and goes through the same online transform.
 * R2 - ``foreachBatch`` routes each micro-batch: accepted rows to one table,
-  rejected rows (with their reason) to another; both appends are
-  idempotent per batch id (a re-run batch overwrites its own folder).
+  rejected rows (with their reason, and the text of malformed records) to
+  another; both appends are idempotent per batch id (a re-run batch overwrites
+  its own folder).
 * R3 - running decision summary per event-time window (count, high-risk,
   mean score) with a watermark; ``update`` mode, the sink keeps the latest
   row per window.
 
-Sources are file streams with explicit schemas; checkpoints live under the
+Sources are streams of text files; the sinks' columns are fixed; checkpoints live under the
 folder the caller names, so a restarted driver resumes there (by default under
 the application's own checkpoint folder).
 """
@@ -28,24 +30,19 @@ from arrears.operators.clean import parse_day_first
 from arrears.operators import features as feat
 from arrears.operators.fit import Fitted
 from arrears.session import checkpoint_dir
-from arrears.sources import batch
+from arrears.sources import batch, records
 
-UPLOAD_SCHEMA = T.StructType(
-    [T.StructField(k, T.StringType()) for k in ("order_key", "line_no", "part_key", "supp_key")]
-    + [T.StructField(batch.UPLOAD_HEADER[c], T.StringType()) for c in
-       ("amount", "customer", "salesperson", "division", "category", "subcategory", "branch", "province",
-        "city", "district", "customer_group", "remark")]
-    + [T.StructField("tanggal", T.StringType())])
+#: Columns of a streamed upload that reach the sinks, beside the scores.
+COLUMNS = ["order_key", "line_no", "part_key", "supp_key", *batch.REQUIRED, *batch.OPTIONAL_DEFAULTS, "tanggal"]
 
 
-def read_stream(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
-    raw = (spark.readStream.schema(UPLOAD_SCHEMA).option("header", True)
-           .option("maxFilesPerTrigger", max_files).option("nullValue", "\u0000").option("emptyValue", "")
-           .csv(path))
-    return batch.canonical(raw)
+def parse(raw: DataFrame) -> DataFrame:
+    """The raw lines of a micro-batch under fixed columns; what a file lacks is empty."""
+    rows = batch.canonical(records.table(raw), fill=True)
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in (*COLUMNS, records.MALFORMED)])
 
 
-def score_stream(df: DataFrame, fitted: Fitted, scorer) -> DataFrame:
+def score_rows(df: DataFrame, fitted: Fitted, scorer) -> DataFrame:
     """Coerce -> validate -> online features -> scores (null on reject)."""
     v = batch.validate(batch.coerce(df), strict=True)
     s = scorer(feat.transform(v, fitted, mode="online"))
@@ -53,17 +50,17 @@ def score_stream(df: DataFrame, fitted: Fitted, scorer) -> DataFrame:
     return s.withColumn("score_a", F.when(ok, F.col("score_a"))).withColumn("score_b", F.when(ok, F.col("score_b")))
 
 
-def route_batches(out_dir: str):
+def route_batches(out_dir: str, fitted: Fitted, scorer):
     """R2: accepted / rejected sinks, idempotent per micro-batch."""
     def sink(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.persist()
+        scored = score_rows(parse(records.placed(batch_df)), fitted, scorer).persist()
         try:
-            batch_df.filter(F.col("error").isNull()).write.mode("overwrite") \
+            scored.filter(F.col("error").isNull()).write.mode("overwrite") \
                 .parquet(os.path.join(out_dir, "accepted", f"batch={batch_id}"))
-            batch_df.filter(F.col("error").isNotNull()).write.mode("overwrite") \
+            scored.filter(F.col("error").isNotNull()).write.mode("overwrite") \
                 .parquet(os.path.join(out_dir, "rejected", f"batch={batch_id}"))
         finally:
-            batch_df.unpersist()
+            scored.unpersist()
     return sink
 
 
@@ -99,11 +96,12 @@ def run(spark: SparkSession, source: str, fitted: Fitted, scorer, name: str, thr
     ended: files that were scored are not scored again."""
     root = root or os.path.join(checkpoint_dir(spark), "streams", name)
     out = os.path.join(root, "out")
-    scored = score_stream(read_stream(spark, source), fitted, scorer)
-    q1 = (scored.writeStream.foreachBatch(route_batches(out))
+    empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in (*COLUMNS, records.MALFORMED)]))
+    scored = score_rows(empty, fitted, scorer).schema
+    q1 = (records.streamed_lines(spark, source).writeStream.foreachBatch(route_batches(out, fitted, scorer))
           .option("checkpointLocation", os.path.join(root, "ckpt_route")).trigger(availableNow=True).start())
     q1.awaitTermination()
-    accepted = (spark.readStream.schema(T.StructType([*scored.schema.fields, T.StructField("batch", T.IntegerType())]))
+    accepted = (spark.readStream.schema(T.StructType([*scored.fields, T.StructField("batch", T.IntegerType())]))
                 .parquet(os.path.join(out, "accepted")))
     q2 = (decision_windows(accepted, threshold, watermark=watermark).writeStream.outputMode("update")
           .foreachBatch(window_sink(out)).option("checkpointLocation", os.path.join(root, "ckpt_windows"))
