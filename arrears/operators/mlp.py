@@ -4,7 +4,7 @@ Architecture of the first (the reference's): scale the continuous features, look
 embedding per categorical code (clipped to the table), concatenate, dense + GELU, residual
 blocks (dense + GELU + skip), dense to one logit, sigmoid.
 
-* ``score`` - forward pass per Arrow batch in ``mapInPandas`` (numpy matmuls), weights
+* ``score`` - forward pass per Arrow batch (numpy matmuls, ``scoring``), weights
   broadcast once.  An embedding is multiplied with its part of the first layer beforehand, so
   a code costs one row look-up.  The weights are an artifact: the reference ships none, and
   ``init_params`` makes a network of its size.
@@ -17,10 +17,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from arrears.operators.scoring import score_rows
 
 SQRT2 = math.sqrt(2.0)
 
@@ -91,14 +91,6 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- Spark plumbing
-def _prep(pdf: pd.DataFrame, cont: list[str], cats: list[str], mean: np.ndarray, scale: np.ndarray):
-    """(x - mean) / scale with non-finite -> 0."""
-    xc = (pdf[cont].to_numpy(np.float64, na_value=np.nan) - mean) / scale
-    xc[~np.isfinite(xc)] = 0.0
-    codes = np.nan_to_num(pdf[cats].to_numpy(np.float64, na_value=0.0)).astype(np.int64)
-    return xc, codes
-
-
 def fit_scaler(df: DataFrame, cont: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population std per continuous feature in ONE
     aggregate (zero std -> scale 1)."""
@@ -135,23 +127,52 @@ def perceptron_score(df: DataFrame, model, keep: Sequence[str], out: str = "prob
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(out))
 
 
+class PerceptronScorer:
+    """A fitted perceptron pipeline as a scorer: its scaler and layers as arrays."""
+
+    def __init__(self, model) -> None:
+        _, scaler, net = model.stages
+        std = scaler.std.toArray()
+        self.mean, self.factor = scaler.mean.toArray(), np.where(std > 0, 1 / np.where(std > 0, std, 1), 0.0)
+        sizes, weights, self.layers, at = list(net.getLayers()), net.weights.toArray(), [], 0
+        for n_in, n_out in zip(sizes, sizes[1:]):
+            w = weights[at:at + n_in * n_out].reshape(n_in, n_out)
+            self.layers.append((w, weights[at + n_in * n_out:at + (n_in + 1) * n_out]))
+            at += (n_in + 1) * n_out
+
+    def prepare(self):
+        return self.probability
+
+    def probability(self, X: np.ndarray) -> np.ndarray:
+        h = (X - self.mean) * self.factor
+        for w, b in self.layers[:-1]:
+            h = sigmoid(h @ w + b)
+        w, b = self.layers[-1]
+        z = h @ w + b
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e[:, 1] / e.sum(1)
+
+
+class NetworkScorer:
+    """The embedding network as a scorer over ``features``."""
+
+    def __init__(self, model: dict, features: Sequence[str]) -> None:
+        self.model = model
+        self.cont = [list(features).index(f) for f in model["cont"]]
+        self.cats = [list(features).index(f) for f in model["cats"]]
+
+    def prepare(self):
+        return self.probability
+
+    def probability(self, X: np.ndarray) -> np.ndarray:
+        m = self.model
+        with np.errstate(invalid="ignore"):
+            xc = (X[:, self.cont] - m["scaler_mean"]) / m["scaler_scale"]  # non-finite -> 0
+        xc[~np.isfinite(xc)] = 0.0
+        return sigmoid(forward(m, xc, np.nan_to_num(X[:, self.cats]).astype(np.int64)))
+
+
 def score(df: DataFrame, model: dict, keep: Sequence[str], out: str = "probability") -> DataFrame:
     """M2: forward pass per Arrow batch; the weights travel once as a broadcast."""
-    keep = list(keep)
-    cont, cats = model["cont"], model["cats"]
-    bm = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(out, T.DoubleType())])
-
-    def run(batches):
-        m = bm.value
-        for pdf in batches:
-            res = pdf[keep].copy()
-            if len(pdf):
-                xc, codes = _prep(pdf, cont, cats, m["scaler_mean"], m["scaler_scale"])
-                res[out] = sigmoid(forward(m, xc, codes))
-            else:
-                res[out] = np.array([], dtype=np.float64)
-            yield res
-
-    cols = keep + [c for c in cont + cats if c not in keep]
-    return df.select(*cols).mapInPandas(run, schema)
+    features = [*model["cont"], *model["cats"]]
+    return score_rows(df, {out: NetworkScorer(model, features)}, features, keep)

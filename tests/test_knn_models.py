@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from arrears.operators import knn, mlp, resample, trees
+from arrears.operators.scoring import score_rows
+from arrears.session import cut_lineage
 
 
 def _points(spark, n=400, d=5, seed=11):
@@ -76,28 +78,105 @@ def test_smote_balances_and_stays_between(spark):
         assert pdf.loc[pdf.id == r.nn_id, "y"].item() == 1
 
 
-def test_tree_scorer_and_shap(spark):
+@pytest.mark.parametrize("kind,depth", [("gbt", 3), ("rf", 4), ("rf", 9)])
+def test_tree_scorer_equals_mllib(spark, kind, depth):
     rng = np.random.default_rng(0)
     X = rng.normal(size=(800, 4))
     y = ((X[:, 0] + 0.5 * X[:, 1] * X[:, 2]) > 0).astype(int)
-    pdf = pd.DataFrame(X, columns=list("abcd")).assign(y=y, rid=np.arange(800))
+    pdf = pd.DataFrame(X, columns=list("abcd")).assign(y=y, rid=np.arange(800), w=1.0 + y)
     df = spark.createDataFrame(pdf)
     feats = list("abcd")
-    m = trees.train(df, feats, kind="gbt", n_trees=8, max_depth=3)
-    nodes = trees.node_table(spark, m)
-    ours = trees.score(df, nodes, feats, ["rid"]).toPandas().sort_values("rid")
+    m = trees.train(df, feats, kind=kind, weight_col="w", n_trees=6, max_depth=depth)
+    nodes = cut_lineage(trees.node_table(spark, m, kind))
+    ours = trees.score(df, nodes, feats, ["rid"], link=trees.LINKS[kind]).toPandas().sort_values("rid")
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     ml = m.transform(VectorAssembler(inputCols=feats, outputCol="_features").transform(df)) \
         .select("rid", vector_to_array("probability")[1].alias("p")).toPandas().sort_values("rid")
     assert np.allclose(ours.probability.to_numpy(), ml.p.to_numpy(), atol=1e-12)
-    cov = trees.node_cover(df, nodes, feats)
-    c = trees.contributions(df, cov, feats, "rid").groupBy("rid").agg(F.sum("value").alias("s")).toPandas()
-    per = trees.contributions(df, cov, feats, "rid").groupBy("rid").count().agg(F.min("count"), F.max("count")).first()
-    assert tuple(per) == (5, 5)  # a row for every feature, zeros too, and the base
-    margin = np.log(ours.probability / (1 - ours.probability)).to_numpy()
-    c = c.sort_values("rid")
-    assert np.allclose(c.s.to_numpy(), margin, atol=1e-9)
+    if kind == "gbt":  # covers are the rows that reach a node; forests count their own bootstrap samples
+        walk = nodes.toPandas().set_index(["tree", "node"])
+        for (tree, node), r in walk.iterrows():
+            if node == 0:
+                counts = {0: np.ones(800, bool)}
+                stack = [0]
+                while stack:
+                    i = stack.pop()
+                    n = walk.loc[(tree, i)]
+                    assert counts[i].sum() == n.cover
+                    if n.left >= 0:
+                        left = X[:, int(n.feature)] < n.threshold
+                        counts[int(n.left)], counts[int(n.right)] = counts[i] & left, counts[i] & ~left
+                        stack += [int(n.left), int(n.right)]
+        c = trees.contributions(df, nodes, feats, "rid")
+        per = c.groupBy("rid").agg(F.count("value").alias("n"), F.sum("value").alias("s")).toPandas().sort_values("rid")
+        assert set(per.n) == {5}  # a row for every feature, zeros too, and the base
+        margin = np.log(ours.probability / (1 - ours.probability)).to_numpy()
+        assert np.allclose(per.s.to_numpy(), margin, atol=1e-9)
+
+
+def random_nodes(rng, n_trees, depth, features):
+    rows = []
+    for tree in range(n_trees):
+        nodes = []
+
+        def grow(level, cover):
+            i = len(nodes)
+            nodes.append(None)
+            if level == depth or cover < 4 or rng.random() < 0.2:
+                nodes[i] = (tree, i, -1, -1, -1, 0.0, 1, float(rng.normal()), cover)
+                return i
+            left = int(rng.integers(1, cover))
+            f, thr, d = int(rng.integers(0, features)), float(np.round(rng.normal(), 1)), int(rng.integers(0, 2))
+            a, b = grow(level + 1, left), grow(level + 1, cover - left)
+            nodes[i] = (tree, i, a, b, f, thr, d, 0.0, cover)
+            return i
+
+        grow(0, 100)
+        rows += nodes
+    return pd.DataFrame(rows, columns=["tree", "node", "left", "right", "feature", "threshold", "default_left", "value", "cover"])
+
+
+@pytest.mark.parametrize("depth", [2, 5, 8])
+def test_walk_and_contributions_against_brute_force(depth):
+    """Missing values and defaults, thresholds met exactly, uneven trees; contributions equal
+    the Shapley values of the path-dependent expectation over all subsets of features."""
+    import itertools
+    import math
+    rng = np.random.default_rng(depth)
+    nodes = random_nodes(rng, 5, depth, 4)
+    X = np.round(rng.normal(size=(40, 4)), 1)
+    X[rng.random(X.shape) < 0.15] = np.nan
+    forest = trees.Forest(nodes)
+
+    def expect(tree, i, x, known):
+        n = tree.loc[i]
+        if n.left < 0:
+            return n.value
+        left, right = int(n.left), int(n.right)
+        f = int(n.feature)
+        if f in known:
+            go = bool(n.default_left) if np.isnan(x[f]) else x[f] < n.threshold
+            return expect(tree, left if go else right, x, known)
+        return (tree.loc[left].cover * expect(tree, left, x, known) + tree.loc[right].cover * expect(tree, right, x, known)) / n.cover
+
+    parts = [g.set_index("node") for _, g in nodes.groupby("tree")]
+    total = [sum(expect(t, 0, x, set(range(4))) for t in parts) for x in X]
+    assert np.allclose(forest.total(X), total)
+    phi = trees.Paths(forest, 0.0).contributions(X)
+    for x, own in zip(X[:12], phi):
+        v = {s: sum(expect(t, 0, x, set(s)) for t in parts) for k in range(5) for s in itertools.combinations(range(4), k)}
+        for f in range(4):
+            rest = [s for s in v if f not in s]
+            want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (v[tuple(sorted((*s, f)))] - v[s]) for s in rest)
+            assert own[f] == pytest.approx(want, abs=1e-9)
+        assert own[4] == pytest.approx(v[()], abs=1e-9)
+
+
+def test_top_contributions_within_the_row(spark):
+    df = spark.createDataFrame([(1, [0.1, -0.5, 0.0, 0.5]), (2, [0.0, 0.0, 0.0, 0.0])], "rid long, phi array<double>")
+    got = {r.rid: [(t.feature, t.value) for t in r.top] for r in trees.top_contributions(df, list("abcd"), 2).collect()}
+    assert got[1] == [("d", 0.5), ("b", -0.5)] and len(got[2]) == 2
 
 
 def test_network_forward_equals_plain_layers(spark):
@@ -124,3 +203,7 @@ def test_perceptron_learns(spark):
     model = mlp.train_perceptron(df, ["a", "b", "c"], hidden=(8,), steps=40)
     rows = mlp.perceptron_score(df, model, ["y"]).collect()
     assert np.mean([(r.probability > 0.5) == r.y for r in rows]) > 0.93
+    # one pass with another model beside it gives the same probabilities
+    keep = df.withColumn("rid", F.monotonically_increasing_id())
+    ours = {r.rid: r.p for r in score_rows(keep, {"p": mlp.PerceptronScorer(model), "q": mlp.PerceptronScorer(model)}, list("abc"), ["rid"]).collect()}
+    assert all(ours[r.rid] == pytest.approx(r.probability, abs=1e-12) for r in mlp.perceptron_score(keep, model, ["rid"]).collect())
