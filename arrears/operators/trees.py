@@ -54,9 +54,14 @@ def train(df: DataFrame, features: Sequence[str], label: str = "y", kind: str =
     va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     data = va.transform(df).select("_features", F.col(label).cast("double").alias("_label"),
                                    *([F.col(weight_col).cast("double").alias("_w")] if weight_col else []))
+    return fit(data, kind, "_w" if weight_col else None, seed, **params)
+
+
+def fit(data: DataFrame, kind: str, weight_col: str | None = None, seed: int = 42, **params):
+    """An MLlib ensemble on assembled rows: ``_features``, ``_label`` and a weight column."""
     common = dict(featuresCol="_features", labelCol="_label", seed=seed)
     if weight_col:
-        common["weightCol"] = "_w"
+        common["weightCol"] = weight_col
     if kind == "gbt":
         est = GBTClassifier(maxIter=params.get("n_trees", 20), maxDepth=params.get("max_depth", 4),
                             stepSize=params.get("step", 0.1), **common)

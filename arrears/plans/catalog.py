@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arrears.plans import (catalog_batch, catalog_compare, catalog_eval, catalog_features, catalog_fit,  # noqa: F401
-                           catalog_models, catalog_resample)
+                           catalog_models, catalog_resample, catalog_training)
 from arrears.plans.base import featurized, scorecards
 
 

@@ -49,13 +49,29 @@ def test_knn_of_unequal_groups(spark, monkeypatch):
             assert list(mine.nn_id) == [j for _, j in want]
 
 
-def test_knn_lsh_recall(spark):
+def test_knn_lists_recall_and_work(spark):
+    """Recall on all rows, pairs compared as counted, a hot vector, and a share of pairs that
+    falls as the table grows."""
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(20, 6)) * 5
-    rows = [(i, (centres[i % 20] + rng.normal(size=6) * 0.2).tolist()) for i in range(600)]
-    df = spark.createDataFrame(rows, "id long, vec array<double>")
-    r = knn.recall(knn.knn(df, 5), knn.knn_lsh(df, 5)).first()
-    assert r.n_neighbours == 3000 and r.recall >= 0.9
+    centres = rng.normal(size=(60, 6)) * 5
+    shares = []
+    for n in (600, 2400):
+        rows = [(f"r{i}", (centres[i % 60] + rng.normal(size=6) * 0.3).tolist() if i % 5 else centres[0].tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows, "id string, vec array<double>")
+        lists = knn.fit_lists(df, 5)
+        found = cut_lineage(knn.knn_lists(df, 5, lists=lists))
+        r = knn.recall(knn.knn(df, 5), found).first()
+        assert r.n_neighbours == 5 * n and r.recall >= 0.9
+        some = knn.knn_lists(df, 5, lists=lists, queries=df.where("id in ('r1', 'r7')"))
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, found.where("id in ('r1', 'r7')").collect()))
+        w = lists.work().first()
+        home = {r.id: r.home for r in lists.rows.collect()}
+        size = {h: sum(v == h for v in home.values()) for h in set(home.values())}
+        pairs = sum(size.get(c, 0) for r in lists.rows.collect() for c in r.near)
+        assert w.n_rows == n and w.pair_share == pytest.approx(pairs / n / n)
+        shares.append((w.n_lists, w.probes))
+    assert shares[1][0] > 1.5 * shares[0][0]
+    assert knn.knn_lists(df.limit(0), 5).count() == 0
 
 
 def test_smote_of_a_tiny_class_loses_no_copy(spark):
