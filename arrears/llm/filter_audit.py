@@ -39,6 +39,7 @@ FILTERS = "ABCDE"
 GAP = r"[\x20\x09-\x0D]+"
 #: Bits of a row number within a range; parts summed in a worker before they are sent on.
 RANGE_BITS, PARTS = 16, 4096
+TASK_ROWS = 1_000_000
 HEAVY = 1000  # a group of texts with over 1/HEAVY of all rows is broadcast
 
 
@@ -79,9 +80,10 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return known.unionByName(none)
 
 
-def postings(rows: DataFrame) -> DataFrame:
+def postings(rows: DataFrame, tasks: int) -> DataFrame:
     """part, range, n and a sorted list of row numbers for each filter, good and toxic."""
-    return rows.groupBy("part", F.shiftright("row", RANGE_BITS).alias("range")).agg(
+    ranged = rows.withColumn("range", F.shiftright("row", RANGE_BITS)).repartition(tasks, "part", "range")
+    return ranged.groupBy("part", "range").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sort_array(F.collect_list(F.when(F.col(c), F.col("row")))).alias(c) for c in (*FILTERS, "good", "toxic")])
 
@@ -203,7 +205,9 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per part, filter_order and step: kept, removed, redundant, unique_fails, good_lost,
     toxic_lost, shapley."""
     rows = common.stage(facts(docs), "filter-facts")
-    lists = common.stage(postings(labelled(repeated(rows), labels)), "postings")
+    # lists are short for the work they give: as many files as tasks, not as their bytes ask for
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_ROWS)
+    lists = common.stage(postings(labelled(repeated(rows), labels), tasks), "postings")
     return report(sizes(lists))
 
 
