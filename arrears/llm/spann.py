@@ -1,8 +1,12 @@
 """Op 4: approximate nearest neighbours by balanced posting lists.
 
-* Fit, on a bounded sample: recursive halving by two-means, each half taking the same number
-  of vectors, gives lists of even size; their centroids form a graph in memory (nearest
-  neighbours of each, and some random ones) that a best-first beam search walks.
+* Fit: recursive halving by two-means, each half taking the same number of vectors, gives
+  lists of even size, one per ``LIST_ROWS`` vectors of the table, however many it has.  While a
+  bounded sample has ``TEACH`` vectors for each list it is halved on the driver.  Beyond, it
+  gives cells; a further sample, ``TEACH`` vectors a list, is sent to its cells, and each cell
+  is halved into its lists by a task of its own.  The driver holds the centroids, one vector of
+  ``LIST_ROWS`` (at most ``CENTROID_BYTES``; lists are longer beyond).  They form a graph in
+  memory (nearest neighbours of each, and some random ones) that a best-first beam search walks.
 * Index, over every row: a vector enters its nearest list and, when it lies near a boundary,
   up to ``COPIES`` - 1 others whose centroids are at most ``NEAR`` times as far.
 * Search: a query probes the lists whose centroids are at most ``ratio`` times as far as its
@@ -13,7 +17,10 @@
 
 Largest inner product is nearest distance after one more coordinate, sqrt(max |x|^2 - |x|^2),
 is added to the vectors (0 to queries, which are scaled to the longest vector's length);
-scores are inner products of the original vectors in double precision.
+scores are inner products of the original vectors in double precision.  For all else vectors
+are scaled by a power of two that brings the greatest component of the table (of a query:
+its own) near 1, so any finite double may occur; scores that overflow are infinite, those
+that are no number come last.
 
 A list may hold any share of all vectors and be probed by any share of all queries (copies
 of one vector), so the work is dealt in units of a block of a list's vectors and a block of
@@ -38,6 +45,7 @@ from pyspark.sql import functions as F
 from arrears.llm import common
 
 SAMPLE, SAMPLE_BYTES, LIST_ROWS = 20_000, 64 << 20, 512
+TEACH, CELL_LISTS, CENTROID_BYTES, SEEN_BYTES = 16, 512, 256 << 20, 32 << 20
 DEGREE, LINKS, COPIES, NEAR = 16, 4, 4, 1.15
 TRIALS, RECALL = 256, 0.985
 TOUCH = 1e-3  # of the longest vector's length: a distance too small to be multiplied
@@ -70,6 +78,17 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
 
 
+def scaled(x: np.ndarray, power: int | np.ndarray) -> np.ndarray:
+    """``x`` over two to the ``power``; what underflows is nothing beside the rest."""
+    with np.errstate(under="ignore"):
+        return np.ldexp(x, -power)
+
+
+def exponents(x: np.ndarray) -> np.ndarray:
+    """Of each row's greatest component."""
+    return np.frexp(np.abs(x).max(1, keepdims=True))[1]
+
+
 def halves(x: np.ndarray, rows: np.ndarray, leaves: int, rng) -> list[np.ndarray]:
     """Recursive two-means whose parts are of equal size."""
     if leaves <= 1 or len(rows) < 2:
@@ -102,12 +121,19 @@ class Lists:
         return np.column_stack([x, extra])
 
     def asked(self, q: np.ndarray) -> np.ndarray:
+        q = scaled(q, exponents(q))
         q = q * (self.longest / np.sqrt((q * q).sum(1, keepdims=True)))
         return np.column_stack([q, np.zeros(len(q))])
 
     def beam(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, distances) of about the ``width`` nearest centroids of each row, nearest
-        first: best-first search on the graph, all rows in step."""
+        first; as many rows at a time as their marks of visited lists have room."""
+        step = max(16, SEEN_BYTES // len(self.centroids))
+        parts = [self._beam(x[at:at + step], width) for at in range(0, max(1, len(x)), step)]
+        return tuple(np.concatenate(p) for p in zip(*parts))
+
+    def _beam(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best-first search on the graph, all rows in step."""
         n, c = len(self.centroids), self.centroids
         width = min(width, n)
         square = (c * c).sum(1)
@@ -169,27 +195,67 @@ class Lists:
         return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *lists])
 
 
-def fit(x: np.ndarray, total: int, longest: float, k: int, seed: int = 4) -> Lists:
-    """Lists, graph and ratio from a sample of the vectors."""
+def wanted_lists(total: int, width: int) -> int:
+    return max(1, min(total // LIST_ROWS, CENTROID_BYTES // (8 * (width + 1))))
+
+
+def centroids_of(points: DataFrame, x: np.ndarray, total: int, power: int, longest: float, seed: int = 4) -> np.ndarray:
+    """Centroids of a table with more lists than its sample ``x`` can teach: the sample gives
+    cells, each cell's lists come from its share of a larger sample, in a task of its own.
+    Copies of a vector count once there, so no cell's share is crowded by them."""
+    rng = np.random.default_rng(seed)
+    lists = Lists(np.zeros((1, x.shape[1] + 1)), np.zeros((1, 1), int), longest)
+    placed, leaves = lists.placed(x), wanted_lists(total, x.shape[1])
+    cells = np.array([placed[p].mean(0) for p in halves(placed, np.arange(len(x)), min(max(1, -(-leaves // CELL_LISTS)), len(x) // TEACH), rng)])
+    square = (cells * cells).sum(1)
+    share = min(1.0, TEACH * leaves / total)
+    drawn = points.where(F.pmod(F.xxhash64("vec_id", F.lit("lists")), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("vec").dropDuplicates()
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = lists.placed(scaled(matrix(b.column("vec")), power)) if b.num_rows else np.zeros((0, cells.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array((square - 2 * own @ cells.T).argmin(1) if len(own) else np.zeros(0, int)), b.column("vec")],
+                                             names=["cell", "vec"])
+
+    per = min(TEACH, total / leaves)
+
+    def of_cell(t: pa.Table) -> pa.Table:
+        own = lists.placed(scaled(matrix(t["vec"]), power))
+        parts = halves(own, np.arange(len(own)), max(1, round(len(own) / per)), np.random.default_rng(seed))
+        return pa.table({"vec": pa.array([own[p].mean(0).astype("<f8").tobytes() for p in parts], pa.binary())})
+
+    found = common.stage(drawn.mapInArrow(to_cells, "cell long, vec binary").groupBy("cell").applyInArrow(of_cell, "vec binary"), "centroids")
+    rows = sorted(r["vec"] for r in found.collect())  # a row per list, at most CENTROID_BYTES
+    common.drop(found)
+    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1) if rows else cells
+
+
+def fit(x: np.ndarray, total: int, longest: float, k: int, seed: int = 4, centroids: np.ndarray | None = None) -> Lists:
+    """Lists, graph and ratio from a sample of the vectors, or around given centroids."""
     rng = np.random.default_rng(seed)
     lists = Lists(np.zeros((1, x.shape[1] + 1)), np.zeros((1, 1), int), longest)
     placed = lists.placed(x)
-    leaves = int(np.clip(total // LIST_ROWS, 1, max(1, len(x) // 16)))
-    parts = halves(placed, np.arange(len(x)), leaves, rng)
-    lists.centroids = c = np.array([placed[p].mean(0) for p in parts])
+    if centroids is None:
+        leaves = int(np.clip(total // LIST_ROWS, 1, max(1, len(x) // TEACH)))
+        centroids = np.array([placed[p].mean(0) for p in halves(placed, np.arange(len(x)), leaves, rng)])
+    lists.centroids = c = centroids
     n = len(c)
-    apart = (c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T
-    np.fill_diagonal(apart, np.inf)
-    near = np.argsort(apart, 1, kind="stable")[:, :min(DEGREE, max(1, n - 1))]
+    degree, square, links = min(DEGREE, max(1, n - 1)), (c * c).sum(1), []
+    for at in range(0, n, 1024):
+        apart = square[at:at + 1024, None] + square - 2 * c[at:at + 1024] @ c.T
+        apart[np.arange(len(apart)), np.arange(at, at + len(apart))] = np.inf
+        links.append(np.argsort(apart, 1, kind="stable")[:, :degree])
+    near = np.concatenate(links)
     links = np.sort(np.column_stack([near, rng.integers(0, n, (n, LINKS)), (np.arange(n) + 1) % n]), 1)
     again = np.column_stack([np.zeros(n, bool), links[:, 1:] == links[:, :-1]])
     lists.graph = np.where(again, np.arange(n)[:, None], links)  # a repeated link leads nowhere new
     # what ratio reaches the lists of true neighbours
-    trial = rng.choice(len(x), min(TRIALS, len(x)), replace=False)
+    able = np.flatnonzero((x * x).sum(1) > 0)  # those that scaling has left a direction
+    trial = rng.choice(able, min(TRIALS, len(able)), replace=False)
     scores = x[trial] @ x.T
     scores[np.arange(len(trial)), trial] = -np.inf
     k = min(k, len(x) - 1)
-    if k < 1 or n < 2:
+    if k < 1 or n < 2 or not len(trial):
         return lists
     true = np.argpartition(-scores, k - 1, 1)[:, :k]
     asked = lists.asked(x[trial])
@@ -211,18 +277,22 @@ def fit(x: np.ndarray, total: int, longest: float, k: int, seed: int = 4) -> Lis
 
 def best_of(q: np.ndarray, v: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query (ids, scores) of its k best, without itself."""
-    slack = 1e-9 * (1 + np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max(initial=0)))
-    for r in range(len(q)):
-        if r % STRIPE == 0:
-            rough = q[r:r + STRIPE] @ v.T
-        on = np.flatnonzero(ids != own[r])
-        if len(on) > k:
-            s = rough[r % STRIPE, on]
-            on = on[s >= np.partition(s, len(s) - k)[len(s) - k] - slack[r]]
-        # the same vectors get the same score wherever they lie
-        score = (v[on] * q[r]).sum(1)
-        order = np.lexsort((ids[on], -score))[:k]
-        yield ids[on][order], score[order]
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max(initial=0))
+        slack = 1e-9 * norms
+        # where products leave the doubles' range a rough score rules nothing out
+        rough_serves = (norms > 1e-280) & (norms < 1e290)
+        for r in range(len(q)):
+            if r % STRIPE == 0:
+                rough = q[r:r + STRIPE] @ v.T
+            on = np.flatnonzero(ids != own[r])
+            if len(on) > k and rough_serves[r]:
+                s = rough[r % STRIPE, on]
+                on = on[s >= np.partition(s, len(s) - k)[len(s) - k] - slack[r]]
+            # the same vectors get the same score wherever they lie
+            score = (v[on] * q[r]).sum(1)
+            order = np.lexsort((ids[on], -score))[:k]
+            yield ids[on][order], score[order]
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -238,10 +308,13 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     common.small_batches(spark, 2048)
     total = points.count()
 
+    largest = rows.where(F.size("x") == d).agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0]
+    power = int(np.frexp(largest)[1])
+
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column("vec"))
+                x = scaled(matrix(b.column("vec")), power)
                 yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((x * x).sum(1).max()))])], names=["norm"])
 
     longest = points.mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
@@ -250,11 +323,13 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     sample = drawn.toPandas().sort_values("vec_id")
     if not len(sample):
         sample = points.limit(most).toPandas()
-    lists = fit(np.frombuffer(b"".join(sample["vec"]), "<f8").reshape(len(sample), d), total, longest, k)
+    x = scaled(np.frombuffer(b"".join(sample["vec"]), "<f8").reshape(len(sample), d), power)
+    many = wanted_lists(total, d) > max(1, len(x) // TEACH)
+    lists = fit(x, total, longest, k, centroids=centroids_of(points, x, total, power, longest) if many and len(x) >= 2 * TEACH else None)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, home = lists.homes(matrix(b.column("vec"))) if b.num_rows else (np.zeros(0, int),) * 2
+            row, home = lists.homes(scaled(matrix(b.column("vec")), power)) if b.num_rows else (np.zeros(0, int),) * 2
             yield pa.RecordBatch.from_arrays(
                 [pa.array(home, pa.int32()), *(b.column(c).take(pa.array(row)) for c in ("vec_id", "vec"))],
                 names=["list", "vec_id", "vec"])

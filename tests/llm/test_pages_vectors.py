@@ -70,6 +70,50 @@ def test_op4_ties_and_odd_rows(spark, monkeypatch, lists):
     assert spann.search(df.limit(0)).count() == 0 and spann.search(df.where("vec_id = 1000")).count() == 0
 
 
+def test_op4_any_finite_doubles(spark, monkeypatch):
+    """Components of 1e200 and 1e-200 beside ordinary ones; scores that overflow."""
+    monkeypatch.setattr(spann, "LIST_ROWS", 16)
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** (0, 200, -200, 3)[i % 4 if i % 20 == 1 else 0 if i % 3 else 2]).tolist()) for i in range(400)]
+    rows += [(500, [1e200] * 6), (501, [-1e200] * 6), (520, [1e-200] * 6), (540, [5e-324] + [0.0] * 5), (541, [1.7e308] * 6)]
+    got = results(spann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    x = {i: np.array(v) for i, v in rows}
+    hit = total = 0
+    with np.errstate(all="ignore"):
+        for q in (i for i in x if i % 20 == 0):
+            want = sorted(((float((x[i] * x[q]).sum()), i) for i in x if i != q), key=lambda r: (-r[0], r[1]))[:20]
+            assert len(got[q]) == 20 and all(s == float((x[i] * x[q]).sum()) for i, s in got[q])
+            least = want[-1][0]
+            hit += sum(s >= least for _, s in got[q])
+            total += 20
+    assert hit >= 0.9 * total
+
+
+def test_op4_lists_grow_with_the_table(spark, monkeypatch):
+    """A sample too small for the lists: they are fitted in cells, about as long at any size,
+    and the search still finds its neighbours."""
+    monkeypatch.setattr(spann, "LIST_ROWS", 16)
+    monkeypatch.setattr(spann, "SAMPLE", 400)
+    monkeypatch.setattr(spann, "CELL_LISTS", 16)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 8))
+    for n in (1600, 6400):
+        v = centres[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 8))
+        v[::3] = v[0]  # copies teach the lists nothing
+        points = spark.createDataFrame([(i, r.astype("<f8").tobytes()) for i, r in enumerate(v)], "vec_id long, vec binary")
+        longest = float(np.sqrt((v * v).sum(1).max()))
+        c = spann.centroids_of(points, v[rng.choice(n, 400, replace=False)], n, 0, longest)
+        assert 0.4 * n / 16 <= len(c) <= 1.1 * n / 16
+        assert spann.wanted_lists(n, 8) == n // 16
+    got = results(spann.search(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")))
+    hit = 0
+    for q in range(0, n, 20):
+        s = (v * v[q]).sum(1)
+        s[q] = -np.inf
+        hit += sum(x >= np.sort(s)[-20] - 1e-9 for _, x in got[q])
+    assert hit >= 0.9 * 20 * len(range(0, n, 20))
+
+
 @pytest.mark.parametrize("n", [30, 900])
 def test_op4_beam_finds_each_list_once(n):
     rng = np.random.default_rng(n)
