@@ -204,20 +204,22 @@ def number_within(pieces: DataFrame, total: int) -> DataFrame:
     """``pieces`` with ``number``, from 0 within each length.
 
     A length's pieces are dealt over salts of about ``unit`` rows, so no window holds more;
-    the salts' row counts, summed in front, make the numbers run on."""
+    the salts' row counts, summed in front, make the numbers run on.  ``row`` was fixed when the
+    pieces were staged, so rows alike in all else (null or repeated ids) keep their numbers
+    when a lost task is run again."""
     unit = min(max(256, total // 2000), 1_000_000)
     sizes = pieces.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / unit).cast("long").alias("salts"))  # a row per length
     salted = pieces.join(F.broadcast(sizes), "length").withColumn(
         "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")) - 1
     return salted.withColumn("inside", inside).join(before.drop("n"), ["length", "salt"]).withColumn(
         "number", F.col("before") + F.col("inside")).drop("before", "inside", "salt")
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` (a staged table) with sequence_id and offset."""
+    """``pieces`` (a staged table with a row number) with sequence_id and offset."""
     histogram = pieces.groupBy("length").count().orderBy("length").collect()  # at most ``capacity`` rows
     counts = np.array([r["count"] for r in histogram], np.int64)
     plan = placements(plan_runs(np.array([r["length"] for r in histogram], np.int64), counts, capacity))
@@ -240,5 +242,6 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    pieces = common.stage(pieces_of(common.documents(docs), tokenizer, capacity, end_id), "pieces")
+    pieces = pieces_of(common.documents(docs), tokenizer, capacity, end_id)
+    pieces = common.stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     return place(pieces, capacity)
