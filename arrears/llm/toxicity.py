@@ -113,7 +113,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, modulus: in
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = common.documents(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # an id that several rows share gives one of its texts
+    rows = common.documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     return common.stage(rows, "toxicity-sample"), sizes
 
 

@@ -124,6 +124,63 @@ def test_op5_held_out(spark):
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.9
 
 
+def test_op5_against_brute_force(spark):
+    """Counts, selection, ratios and scores by Python sets; the fit by its optimum: at the
+    weights that the penalised loss prefers, its slope is small in every direction."""
+    import math
+    docs, labels = common.table(spark, SMALL, "documents"), common.table(spark, SMALL, "labels")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    marks = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts}
+    model = toxicity.train(docs, labels)
+
+    def grams(text):
+        t = text.lower().replace("\0", " ")
+        return {t[i:i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+    held = {i: grams(texts[i]) for i in marks}
+    counts = defaultdict(lambda: [0, 0])
+    for i, found in held.items():
+        for g in found:
+            counts[g][marks[i]] += 1
+    n1 = sum(marks.values())
+    n0 = len(marks) - n1
+    chi = {g: (q * n1 - p * n0) ** 2 for g, (q, p) in counts.items() if p + q >= toxicity.LEAST}
+    kept = {}
+    for g in chi:  # the operator's own hash names its features
+        h = next(toxicity.ngrams([g], (len(g),)))[0][0]
+        kept[int(h)] = g
+    known = [kept[int(h)] for h in model.hashes]
+    assert len(known) == min(toxicity.FEATURES, len(chi))
+    p = np.array([counts[g][1] for g in known]) + toxicity.ALPHA
+    q = np.array([counts[g][0] for g in known]) + toxicity.ALPHA
+    ratios = np.log(p / p.sum() / (q / q.sum()))
+    place = {g: k for k, g in enumerate(known)}
+    weight = model.weights / np.where(ratios == 0, 1, ratios)
+    x = np.zeros((len(marks), len(known)))
+    for r, i in enumerate(held):
+        x[r, [place[g] for g in held[i] if g in place]] = 1
+    x *= ratios
+    y = np.array([marks[i] for i in held], float)
+    share = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+
+    def slope(w):
+        bias = min(np.linspace(-8, 8, 321), key=lambda c: abs((share * (1 / (1 + np.exp(-(x @ w + c))) - y)).sum()))
+        return np.linalg.norm(x.T @ (share * (1 / (1 + np.exp(-(x @ w + bias))) - y)) + toxicity.PENALTY * w)
+
+    assert slope(weight) < 0.05 * slope(np.zeros(len(known)))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text in texts.items():
+        z = model.intercept + sum(model.weights[place[g]] for g in grams(text) if g in place)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-9)
+
+
+def test_op5_an_id_of_many_rows_teaches_once(spark):
+    rows = [(i, f"mild text number {i} about trees", "en") for i in range(60)] + [(61, f"vile words {i}", "en") for i in range(500)]
+    labels = spark.createDataFrame([(i, 0) for i in range(60)] + [(61, 1), (61, 1)], "doc_id long, toxic int")
+    sample, sizes = toxicity.training_sample(frame(spark, rows), labels, 2500, 5, 0)
+    assert sample.where("toxic = 1").count() == sizes.get(1, 0) == 1
+
+
 def test_op5_learns_and_handles_odd_rows(spark):
     rng = random.Random(5)
     plain = ["the", "river", "garden", "stone", "walks", "idle", "moss"]
