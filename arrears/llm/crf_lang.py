@@ -6,8 +6,8 @@ the largest expected share of its words.  Features of a word: hashed character n
 word-edge marks (those at the edges are its affixes), and whether it is in a language's
 lexicon.  Transitions between the languages of neighbouring words are learned too.
 
-Training uses a bounded sample (about ``SAMPLE`` documents of each language, by a hash of
-the id).  Its passages are spliced into code-switched sequences, so that transitions have
+Training uses a bounded sample (about ``SAMPLE`` documents of each of at most ``CLASSES``
+languages, by a hash, and at most ``SAMPLE_CHARS`` characters of each).  Its passages are spliced into code-switched sequences, so that transitions have
 something to learn from.
 
 Inference is exact and vectorised: words fall into blocks, a block's product of transition
@@ -34,6 +34,8 @@ from arrears.llm import common
 from arrears.llm.toxicity import MULTIPLIER, mixed
 
 SAMPLE, PASSAGE, STEPS = 250, 40, 30
+#: Most languages, characters of a sampled text, and least share of words in a kept document's language.
+CLASSES, SAMPLE_CHARS, LEAST_SHARE = 128, 50_000, 0.4
 ORDERS, BITS = (1, 2, 3, 4), 17
 LEXICON, LEAST = 3000, 3
 BLOCK, BATCH_WORDS = 32, 400_000
@@ -296,18 +298,25 @@ def fit(texts: list[str], of: np.ndarray, languages: list[str], seed: int = 10,
     return model
 
 
-def train(docs: DataFrame, modulus: int = 4, held: int = 2, sample: int = SAMPLE) -> Crf:
+def train(docs: DataFrame, modulus: int = 4, held: int = 2, sample: int = SAMPLE, classes: int = CLASSES) -> Crf:
+    """The field of the ``classes`` commonest values of ``lang``, from about ``sample``
+    documents of each: a draw by a hash over the whole table, copies of a text once, of each
+    text at most ``SAMPLE_CHARS`` characters from its middle.  So neither odd tags nor long texts
+    nor an id that many rows share make what the driver holds grow."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold("doc_id", modulus) != held))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(classes).collect()}
     if not sizes:
         return Crf([])
     languages = sorted(sizes)
-    # a hash of the id takes each row with the probability that leaves about ``sample`` of its language
+    # a hash of the row takes each with the probability that leaves about ``sample`` of its language
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, sample / n)))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(drawn < share[F.col("lang")]).select("text", "lang").toPandas()
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    middle = F.expr(f"substr(text, greatest(1, (length(text) - {SAMPLE_CHARS}) div 2), {SAMPLE_CHARS})")
+    texts = known.where(F.col("lang").isin(languages)).select("lang", middle.alias("text"), (drawn < share[F.col("lang")]).alias("drawn"))
+    most = 4 * sample * len(languages)
+    rows = texts.where("drawn").select("text", "lang").dropDuplicates().limit(most).toPandas()
     if rows.empty:
-        rows = known.select("text", "lang").limit(sample).toPandas()
+        rows = texts.select("text", "lang").limit(sample).toPandas()
     place = {k: i for i, k in enumerate(languages)}
     rows = rows.sort_values(["lang", "text"])
     return fit(rows["text"].tolist(), rows["lang"].map(place).to_numpy(), languages)
@@ -328,14 +337,16 @@ def identify(docs: DataFrame, model: Crf, modulus: int = 4, held: int = 2) -> Da
         "doc_id", (common.fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, model: Crf) -> DataFrame:
-    """``docs``, all columns, without those in which no language is found."""
+def with_language(docs: DataFrame, model: Crf, languages: list[str] | None = None, least: float = LEAST_SHARE) -> DataFrame:
+    """``docs``, all columns, without those of which the field does not expect at least the
+    share ``least`` of the words to be of one of ``languages`` (by default any it learned)."""
     common.small_batches(docs.sparkSession)
+    wanted = set(model.languages if languages is None else languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for b in batches:
-            languages, _ = labeller.label([t or "" for t in b.column("text").to_pylist()])
-            yield b.filter(pa.array([k != UNKNOWN for k in languages], pa.bool_()))
+            found, scores = labeller.label([t or "" for t in b.column("text").to_pylist()])
+            yield b.filter(pa.array([k in wanted and s >= least for k, s in zip(found, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
