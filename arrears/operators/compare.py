@@ -102,38 +102,71 @@ def _np_mix32(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(16)) ^ x
 
 
-def _bucket_totals(n_boot: int, threshold: float, chunk: int = 64):
-    """All replicates' totals of one bucket: positives, negatives, their rank sum inside the
-    bucket, and those at or above the threshold, an array of ``n_boot`` each."""
+def _replicates(h: np.ndarray, y: np.ndarray, n_boot: int, chunk: int = 64):
+    """(rows' positive weights, negative weights) of all replicates, ``chunk`` at a time."""
     cdf, term = [math.exp(-1.0)], math.exp(-1.0)
     for i in range(1, 14):  # beyond 13 the uniform has no resolution left
         term /= i
         cdf.append(cdf[-1] + term)
+    for at in range(1, n_boot + 1, chunk):
+        rep = _np_mix32(np.arange(at, min(at + chunk, n_boot + 1), dtype=np.uint64))
+        u = _np_mix32(h[:, None] ^ rep) / 4294967296.0
+        w = np.searchsorted(cdf, u, "right")
+        yield w * (y == 1)[:, None], w * (y == 0)[:, None]
 
+
+def _ordered_rows(t: pa.Table):
+    """Scores ascending, labels, hashes, and where each distinct score begins."""
+    score, y, h = (t[c].to_numpy() for c in ("score", "y", "_h"))
+    order = np.argsort(score, kind="stable")
+    score, y, h = score[order], y[order], h[order].astype(np.uint64)
+    return score, y, h, np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+
+
+#: Totals of a bucket: positives, negatives, rank sum inside, and the positives and negatives
+#: at or above the threshold and the model's tuned one.
+TOTALS = ("P", "N", "U", "tp", "fp", "opt_tp", "opt_fp")
+
+
+def _bucket_totals(n_boot: int, threshold: float, tuned: dict[str, float]):
+    """All replicates' totals of one bucket, an array of ``n_boot`` each."""
     def run(t: pa.Table) -> pa.Table:
-        score, y, h = (t[c].to_numpy() for c in ("score", "y", "_h"))
-        order = np.argsort(score, kind="stable")
-        score, y, h = score[order], y[order], h[order].astype(np.uint64)
-        first = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
-        above = score >= threshold
-        out = [[], [], [], [], []]
-        for at in range(1, n_boot + 1, chunk):
-            rep = _np_mix32(np.arange(at, min(at + chunk, n_boot + 1), dtype=np.uint64))
-            u = _np_mix32(h[:, None] ^ rep) / 4294967296.0
-            w = np.searchsorted(cdf, u, "right")
-            pos, neg = w * (y == 1)[:, None], w * (y == 0)[:, None]
+        score, y, h, first = _ordered_rows(t)
+        above, best = score >= threshold, score >= tuned.get(t["model"][0].as_py(), threshold)
+        out = [[] for _ in TOTALS]
+        for pos, neg in _replicates(h, y, n_boot):
             p, n = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
             below = n.cumsum(0) - n
-            for kept, v in zip(out, (p.sum(0), n.sum(0), (p * (below + n / 2.0)).sum(0), pos[above].sum(0), neg[above].sum(0))):
+            for kept, v in zip(out, (p.sum(0), n.sum(0), (p * (below + n / 2.0)).sum(0), pos[above].sum(0), neg[above].sum(0),
+                                     pos[best].sum(0), neg[best].sum(0))):
                 kept.append(v.astype(float))
         return pa.table({"model": t["model"][:1], "_bkt": t["_bkt"][:1]} | {
-            c: pa.array([np.concatenate(v).tolist()], pa.list_(pa.float64())) for c, v in zip(("P", "N", "U", "tp", "fp"), out)})
+            c: pa.array([np.concatenate(v).tolist()], pa.list_(pa.float64())) for c, v in zip(TOTALS, out)})
+    return run
+
+
+def _bucket_precision(n_boot: int):
+    """A bucket's part of all replicates' average precision (times the positives), from its
+    rows and what lies above it in each replicate."""
+    def run(rows: pa.Table, offsets: pa.Table) -> pa.Table:
+        if not rows.num_rows or not offsets.num_rows:
+            return pa.table({"model": rows["model"][:0], "part": pa.array([], pa.list_(pa.float64()))})
+        _, y, h, first = _ordered_rows(rows)
+        tps, fps = (np.array(offsets[c][0].as_py()) for c in ("p_above", "n_above"))
+        out, at = [], 0
+        for pos, neg in _replicates(h, y, n_boot):
+            p, n = np.add.reduceat(pos, first)[::-1], np.add.reduceat(neg, first)[::-1]
+            tp, fp = tps[at:at + p.shape[1]] + p.cumsum(0), fps[at:at + p.shape[1]] + n.cumsum(0)
+            out.append((p * (tp / np.maximum(tp + fp, 1))).sum(0))
+            at += p.shape[1]
+        return pa.table({"model": rows["model"][:1], "part": pa.array([np.concatenate(out).tolist()], pa.list_(pa.float64()))})
     return run
 
 
 def bootstrap(wide: DataFrame, row_key: Column, models: Sequence[str] = ("a", "b"), n_boot: int = K.BOOTSTRAP_N,
-              threshold: float = 0.5, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of AUC, F1, precision, recall per model.
+              threshold: float = 0.5, seed: int = 42, tuned: dict[str, float] | None = None) -> DataFrame:
+    """Poisson bootstrap of AUC, average precision, and F1, precision and recall at the
+    threshold and (``opt_``) at each model's ``tuned`` one.
 
     ``wide`` holds one row per scored invoice (``y`` and ``score_<model>``).
     Each invoice gets ONE weight per replicate (shared by every model, as a
@@ -142,9 +175,12 @@ def bootstrap(wide: DataFrame, row_key: Column, models: Sequence[str] = ("a", "b
 
     No row is copied per replicate.  Scores are cut into buckets once; a task
     computes all replicates' weights for its bucket in blocks and returns one
-    row of totals per bucket, and replicates are put together from those.
+    row of totals per bucket, and replicates are put together from those.  For
+    average precision the buckets' totals are summed from the top, and a second
+    pass gives each bucket's part from its rows and what lies above it.
     Each boundary value is a bucket of its own, so a score that many rows
-    share is one, and its rows - whose totals just add up - are salted.
+    share is one, and its rows - whose totals just add up, and whose part of the
+    average precision follows from them - are salted.
     Replicates with one class are skipped.  Returns per model: mean, std
     (ddof 0), 2.5 / 97.5 percentiles.
     """
@@ -158,32 +194,50 @@ def bootstrap(wide: DataFrame, row_key: Column, models: Sequence[str] = ("a", "b
             splits += [b, math.nextafter(b, math.inf)]  # odd buckets hold one score
     cut = Bucketizer(splits=[*splits, math.inf], inputCol="score", outputCol="_bkt").transform(rows)
     salts = max(1, -(-n // 50_000))
-    salted = cut.withColumn("_salt", F.when(F.col("_bkt") % 2 == 1, F.col("_h") % salts).otherwise(0))
-    totals = ("P", "N", "U", "tp", "fp")
+    tie = F.col("_bkt") % 2 == 1
+    salted = cut.withColumn("_salt", F.when(tie, F.col("_h") % salts).otherwise(0))
     parts = salted.groupBy("model", "_bkt", "_salt").applyInArrow(
-        _bucket_totals(n_boot, float(threshold)),
-        "model string, _bkt double, " + ", ".join(f"{c} array<double>" for c in totals))
+        _bucket_totals(n_boot, float(threshold), dict(tuned or {})),
+        "model string, _bkt double, " + ", ".join(f"{c} array<double>" for c in TOTALS))
     # zero-weight replicates drop out below; a salted bucket's rank sum is that of one tie
-    each = parts.select("model", "_bkt", F.posexplode(F.arrays_zip(*totals)).alias("rep", "_t")).groupBy(
-        "model", "rep", "_bkt").agg(*[F.sum(F.col("_t")[c]).alias(c) for c in totals])
-    rank = F.when(F.col("_bkt") % 2 == 1, F.col("P") * F.col("N") / 2.0).otherwise(F.col("U"))
-    before = F.sum("N").over(Window.partitionBy("model", "rep").orderBy("_bkt")) - F.col("N")
+    each = parts.select("model", "_bkt", F.posexplode(F.arrays_zip(*TOTALS)).alias("rep", "_t")).groupBy(
+        "model", "rep", "_bkt").agg(*[F.sum(F.col("_t")[c]).alias(c) for c in TOTALS])
+    rank = F.when(tie, F.col("P") * F.col("N") / 2.0).otherwise(F.col("U"))
+    up = Window.partitionBy("model", "rep").orderBy("_bkt")
+    whole = Window.partitionBy("model", "rep")
+    placed = cut_lineage(each.select("*", (F.sum("N").over(up) - F.col("N")).alias("_before"),
+                                     *[(F.sum(c).over(whole) - F.sum(c).over(up)).alias(f"{c.lower()}_above") for c in ("P", "N")]))
+    tp_here = F.col("p_above") + F.col("P")
+    tied = F.when(tie & (F.col("P") > 0), F.col("P") * tp_here / (tp_here + F.col("n_above") + F.col("N"))).otherwise(0.0)
     grp = ["model", "rep"]
-    per = each.withColumn("_u", rank + F.col("P") * before).groupBy(*grp).agg(
-        *[F.sum(c).alias(c) for c in ("P", "N", "_u", "tp", "fp")])
-    per = per.filter((F.col("P") > 0) & (F.col("N") > 0))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("P") - F.col("tp")
+    per = placed.withColumn("_u", rank + F.col("P") * F.col("_before")).withColumn("_ap", tied).groupBy(*grp).agg(
+        *[F.sum(c).alias(c) for c in ("P", "N", "_u", "_ap", "tp", "fp", "opt_tp", "opt_fp")])
+    offsets = placed.where(~tie).groupBy("model", "_bkt").agg(F.array_sort(F.collect_list(F.struct("rep", "p_above", "n_above"))).alias("o")).select(
+        "model", "_bkt", F.col("o.p_above").alias("p_above"), F.col("o.n_above").alias("n_above"))
+    inner = cut.where(~tie).select("model", "_bkt", "score", "y", "_h").groupBy("model", "_bkt").cogroup(
+        offsets.groupBy("model", "_bkt")).applyInArrow(_bucket_precision(n_boot), "model string, part array<double>")
+    inside = inner.select("model", F.posexplode("part").alias("rep", "v")).groupBy(*grp).agg(F.sum("v").alias("_inside"))
+    per = per.join(inside, grp, "left").filter((F.col("P") > 0) & (F.col("N") > 0))
+
+    def rates(tp: Column, fp: Column, prefix: str) -> list[Column]:
+        fn = F.col("P") - tp
+        return [F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias(f"{prefix}f1"),
+                F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias(f"{prefix}precision"),
+                F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0).alias(f"{prefix}recall")]
+
     per = per.select(*grp, (F.col("_u") / (F.col("P") * F.col("N"))).alias("auc"),
-                     F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"),
-                     F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias("precision"),
-                     F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0).alias("recall"))
+                     ((F.col("_ap") + F.coalesce("_inside", F.lit(0.0))) / F.col("P")).alias("ap"),
+                     *rates(F.col("tp"), F.col("fp"), ""), *rates(F.col("opt_tp"), F.col("opt_fp"), "opt_"))
     aggs = [F.count(F.lit(1)).alias("n_replicates")]
-    for m in ("auc", "f1", "precision", "recall"):
+    for m in BOOTSTRAPPED:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"),
                  F.percentile(m, 0.025).alias(f"{m}_ci_lower"), F.percentile(m, 0.975).alias(f"{m}_ci_upper")]
     return per.groupBy("model").agg(*aggs)
 
 
+BOOTSTRAPPED = ("auc", "ap", "f1", "precision", "recall", "opt_f1", "opt_precision", "opt_recall")
+
+
 # ---------------------------------------------------------------- A39-A41 stability
 def stability_summary(results: DataFrame, metrics: Sequence[str], models=("a", "b")) -> DataFrame:
     """Per (metric, model) mean, std (ddof 1), t-interval, min, max over

@@ -135,66 +135,78 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     return [lerp(stats[k0], stats[k1], t) for k0, k1, t in pos]
 
 
+#: Rows of a group's bracket that a task may rank.
+MAX_RANKED = 100_000
+
+
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
                       accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Exact per-group quantiles: ``keys..., q0, q1, ...`` (numpy linear).
 
-    Bracket per group from ``percentile_approx`` (a partial aggregate), one
-    join + count for the rows below, then a ``partitionBy(keys)`` window on
-    bracket rows only.  Groups whose bracket misses the rank fall back to the
-    full group (checked, never silently wrong).
+    Every rank that is asked for (two a quantile) has a bracket of values that holds it.  All
+    brackets are narrowed together, in rounds: one aggregate over the rows inside them sketches
+    their inner quantiles, another counts the pieces between, and the piece that holds the rank
+    becomes the bracket.  A value at which a bracket is cut is a piece of its own, so many rows
+    that share a value end the search.  A round divides a bracket by about ``PIECES``; it ends as
+    soon as a bracket holds ``MAX_RANKED`` rows or fewer, or one value.  Only those rows are
+    ranked, so no task holds a group, however large.
     """
     keys = list(keys)
-    x = cut_lineage(df.select(*keys, F.col(col).cast("double").alias("_x")).filter(
+    gk = [f"_g{i}" for i in range(len(keys))]
+    x = cut_lineage(df.select(*[F.col(k).alias(g) for k, g in zip(keys, gk)], F.col(col).cast("double").alias("_x")).filter(
         F.col("_x").isNotNull() & ~F.isnan("_x")))
-    eps = 2.0 / accuracy
-    lo_probs = [max(0.0, p - eps) for p in probs]
-    hi_probs = [min(1.0, p + eps) for p in probs]
-    bounds = x.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", F.array(*[F.lit(p) for p in lo_probs]), accuracy).alias("_lo"),
-        F.percentile_approx("_x", F.array(*[F.lit(p) for p in hi_probs]), accuracy).alias("_hi"),
-    )
-    parts = []
-    for i, p in enumerate(probs):
-        b = bounds.select(
-            *keys, "_n",
-            F.lit(i).alias("_qi"),
-            (F.lit(p) * (F.col("_n") - 1)).alias("_pos"),
-            F.when(F.lit(lo_probs[i]) == 0.0, F.lit(-math.inf)).otherwise(F.col("_lo")[i]).alias("_lv"),
-            F.when(F.lit(hi_probs[i]) == 1.0, F.lit(math.inf)).otherwise(F.col("_hi")[i]).alias("_hv"))
-        parts.append(b)
-    br = parts[0]
-    for b in parts[1:]:
-        br = br.unionByName(b)
-    br = br.withColumn("_k0", F.floor("_pos").cast("long")) \
-           .withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1)) \
-           .withColumn("_t", F.col("_pos") - F.col("_k0"))
-    # rows below each bracket, and bracket membership
-    j = x.join(br, keys)
-    cnt = j.groupBy(*keys, "_qi").agg(
-        F.sum(F.when(F.col("_x") < F.col("_lv"), 1).otherwise(0)).alias("_below"),
-        F.sum(F.when((F.col("_x") >= F.col("_lv")) & (F.col("_x") <= F.col("_hv")), 1)
-              .otherwise(0)).alias("_inside"))
-    br = br.join(cnt, keys + ["_qi"])
-    ok = (F.col("_below") <= F.col("_k0")) & (F.col("_k1") < F.col("_below") + F.col("_inside"))
-    br = br.withColumn("_lv", F.when(ok, F.col("_lv")).otherwise(F.lit(-math.inf))) \
-           .withColumn("_hv", F.when(ok, F.col("_hv")).otherwise(F.lit(math.inf))) \
-           .withColumn("_below", F.when(ok, F.col("_below")).otherwise(F.lit(0)))
-    inside = x.join(br, keys).filter((F.col("_x") >= F.col("_lv")) & (F.col("_x") <= F.col("_hv")))
-    w = Window.partitionBy(*keys, "_qi").orderBy("_x")
-    ranked = inside.withColumn("_r", F.row_number().over(w) - 1 + F.col("_below"))
-    picked = ranked.filter((F.col("_r") == F.col("_k0")) | (F.col("_r") == F.col("_k1"))) \
-        .groupBy(*keys, "_qi").agg(
-            F.max(F.when(F.col("_r") == F.col("_k0"), F.col("_x"))).alias("_a"),
-            F.max(F.when(F.col("_r") == F.col("_k1"), F.col("_x"))).alias("_b"),
-            F.first("_t").alias("_t"))
+    sizes = x.groupBy(*gk).agg(F.count(F.lit(1)).alias("_in"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    at = [F.lit(float(p)) * (F.col("_in") - 1) for p in probs]
+    low = [F.floor(a).cast("long") for a in at]
+    ranks = F.array(*[F.struct(F.lit(i).alias("_qi"), F.lit(w).alias("_w"), F.least(k + w, F.col("_in") - 1).alias("_k"), (a - k).alias("_t"))
+                      for i, (a, k) in enumerate(zip(at, low)) for w in (0, 1)])
+    ids = [*gk, "_qi", "_w"]
+    br = cut_lineage(sizes.select(*gk, F.inline(ranks), F.lit(0).cast("long").alias("_below"), "_in", "_lo", "_hi"))
+    wide = (F.col("_in") > MAX_RANKED) & (F.col("_lo") < F.col("_hi"))
+    while not (todo := br.where(wide)).isEmpty():
+        cuts = _within(x, todo, gk).groupBy(*br.columns).agg(F.array_distinct(F.percentile_approx(
+            "_x", F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)]), accuracy)).alias("_cuts"))
+        piece = F.size(F.filter("_cuts", lambda c: c < F.col("_x"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("_x")))
+        told = _within(x, cut_lineage(cuts), gk)
+        counts = told.withColumn("_piece", piece).groupBy(*ids, "_k", "_t", "_below", "_piece").agg(
+            F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+        upto = F.col("_below") + F.sum("_m").over(Window.partitionBy(*ids).orderBy("_piece"))
+        hit = counts.withColumn("_to", upto).where((F.col("_to") - F.col("_m") <= F.col("_k")) & (F.col("_k") < F.col("_to")))
+        new = hit.select(*ids, "_k", "_t", (F.col("_to") - F.col("_m")).alias("_below"), F.col("_m").alias("_in"),
+                         F.col("_a").alias("_lo"), F.col("_b").alias("_hi"))
+        br = cut_lineage(br.where(~wide).unionByName(new.select(*br.columns)))
+    one = br.where("_lo = _hi").select(*gk, "_qi", "_w", "_t", F.col("_lo").alias("_v"))
+    own = _within(x, br.where("_lo < _hi"), gk)
+    place = F.row_number().over(Window.partitionBy(*ids).orderBy("_x")) - 1 + F.col("_below")
+    found = own.withColumn("_r", place).where("_r = _k").select(*gk, "_qi", "_w", "_t", F.col("_x").alias("_v")).unionByName(one)
+    picked = found.groupBy(*gk, "_qi").agg(F.max(F.when(F.col("_w") == 0, F.col("_v"))).alias("_a"),
+                                           F.max(F.when(F.col("_w") == 1, F.col("_v"))).alias("_b"), F.first("_t").alias("_t"))
     d = F.col("_b") - F.col("_a")
     val = F.when(F.col("_t") >= 0.5, F.col("_b") - d * (1.0 - F.col("_t"))) \
            .otherwise(F.col("_a") + d * F.col("_t"))
-    picked = picked.select(*keys, "_qi", val.alias("_q"))
-    return picked.groupBy(*keys).pivot("_qi", list(range(len(probs)))).agg(F.first("_q")) \
-        .select(*keys, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
+    return picked.select(*gk, "_qi", val.alias("_q")).groupBy(*gk).pivot("_qi", list(range(len(probs)))).agg(F.first("_q")) \
+        .select(*[F.col(g).alias(k) for g, k in zip(gk, keys)], *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
+
+
+#: Pieces into which a round cuts a bracket.
+PIECES = 32
+
+
+def _within(x: DataFrame, brackets: DataFrame, gk: list[str]) -> DataFrame:
+    """Rows inside their groups' brackets, once per bracket; null keys match each other.
+
+    A group may hold any share of the rows, so they meet the brackets - a row per group and
+    quantile - by a broadcast while those are few, and in a join that AQE splits beyond."""
+    named = brackets.select(*[F.col(g).alias(f"_b{g}") for g in gk], *[c for c in brackets.columns if c not in gk])
+    same = None
+    for g in gk:
+        c = F.col(g).eqNullSafe(F.col(f"_b{g}"))
+        same = c if same is None else same & c
+    few = brackets.count() <= BROADCAST_BRACKETS
+    return x.join(F.broadcast(named) if few else named, same & (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).drop(*[f"_b{g}" for g in gk])
+
+
+BROADCAST_BRACKETS = 100_000
 
 
 def masked_quantiles(x: DataFrame, mask: str, n_masks: int, col: str, probs: Sequence[float],

@@ -140,26 +140,49 @@ def _mix_sql(x: str) -> str:
 _U = f"(CAST({_mix_sql('xor(h, ' + _mix_sql('CAST(rep AS BIGINT)') + ')')} AS DOUBLE) / 4294967296.0)"
 
 
-@query("a31_bootstrap", _with_extra([f"""bs AS (SELECT model, y, score, rep, {_poisson_sql('u')} AS w FROM (
+def _tuned_ctes() -> list[str]:
+    """``bt``: each model's threshold with the best F1 on validation rows (``va``)."""
+    from arrears.plans.catalog_eval import _grid_values
+    return [_grid_values(K.THRESHOLD_GRID), """gcv AS (SELECT model, i, t,
+    CAST(sum(CASE WHEN score >= t AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+    CAST(sum(CASE WHEN score >= t AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(sum(CASE WHEN score < t AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn
+  FROM va, grid WHERE score IS NOT NULL GROUP BY model, i, t)""",
+            """bt AS (SELECT model, CASE WHEN f1 > 0 THEN t ELSE 0.5 END AS t FROM (
+  SELECT model, t, f1, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, i) AS rk FROM (
+    SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM gcv) q) z
+  WHERE rk = 1)"""]
+
+
+def _boot_rates_sql(p: str) -> str:
+    return f"""CASE WHEN 2 * {p}tp + {p}fp + (P - {p}tp) > 0 THEN 2 * {p}tp / (2 * {p}tp + {p}fp + (P - {p}tp)) ELSE 0.0 END AS {p}f1,
+    CASE WHEN {p}tp + {p}fp > 0 THEN {p}tp / ({p}tp + {p}fp) ELSE 0.0 END AS {p}precision, CASE WHEN P > 0 THEN {p}tp / P ELSE 0.0 END AS {p}recall"""
+
+
+@query("a31_bootstrap", _with_extra(["va AS (SELECT * FROM scores WHERE split = 'val')"] + _tuned_ctes() + [f"""bs AS (SELECT model, y, score, rep, {_poisson_sql('u')} AS w FROM (
     SELECT model, y, score, rep, {_U} AS u FROM (
     SELECT model, y, score, CAST(('0x' || substr(md5('42:' || {_RK}), 1, 8)) AS BIGINT) AS h FROM ev) e,
     (SELECT CAST(range AS INTEGER) AS rep FROM range(1, {K.BOOTSTRAP_N + 1})) r) q)""",
     """bsc AS (SELECT model, rep, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos,
     sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM bs WHERE w > 0 GROUP BY model, rep, score)""",
-    """per AS (SELECT model, rep, sum(pos) AS P, sum(neg) AS N, sum(pos * (neg_cum - neg + neg / 2.0)) AS u,
-    sum(CASE WHEN score >= 0.5 THEN pos ELSE 0 END) AS tp, sum(CASE WHEN score >= 0.5 THEN neg ELSE 0 END) AS fp
+    """per AS (SELECT model, rep, sum(pos) AS P, sum(neg) AS N, sum(pos * (neg_cum - neg + neg / 2.0)) AS u, sum(pos * tps / (tps + fps)) AS a,
+    sum(CASE WHEN score >= 0.5 THEN pos ELSE 0 END) AS tp, sum(CASE WHEN score >= 0.5 THEN neg ELSE 0 END) AS fp,
+    sum(CASE WHEN score >= t THEN pos ELSE 0 END) AS opt_tp, sum(CASE WHEN score >= t THEN neg ELSE 0 END) AS opt_fp
     FROM (SELECT *, sum(neg) OVER (PARTITION BY model, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-          AS neg_cum FROM bsc) z GROUP BY model, rep HAVING sum(pos) > 0 AND sum(neg) > 0)""",
-    """m AS (SELECT model, rep, u / (P * N) AS auc,
-    CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0.0 END AS f1,
-    CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
-    CASE WHEN P > 0 THEN tp / P ELSE 0.0 END AS recall FROM per)"""], "SELECT model, count(*) AS n_replicates, " + ", ".join(
+          AS neg_cum, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps FROM bsc
+          WINDOW w AS (PARTITION BY model, rep ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) z JOIN bt USING (model)
+    GROUP BY model, rep HAVING sum(pos) > 0 AND sum(neg) > 0)""",
+    f"m AS (SELECT model, rep, u / (P * N) AS auc, a / P AS ap, {_boot_rates_sql('')}, {_boot_rates_sql('opt_')} FROM per)"],
+    "SELECT model, count(*) AS n_replicates, " + ", ".join(
     f"round(avg({m}), 9) AS {m}_mean, round(stddev_pop({m}), 9) AS {m}_std, "
     f"round(quantile_cont({m}, 0.025), 9) AS {m}_ci_lower, round(quantile_cont({m}, 0.975), 9) AS {m}_ci_upper"
-    for m in ("auc", "f1", "precision", "recall")) + " FROM m GROUP BY model"))
+    for m in cmp.BOOTSTRAPPED) + " FROM m GROUP BY model"))
 def a31_bootstrap(spark, sf_dir):
+    """Intervals of AUC and average precision, and of F1, precision and recall at 0.5 and
+    at the threshold tuned on validation rows."""
     rk = F.concat_ws("-", *[F.col(k).cast("string") for k in KEYS])
-    b = cmp.bootstrap(_wide(spark, sf_dir), rk)
+    best = ev.best_threshold(scored_long(spark, sf_dir, "val"), ["model"], "f1").collect()  # a row per model
+    b = cmp.bootstrap(_wide(spark, sf_dir), rk, tuned={r["model"]: r["threshold"] for r in best})
     return b.select("model", "n_replicates", *[r9(c, c) for c in b.columns if c not in ("model", "n_replicates")])
 
 
@@ -341,16 +364,7 @@ def _experiments(spark, sf_dir):
 
 
 def _exp_sql(body: str) -> str:
-    from arrears.plans.catalog_eval import _grid_values
-    grid = [_grid_values(K.THRESHOLD_GRID), """gcv AS (SELECT model, i, t,
-    CAST(sum(CASE WHEN score >= t AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
-    CAST(sum(CASE WHEN score >= t AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
-    CAST(sum(CASE WHEN score < t AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn
-  FROM va, grid WHERE score IS NOT NULL GROUP BY model, i, t)""",
-            """bt AS (SELECT model, CASE WHEN f1 > 0 THEN t ELSE 0.5 END AS t FROM (
-  SELECT model, t, f1, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, i) AS rk FROM (
-    SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM gcv) q) z
-  WHERE rk = 1)""",
+    grid = _tuned_ctes() + [
             """th2 AS (SELECT model, t, 'tuned' AS experiment FROM bt UNION ALL
   SELECT DISTINCT model, 0.5, 'default' FROM ev)""",
             """cm2 AS (SELECT ev.model, th2.experiment, th2.t AS threshold,

@@ -32,6 +32,32 @@ def test_grouped_quantiles(spark):
     assert np.allclose(got[["q0", "q1", "q2"]].to_numpy(), want.to_numpy())
 
 
+def test_grouped_quantiles_narrow_in_rounds(spark, monkeypatch):
+    """Brackets of a few rows: hot values, a hot group, groups of one row, a null group,
+    infinities; two joins (broadcast or not) give the same."""
+    monkeypatch.setattr(ordered, "MAX_RANKED", 8)
+    monkeypatch.setattr(ordered, "PIECES", 4)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=900), np.full(700, 0.5), rng.integers(0, 3, 300).astype(float), [np.inf, -np.inf], np.arange(98.0)])
+    g = [None if i % 11 == 0 else "hot" if i % 3 else f"g{i % 7}" for i in range(len(v))]
+    g[-1] = "single"
+    rows = [(a, float(b), "x") for a, b in zip(g, v)] + [("hot", None, "x"), ("hot", float("nan"), "x")]
+    df = spark.createDataFrame(rows, "g string, v double, h string")
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    pdf = pd.DataFrame({"g": g, "v": v})
+    for few in (100_000, 0):
+        monkeypatch.setattr(ordered, "BROADCAST_BRACKETS", few)
+        got = {r.g: list(r)[2:] for r in ordered.grouped_quantiles(df, ["g", "h"], "v", probs, accuracy=100).collect()}
+        assert set(got) == set(g)
+        for k in got:
+            own = np.sort(pdf.v[pdf.g.isna() if k is None else pdf.g == k].to_numpy())
+            for p, q in zip(probs, got[k]):
+                pos = p * (len(own) - 1)
+                a, b = own[int(pos)], own[min(int(pos) + 1, len(own) - 1)]
+                if np.isfinite([a, b]).all():
+                    assert q == ordered.lerp(a, b, pos - int(pos))
+
+
 def test_prefix_sums_and_next(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"p": rng.integers(0, 3, 900), "s": rng.normal(size=900), "c": rng.integers(1, 5, 900)})
