@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arrears.session import checkpoint_dir
 
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

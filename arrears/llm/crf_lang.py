@@ -38,7 +38,7 @@ SAMPLE, PASSAGE, STEPS = 250, 40, 30
 CLASSES, SAMPLE_CHARS, LEAST_SHARE = 128, 50_000, 0.4
 ORDERS, BITS = (1, 2, 3, 4), 17
 LEXICON, LEAST = 3000, 3
-BLOCK, BATCH_WORDS = 32, 400_000
+BLOCK, BATCH_WORDS = 32, 200_000
 UNKNOWN = "und"
 
 
@@ -172,7 +172,7 @@ def scaled(scores: np.ndarray) -> np.ndarray:
 class Labeller:
     """A worker's model, with the emissions of the words it has met."""
 
-    def __init__(self, model: Crf, cap: int = 400_000) -> None:
+    def __init__(self, model: Crf, cap: int = 200_000) -> None:
         self.model, self.cap = model, cap
         self.step = np.exp(model.moves).astype(np.float32)
         self.start = np.full(len(model.languages), 1 / max(1, len(model.languages)), np.float32)
