@@ -148,7 +148,7 @@ SELECT experiment, model, 'test' AS evaluation, metric, round(value, 9) AS value
 FROM (SELECT model, experiment, threshold, accuracy, precision, recall, f1, auc FROM xp)
 UNPIVOT (value FOR metric IN (threshold, accuracy, precision, recall, f1, auc))"""))
 def s07_experiment_tree(spark, sf_dir):
-    """S5 + S7 + S9: the comparison table written as the nested experiment
+    """S5 + S7: the comparison table written as the nested experiment
     document (JSON), read back as an optional artifact and flattened."""
     x = _experiments(spark, sf_dir)
     long = x.select("model", "experiment", F.lit("test").alias("evaluation"),

@@ -6,6 +6,8 @@ summation."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from arrears.plans import sql as S
@@ -178,3 +180,19 @@ def a55_amount_scaler(spark, sf_dir):
     mean, scale = mlp.fit_scaler(train, _AMOUNTS)
     return spark.createDataFrame([(c, round(float(a), 4), round(float(b), 4)) for c, a, b in zip(_AMOUNTS, mean, scale)],
                                  "feature string, mean double, scale double")
+
+
+@query("s14_scaler_round_trip", S.with_ctes(S.base_ctes() + [S.GLOBALS] + _AMOUNT_SQL, "SELECT " + ", ".join(
+    f"round(sum(CASE WHEN split = 'test' THEN (({c}) - m_{c}) / s_{c} END) / count(*) FILTER (split = 'test'), 6) AS {c}" for c in _AMOUNTS)
+    + " FROM am CROSS JOIN (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _AMOUNTS) + " FROM am WHERE split = 'train') f"))
+def s14_scaler_round_trip(spark, sf_dir):
+    """The scaler is fitted on training rows, written, read back and applied: mean of each
+    scaled amount feature over the test rows."""
+    from arrears.operators import mlp
+    from arrears.session import checkpoint_dir
+    from arrears.sources import artifacts
+    rows = featurized(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/artifacts/scaler_{zlib.crc32(sf_dir.encode())}"
+    artifacts.write_scaler(spark, _AMOUNTS, *mlp.fit_scaler(rows.filter(F.col("split") == "train"), _AMOUNTS), path)
+    names, mean, scale = artifacts.read_scaler(spark, path)
+    return rows.filter(F.col("split") == "test").agg(*[F.round(F.avg((F.col(c) - m) / s), 6).alias(c) for c, m, s in zip(names, mean, scale)])

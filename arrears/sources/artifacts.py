@@ -9,8 +9,9 @@ one writer.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,15 +73,20 @@ def nest_experiments(long: DataFrame) -> DataFrame:
     return c.agg(F.map_from_entries(F.collect_list(F.struct("experiment", F.struct("models")))).alias("experiments"))
 
 
-def normalize_scores(rows: DataFrame, n_col: str = "row_id") -> DataFrame:
-    """One scored-set shape; a missing second score is padded
-    with 0.0 (the reference's normaliser), the first present score column
-    among the candidates is used, non-numeric -> 0."""
-    first = next((c for c in ("score_a", "xgb_probability", "probability") if c in rows.columns), None)
-    second = next((c for c in ("score_b", "mlp_probability") if c in rows.columns), None)
-    a = F.coalesce(F.col(first).cast("string").try_cast("double"), F.lit(0.0)) if first else F.lit(0.0)
-    b = F.coalesce(F.col(second).cast("string").try_cast("double"), F.lit(0.0)) if second else F.lit(0.0)
-    return rows.select(n_col, F.col("y_true").cast("int").alias("y_true"), a.alias("score_a"), b.alias("score_b"))
+#: Names under which scored sets carry the two models' scores, the first present one counts.
+SCORE_NAMES = (("score_a", "xgb_probability", "probability"), ("score_b", "mlp_probability"))
+
+
+def normalize_scores(rows: DataFrame, n_col: str = "row_id", names: Sequence[Sequence[str]] = SCORE_NAMES,
+                     label: str = "y_true") -> DataFrame:
+    """One scored-set shape; the first present score column among each model's
+    candidate ``names`` is used, a missing score is padded with 0.0 (the reference's
+    normaliser), non-numeric -> 0."""
+    def score(candidates: Sequence[str]) -> Column:
+        found = next((c for c in candidates if c in rows.columns), None)
+        return F.coalesce(F.col(f"`{found}`").cast("string").try_cast("double"), F.lit(0.0)) if found else F.lit(0.0)
+
+    return rows.select(n_col, F.col(label).cast("int").alias("y_true"), *[score(c).alias(f"score_{m}") for m, c in zip("ab", names)])
 
 
 # ---------------------------------------------------------------- JSON safety
@@ -128,6 +134,24 @@ def read_fitted(spark: SparkSession, path: str):
                   n_classes={d: sizes.get(d, (0, 0))[1] for d in LE_DIMS})
 
 
+def write_scaler(spark: SparkSession, features: Sequence[str], mean: Sequence[float], scale: Sequence[float], path: str) -> None:
+    """The fitted scaler as JSON rows in feature order: position, feature, mean, scale."""
+    rows = [(i, f, float(m), float(s)) for i, (f, m, s) in enumerate(zip(features, mean, scale))]
+    spark.createDataFrame(rows, SCALER).write.mode("overwrite").json(path)
+
+
+def read_scaler(spark: SparkSession, path: str) -> tuple[list[str], list[float], list[float]]:
+    """(features, means, scales) as written; a missing scaler is an error."""
+    rows = spark.read.schema(SCALER).json(path).orderBy("position").collect()  # a row per feature
+    if [r.position for r in rows] != list(range(len(rows))) or not rows:
+        raise ValueError(f"no whole scaler at {path}")
+    return [r.feature for r in rows], [r["mean"] for r in rows], [r.scale for r in rows]
+
+
+SCALER = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("feature", T.StringType()),
+                       T.StructField("mean", T.DoubleType()), T.StructField("scale", T.DoubleType())])
+
+
 def write_scored_batch(df: DataFrame, path: str, threshold: float) -> None:
     """``row_index, score_a, score_b, label_a, label_b`` with header."""
     out = df.select("row_index", "score_a", "score_b",
