@@ -128,11 +128,11 @@ def _ordered_rows(t: pa.Table):
 TOTALS = ("P", "N", "U", "tp", "fp", "opt_tp", "opt_fp")
 
 
-def _bucket_totals(n_boot: int, threshold: float, tuned: dict[str, float]):
+def _bucket_totals(n_boot: int, threshold: float, tuned: dict[str, float] | None = None):
     """All replicates' totals of one bucket, an array of ``n_boot`` each."""
     def run(t: pa.Table) -> pa.Table:
         score, y, h, first = _ordered_rows(t)
-        above, best = score >= threshold, score >= tuned.get(t["model"][0].as_py(), threshold)
+        above, best = score >= threshold, score >= (tuned or {}).get(t["model"][0].as_py(), threshold)
         out = [[] for _ in TOTALS]
         for pos, neg in _replicates(h, y, n_boot):
             p, n = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
@@ -197,7 +197,7 @@ def bootstrap(wide: DataFrame, row_key: Column, models: Sequence[str] = ("a", "b
     tie = F.col("_bkt") % 2 == 1
     salted = cut.withColumn("_salt", F.when(tie, F.col("_h") % salts).otherwise(0))
     parts = salted.groupBy("model", "_bkt", "_salt").applyInArrow(
-        _bucket_totals(n_boot, float(threshold), dict(tuned or {})),
+        _bucket_totals(n_boot, float(threshold), tuned),
         "model string, _bkt double, " + ", ".join(f"{c} array<double>" for c in TOTALS))
     # zero-weight replicates drop out below; a salted bucket's rank sum is that of one tie
     each = parts.select("model", "_bkt", F.posexplode(F.arrays_zip(*TOTALS)).alias("rep", "_t")).groupBy(

@@ -72,7 +72,7 @@ def test_stream_resumes_after_a_restart(spark, tmp_path):
         out = scoring.run(spark, str(source), fit, scorecards, "t", root=root, watermark="3650 days")
         rows = spark.read.parquet(f"{out}/accepted").unionByName(spark.read.parquet(f"{out}/rejected"))
         counts.append(rows.count())
-        assert counts[-1] == spark.read.option("header", True).csv(str(source)).count()
+        assert counts[-1] == spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(source)).count()
         windows = scoring.final_windows(spark, out).agg(F.sum("n_decisions")).first()[0]
         assert windows == spark.read.parquet(f"{out}/accepted").count()
     assert len(files) == 1 or counts[0] < counts[1]
