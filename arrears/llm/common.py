@@ -30,6 +30,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release() -> None:
+    """Give a worker's freed memory back to the system at the end of a partition: workers are
+    reused by later stages, and what long texts leave behind would stay with them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"

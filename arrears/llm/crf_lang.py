@@ -332,6 +332,8 @@ def identify(docs: DataFrame, model: Crf, modulus: int = 4, held: int = 2) -> Da
             languages, scores = labeller.label(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores)],
                                              names=["doc_id", "lang_pred", "score"])
+        del labeller
+        common.release()
 
     return common.documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double").select(
         "doc_id", (common.fold("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score")
@@ -348,5 +350,7 @@ def with_language(docs: DataFrame, model: Crf, languages: list[str] | None = Non
         for b in batches:
             found, scores = labeller.label([t or "" for t in b.column("text").to_pylist()])
             yield b.filter(pa.array([k in wanted and s >= least for k, s in zip(found, scores)], pa.bool_()))
+        del labeller
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)

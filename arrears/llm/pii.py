@@ -510,7 +510,11 @@ def digests(docs: DataFrame, model: Field) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256,
     spans (all), n_added."""
     every = F.array_sort(F.concat("base", "added"))
+
+    def number_of(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
     return find(docs, model).select(
-        "doc_id", *[F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        "doc_id", *[number_of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"),
         F.size("added").cast("long").alias("n_added"))

@@ -48,10 +48,11 @@ def words(text: Column) -> Column:
 
 def features(found: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space."""
-    runs = [found]
-    for n in range(2, longest + 1):
+    def runs_of(n: int) -> Column:
         starts = F.when(F.size(found) >= n, F.sequence(F.lit(1), F.size(found) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(found, i, F.lit(n)), " ")))
+        return F.transform(starts, lambda i: F.array_join(F.slice(found, i, F.lit(n)), " "))
+
+    runs = [found, *(runs_of(n) for n in range(2, longest + 1))]
     return F.concat(*runs) if longest > 1 else found
 
 

@@ -141,6 +141,7 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
                 [pa.array(distinct.view(np.int64)),
                  *(pa.array(np.bincount(inverse[of == k], minlength=len(distinct)).astype(np.int64)) for k in (1, 0))],
                 names=["gram", "toxic", "clean"])
+        common.release()
 
     return rows.mapInArrow(count, "gram long, toxic long, clean long").groupBy("gram").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -236,6 +237,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, held: int = 0) -> Dat
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(model.scores(b.column("text").to_pylist(), seen))], names=["doc_id", "score"])
+        common.release()
 
     return common.documents(docs).mapInArrow(run, "doc_id long, score double").select(
         "doc_id", (common.fold("doc_id", modulus) == held).alias("held_out"), "score",
@@ -251,5 +253,6 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(model.scores(texts, seen) < 0.5))
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)
