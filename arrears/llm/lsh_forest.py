@@ -3,21 +3,21 @@
 1. One pass over whole texts gives each document its set of distinct word shingles (64-bit
    hashes), of which a digest and a MinHash signature are kept.  Documents with equal sets
    are one node from here on.
-2. The forest: ``TREES`` orders of the signature's values.  Sorted by one order, documents
-   with a long common prefix are neighbours.  A region - documents that agree on the first
-   ``DEPTH`` values - is a set of candidates.  A pair of similarity 0.8 misses all trees with
-   a probability of 3e-6.
-3. Candidates are compared by their signatures inside their region, and what may reach the
-   threshold (four standard deviations of leeway: a pair at exactly 0.8 falls below it with a
-   probability of 4.2e-5) is confirmed on the full sets.  Confirmed pairs are the links.
-4. To link a group it takes no list of all its pairs.  First, each region hands out a
-   spanning forest of its best candidate pairs, and the links among them join documents into
-   components.  For this step alone, a region with more than ``REGION`` documents is refined
-   to twice the depth, again and again.  Then, in each region of the base depth, the candidate
-   pairs that lie between two components are confirmed on the spot, best first, until the
-   components that can be joined are; a crowded region is dealt into blocks, each compared
-   with itself and every other, but for blocks of one same component.  So only pairs within
-   one component are left out, and those cannot change the result.
+2. The forest: ``TREES`` orders of the signature's values.  In each the documents are sorted
+   by their values, so that those with a long common prefix lie side by side; the rows that
+   agree on the first ``DEPTH`` values are a region of the tree.
+3. A document's neighbours in an order are the ``NEAR`` rows after it in its region: no other
+   later rows share a longer prefix with it.  So the depth adapts to each region: where rows are
+   few, all that share ``DEPTH`` values are neighbours, where they crowd, those that share many.
+   Neighbours whose signatures agree enough (four standard deviations of leeway: a pair at
+   exactly 0.8 falls below it with a probability of 4.2e-5) are candidates, confirmed on the
+   full sets; what is confirmed joins documents into components.
+4. Then nothing is left to the neighbours' luck: in each region, all candidate pairs between
+   two components are confirmed, best first, until the components that can be joined are; a
+   region of more than ``REGION`` rows is dealt into blocks, each compared with itself and every
+   other, but for blocks of one same component.  So only pairs within one component are left
+   out, and those cannot change the result.  A pair of similarity 0.8 shares no region of any
+   tree with a probability of 3e-6.
 
 Cases: null texts, and texts without a word, have an empty set and link with nothing; a text
 of fewer words than a shingle is one shingle; rows that share a doc_id count as one document;
@@ -42,6 +42,7 @@ from arrears.llm.tokens import Recent
 
 WORDS, PERCENT = 4, 80
 HASHES, TREES, DEPTH, REGION = 128, 24, 4, 2048
+NEAR, WALK = 8, 2048  # later neighbours of a row in an order; rows walked at a time
 LEEWAY = 4.0  # standard deviations of a signature's estimate
 MOST_IDS = 200_000  # ids that are broadcast at most
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -135,48 +136,27 @@ def by_tree(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "keys").mapInArrow(run, "tree int, region long, id long")
 
 
-def deeper(rows: DataFrame, depth: int) -> DataFrame:
-    """The same rows with regions of ``depth`` values of their trees' orders."""
+def in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with the signatures' bytes in the order of the row's tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [tree_order(t)[:depth] for t in range(TREES)]
+        orders = np.array([tree_order(t) for t in range(TREES)])
         for b in batches:
-            regions = [xxhash.xxh3_64_intdigest(np.frombuffer(v, np.uint8)[orders[t]].tobytes(), seed=r & 0xFFFFFFFF) - (1 << 63)
-                       for t, r, v in zip(*(b.column(c).to_pylist() for c in ("tree", "region", "low")))]
-            yield b.set_column(b.schema.get_field_index("region"), "region", pa.array(regions, pa.int64()))
+            low = np.take_along_axis(bytes_of(b.column("low"), "u1", HASHES), orders[b.column("tree").to_numpy()], 1)
+            yield b.set_column(b.schema.get_field_index("low"), "low", pa.array([v.tobytes() for v in low], pa.binary()))
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (tree, region, id, low, keys, refined) of all regions with company, crowded ones
-    being refined; and rows (tree, region, id) of the crowded regions as they were; staged."""
+def forest(nodes: DataFrame) -> DataFrame:
+    """Rows (tree, region, id, n, low, keys) of all regions with company, n being the region's
+    rows and low in the tree's order; staged."""
     rows = by_tree(nodes)
-    sizes = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
+    sizes = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # most documents are alone in every tree: only those with company carry their signatures on
-    shared = common.stage(rows.join(sizes, ["tree", "region"]), "regions")
-    values = nodes.select("id", "low", "keys")
-    settled = shared.where(F.col("n") <= REGION).drop("n", "lead").join(values, "id").withColumn("refined", F.lit(False))
-    crowded = whole = shared.where(F.col("n") > REGION)
-    depth = DEPTH
-    while not crowded.isEmpty():
-        depth *= 2
-        full = crowded.select("tree", "region", "id").join(values, "id") if "low" not in crowded.columns else crowded
-        fine = common.stage(deeper(full.select("tree", "region", "id", "low", "keys"), depth), "deeper")
-        sizes = fine.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
-        # no window and no join on the rows of one region: sizes of crowded regions are few
-        fine = fine.join(sizes, ["tree", "region"]).withColumn("refined", F.lit(True))
-        if depth >= HASHES:
-            # documents that agree on every value: blocks of them, linked by a common lead
-            parts = F.ceil(F.col("n") / REGION)
-            block = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(
-                F.array(F.pmod(F.xxhash64("id"), parts).cast("long")))
-            last = fine.withColumn("block", F.explode(block)).withColumn("region", F.xxhash64("region", "block"))
-            settled = settled.unionByName(last.select(*settled.columns))
-            break
-        fine = common.stage(fine, "deeper")
-        settled = settled.unionByName(fine.where(F.col("n") <= REGION).select(*settled.columns))
-        crowded = fine.where(F.col("n") > REGION).drop("n", "lead", "refined")
-    return common.stage(settled, "forest"), whole.select("tree", "region", "id")
+    shared = common.stage(rows.join(sizes, ["tree", "region"]).select("tree", "region", "id", "n"), "regions")
+    out = common.stage(in_order(shared.join(nodes.select("id", "low", "keys"), "id")), "forest")
+    common.drop(shared)
+    return out
 
 
 def units(crowded: DataFrame, nodes: DataFrame, part: DataFrame) -> DataFrame:
@@ -301,19 +281,40 @@ def edges_of(t: pa.Table) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((tree[1:] != tree[:-1]) | (region[1:] != region[:-1])) + 1, [len(tree)]])
 
 
-def best_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b): a spanning forest of each region's candidate pairs."""
-    least = least_matches(percent)
+def neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) among each row and the ``NEAR`` rows after it in its tree's
+    sorted order and region, less those that a better pair of the same stretch makes needless.
 
-    def of_region(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, low = t["id"].to_numpy(), bytes_of(t["low"], "u1", HASHES)
-        if len(ids) > 1:
-            i, j, m = candidates(low, ids, least)
-            on = spanning(i, j, m, len(ids))
-            if on:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i[on]]), pa.array(ids[j[on]])], names=["a", "b"])
+    A stretch of the order is sorted by a task and walked batch by batch, the last ``NEAR`` rows
+    being carried on; a region may go over many tasks (pairs across their edges are met in step 4)."""
+    least = least_matches(percent)
 
-    return by_region(rows.select("tree", "region", "id", "low"), of_region, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            seen = 0 if rest is None else rest.num_rows
+            t = t if rest is None else pa.concat_tables([rest, t])
+            ids, low = t["id"].to_numpy(), bytes_of(t["low"], "u1", HASHES)
+            tree, region = t["tree"].to_numpy(), t["region"].to_numpy()
+            found = []
+            for k in range(1, min(NEAR, len(ids) - 1) + 1):
+                at = np.arange(max(0, seen - k), len(ids) - k)
+                at = at[(tree[at] == tree[at + k]) & (region[at] == region[at + k]) & (ids[at] != ids[at + k])]
+                m = (low[at] == low[at + k]).sum(1)
+                found.append(np.array([at, at + k, m])[:, m >= least])
+            if found:
+                i, j, m = np.concatenate(found, axis=1)
+                on = spanning(i, j, m, len(ids))
+                if on:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i[on]], ids[j[on]])),
+                                                      pa.array(np.maximum(ids[i[on]], ids[j[on]]))], names=["a", "b"])
+            rest = t.slice(max(0, t.num_rows - NEAR))
+
+    common.small_batches(rows.sparkSession, WALK)
+    order = ["tree", "region", "low", "id"]
+    ordered = rows.select("tree", "region", "id", "low").repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def between(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -433,16 +434,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.min("keys").alias("keys"), F.min("low").alias("low"))  # equal sets have equal keys and bytes
     alike_sets = common.stage(alike_sets, "equal-sets")
     nodes = alike_sets.where("size > 0 and id is not null").select("id", "keys", "low")
-    trees, crowded = forest(nodes)
-    found = common.stage(best_pairs(trees, percent), "candidates")
-    # every document of a candidate pair is in its region's spanning forest
+    trees = forest(nodes)
+    found = common.stage(neighbours(trees, percent), "candidates")
     sets = full_sets(docs, found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words)
     part = components(confirmed(found, sets, percent))
-    regions = placed(trees.where("not refined").drop("refined"), part).withColumn("side", F.lit(0))
+    regions = placed(trees.where(F.col("n") <= REGION).drop("n"), part).withColumn("side", F.lit(0))
+    crowded = trees.where(F.col("n") > REGION).select("tree", "region", "id")
     if not crowded.isEmpty():
         regions = regions.unionByName(units(crowded, nodes, part))
     open_ = unsettled(regions, percent)
-    # refinement may have left a document of a crowded region without candidates
+    # documents that had no neighbour among their candidates have no set yet
     more = common.stage(open_.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "more")
     if not more.isEmpty():
         sets = sets.unionByName(full_sets(docs, more, words))
