@@ -450,7 +450,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = links_between(open_, sets, percent)
     everyone = common.stage(open_.select("id", "part").distinct(), "open").select(F.col("id").alias("node"), F.col("part").alias("root"))
     part = composed(part.unionByName(everyone).distinct(), components(contracted(links, everyone)))
-    return labelled(rows, alike_sets, common.stage(part, "parts"))
+    part = common.stage(part, "parts")
+    common.drop(trees, found, open_, links)
+    return labelled(rows, alike_sets, part)
 
 
 def contracted(links: DataFrame, part: DataFrame) -> DataFrame:

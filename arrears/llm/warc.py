@@ -6,11 +6,13 @@ the smallest page_id is a response, the others are revisits that refer to it.
 
 Index: a line per record - reversed-host URL key, page_id, file, offset, length - sorted by
 key over all files and cut into compressed blocks.  Each index file ends with a sparse
-directory of its blocks' first keys.  A look-up binary-searches the directory, range-reads
-one block, searches it, and range-reads the record.
+directory of its blocks' first lines.  A look-up finds the index file by its first line,
+binary-searches the directory, range-reads one block, searches it, and range-reads the record.
 
-Reading back: the index's blocks give each record's place; records that lie side by side
-are fetched with one range read and parsed.  What is returned comes from the archives.
+Reading back: each page's record is looked up in that way by URL key and page_id, pages being
+dealt by ranges of them, so that a task meets a block's lines one after another and reads the
+block once; records that lie side by side are fetched with one range read and parsed.  What
+is returned comes from the archives.
 
 Cases: null html is an empty payload and null url an empty key; rows that repeat a page_id
 are written alike; a null page_id ranks above all others; payloads of any length are
@@ -41,6 +43,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PLACES = "key string, page_id long, file string, offset long, size long"
 
 
+def rank(key: str, page_id: int | None) -> tuple[str, bool, int]:
+    """Place of a line in the index's order: null ids come first, as Spark sorts them."""
+    return key, page_id is not None, page_id or 0
+
+
 def url_key(url: str) -> str:
     """Reversed host, port and path: com,example,www)/path?query."""
     try:
@@ -131,8 +138,8 @@ def batch_of(places: list[tuple]) -> pa.RecordBatch:
 
 
 def write_index(places: DataFrame, uri: str) -> DataFrame:
-    """Sort the places into index files; returns their manifest, staged: part, file, first
-    key, lines."""
+    """Sort the places into index files; returns their manifest, staged: part, file, first key
+    and its page_id, lines.  Lines alike in both may go over several files."""
     spark = places.sparkSession
     common.small_batches(spark, 8 * BLOCK_LINES)
 
@@ -151,7 +158,7 @@ def write_index(places: DataFrame, uri: str) -> DataFrame:
             def flush() -> None:
                 nonlocal at, lines
                 raw = gzip.compress("\n".join(json.dumps(list(r.values())) for r in block).encode(), LEVEL, mtime=0)
-                directory.append((block[0]["key"], at, len(raw)))
+                directory.append((block[0]["key"], block[0]["page_id"], at, len(raw)))
                 at += out.write(raw)
                 lines += len(block)
                 block.clear()
@@ -167,11 +174,12 @@ def write_index(places: DataFrame, uri: str) -> DataFrame:
         common.put_file(f"{uri}/{name}", body)
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name]), pa.array([head["key"]]),
-             pa.array([lines], pa.int64())], names=["part", "file", "first", "lines"])
+             pa.array([head["page_id"]], pa.int64()), pa.array([lines], pa.int64())], names=["part", "file", "first", "first_id", "lines"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = places.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return common.stage(ordered.mapInArrow(write, "part long, file string, first string, lines long"), "index-manifest")
+    order = ["key", "page_id", "file", "offset"]
+    ordered = places.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return common.stage(ordered.mapInArrow(write, "part long, file string, first string, first_id long, lines long"), "index-manifest")
 
 
 class IndexFile:
@@ -183,10 +191,25 @@ class IndexFile:
         size = self.file.size()
         at = int.from_bytes(self.file.read_at(8, size - 8), "little")
         self.directory = json.loads(gzip.decompress(self.file.read_at(size - 8 - at, at)))
+        self.firsts = [rank(key, page_id) for key, page_id, *_ in self.directory]
+        self.held: tuple[int, list[list]] = (-1, [])
 
     def block(self, k: int) -> list[list]:
-        _, at, size = self.directory[k]
-        return [json.loads(x) for x in gzip.decompress(self.file.read_at(size, at)).decode().split("\n")]
+        """Lines of a block; the last one read is kept."""
+        if self.held[0] != k:
+            *_, at, size = self.directory[k]
+            self.held = k, [json.loads(x) for x in gzip.decompress(self.file.read_at(size, at)).decode().split("\n")]
+        return self.held[1]
+
+    def lines(self, key: str, page_id: int | None) -> Iterator[list[list]]:
+        """Lines of a page, by blocks: binary search in the directory, then in each block."""
+        at = rank(key, page_id)
+        k = max(0, bisect.bisect_left(self.firsts, at) - 1)
+        while k < len(self.firsts) and self.firsts[k] <= at:
+            block = self.block(k)
+            first = bisect.bisect_left(block, at, key=lambda x: rank(x[0], x[1]))
+            yield block[first:bisect.bisect_right(block, at, first, key=lambda x: rank(x[0], x[1]))]
+            k += 1
 
     def places(self, key: str) -> list[list]:
         """Lines of a key: binary search in the directory, then in blocks."""
@@ -210,17 +233,37 @@ def look_up(manifest: DataFrame, uri: str, url: str) -> list[tuple[dict, dict, b
     return out
 
 
-def read_places(manifest: DataFrame, uri: str) -> DataFrame:
-    """The index's lines, from its blocks."""
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find_places(pages: DataFrame, manifest: DataFrame, uri: str) -> DataFrame:
+    """The index's lines of all ``pages``, each looked up by its URL's key and page_id.  The
+    manifest has at most a row per shuffle partition, which all tasks get."""
+    common.small_batches(pages.sparkSession)
+    files = manifest.orderBy("part").collect()
+    firsts, names = [rank(r["first"], r["first_id"]) for r in files], [r["file"] for r in files]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file in b.column("file").to_pylist():
-                index = IndexFile(uri, file)
-                for k in range(len(index.directory)):
-                    yield batch_of([tuple(x) for x in index.block(k)])
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column("url").to_pylist()], pa.string()), b.column("page_id")],
+                                             names=["key", "page_id"])
 
-    spread = max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))
-    return manifest.select("file").repartition(spread).mapInArrow(read, PLACES)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index, found = -1, None, []
+        for b in batches:
+            for key, page_id in zip(b.column("key").to_pylist(), b.column("page_id").to_pylist()):
+                place = rank(key, page_id)
+                for k in range(max(0, bisect.bisect_left(firsts, place) - 1), bisect.bisect_right(firsts, place)):
+                    if k != at:
+                        at, index = k, IndexFile(uri, names[k])
+                    for lines in index.lines(key, page_id):
+                        found += map(tuple, lines)
+                        if len(found) >= BLOCK_LINES:
+                            yield batch_of(found)
+                            found = []
+        if found:
+            yield batch_of(found)
+
+    wanted = pages.select(F.coalesce("url", F.lit("")).alias("url"), F.col("page_id").cast("long").alias("page_id"))
+    wanted = wanted.mapInArrow(keys, "key string, page_id long").distinct()
+    return wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(find, PLACES)
 
 
 def read_records(places: DataFrame, uri: str) -> DataFrame:
@@ -266,8 +309,10 @@ def read_records(places: DataFrame, uri: str) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     uri = common.shared_path(spark, "archive")
-    manifest = write_index(write_archive(pages, uri), uri)
-    return read_records(read_places(manifest, uri), uri)
+    places = write_archive(pages, uri)
+    manifest = write_index(places, uri)
+    common.drop(places)
+    return read_records(find_places(pages, manifest, uri), uri)
 
 
 SQL = f"""

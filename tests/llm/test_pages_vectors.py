@@ -189,6 +189,19 @@ def test_op6_round_trip_of_odd_rows(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_op6_pages_over_many_index_blocks(spark):
+    """A page that repeats over several blocks and index files, and others around it, are each found once a record."""
+    rows = [(i, f"http://h{i % 5}.example/p", f"page {i}") for i in range(1500)]
+    rows += [(7, "http://h2.example/p", "again")] * 1300 + [(None, "http://h2.example/p", "no id")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    uri = common.shared_path(spark, "warc-test")
+    manifest = warc.write_index(warc.write_archive(pages, uri), uri)
+    found = warc.find_places(pages, manifest, uri)
+    assert found.count() == found.distinct().count() == len(rows)
+    got = warc.round_trip(spark, pages).groupBy("page_id").count().collect()
+    assert {r["page_id"]: r["count"] for r in got} == {None: 3, 7: 1301} | {i: 1 for i in range(1500) if i != 7}
+
+
 def split_url(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]) if m else ""
