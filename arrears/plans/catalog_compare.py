@@ -13,7 +13,7 @@ from arrears.operators import compare as cmp
 from arrears.operators import evaluate as ev
 from arrears.operators import experiment
 from arrears.plans import sql as S
-from arrears.plans.base import KEYS, base, featurized, scorecards, scored_long
+from arrears.plans.base import KEYS, SCORED, base, featurized, rows, scorecards, scored_long
 from arrears.plans.catalog_eval import SC_CTES, _metric_row_sql, _rates_sql, _with_extra
 from arrears.plans.registry import query, r9
 from arrears.session import cut_lineage
@@ -26,7 +26,7 @@ _K = ", ".join(KEYS)
 
 
 def _wide(spark, sf_dir):
-    return scorecards(featurized(spark, sf_dir)).filter(F.col("split") == "test") \
+    return scorecards(featurized(spark, sf_dir, features=SCORED)).filter(F.col("split") == "test") \
         .select(*KEYS, F.col("is_late").alias("y"), "score_a", "score_b")
 
 
@@ -341,7 +341,7 @@ SELECT count(*) AS n, CAST(sum(is_late) AS BIGINT) AS n_pos, CAST(count(*) - sum
 FROM split WHERE split = 'train'"""))
 def a48_class_balance(spark, sf_dir):
     """Neg:pos ratio and balanced class weights on train."""
-    tr = base(spark, sf_dir).filter(F.col("split") == "train")
+    tr = rows(spark, sf_dir).filter(F.col("split") == "train")
     s = tr.agg(F.count(F.lit(1)).alias("n"), F.sum("is_late").cast("long").alias("n_pos"))
     s = s.withColumn("n_neg", F.col("n") - F.col("n_pos"))
     return s.select("n", "n_pos", "n_neg", r9(F.col("n_neg") / F.col("n_pos"), "imbalance_ratio"),
