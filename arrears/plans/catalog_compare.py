@@ -243,7 +243,7 @@ def _seed_results(spark, sf_dir):
     key = version(spark, sf_dir)
     if key not in _SEED_RESULTS:
         counts = experiment.seed_score_counts(base(spark, sf_dir), SEEDS)
-        _SEED_RESULTS[key] = cut_lineage(experiment.seed_results(counts))
+        _SEED_RESULTS[key] = cut_lineage(experiment.seed_results(counts, staged=True))
     return _SEED_RESULTS[key]
 
 
@@ -354,7 +354,7 @@ def _experiments(spark, sf_dir):
     """Long comparison table (model, experiment, threshold, metrics)."""
     val_best = ev.best_threshold(scored_long(spark, sf_dir, "val"), ["model"], "f1").select("model", "threshold")
     test, by = scored_long(spark, sf_dir), ["model"]
-    ranking = cut_lineage(ev.ranking_metrics(cut_lineage(ev.score_counts(test, by)), by))  # the same for both
+    ranking = cut_lineage(ev.ranking_metrics(ev.score_counts(test, by), by))  # the same for both
     tuned = ev.threshold_rates(test, val_best, by).join(ranking, by).withColumn("experiment", F.lit("tuned"))
     default = ev.threshold_rates(test, 0.5, by).join(ranking, by).withColumn("experiment", F.lit("default"))
     cols = ["model", "experiment", "threshold", "accuracy", "precision", "recall", "f1", "auc", "average_precision"]

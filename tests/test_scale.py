@@ -114,3 +114,53 @@ def test_ranks_share_their_bracket(spark, monkeypatch):
     out = {r.k: r for r in ordered.grouped_quantiles(keyed, ["k"], "x", [.5, .03]).collect()}
     for j, k in enumerate((None, "a", "b")):
         assert out[k].q0 == pytest.approx(np.quantile(v[j::3], .5)) and out[k].q1 == pytest.approx(np.quantile(v[j::3], .03))
+
+
+def test_seeds_share_passes_and_count_in_bounded_tasks(spark, tables, monkeypatch):
+    """Scores of all seeds follow each seed's own split, fit and bins, a missing amount included; rows
+    are dealt over tasks by their number before they are copied per seed."""
+    from arrears.operators import experiment
+    from arrears.operators.split import split_expr
+    rows = plans.base(spark, tables).withColumn("amount", F.when(F.col("line_no") * F.col("order_key") != 6, F.col("amount")))
+    monkeypatch.setattr(experiment, "SCORED_ROWS", 4)
+    dealt = []
+    for kind in {DataFrame, type(rows)}:
+        monkeypatch.setattr(kind, "repartition", lambda df, *a, inner=kind.repartition: dealt.append(a) or inner(df, *a))
+    seeds = [3, 4, 7]
+    got = {(r.seed, r.model, round(r.score, 9)): (r.pos, r.neg) for r in experiment.seed_score_counts(rows, seeds).collect()}
+    assert max(n for n, *_ in dealt) >= rows.count() / 4
+    want = {}
+    for seed in seeds:
+        every = [r.asDict() for r in rows.withColumn("s", split_expr(F.col("customer"), seed)).collect()]
+        train = [r for r in every if r["s"] == "train"]
+        rate = sum(r["is_late"] for r in train) / len(train) if train else 0.0
+        amounts = [r["amount"] for r in train if r["amount"] is not None]
+        edges = np.quantile(amounts, [.25, .5, .75]) if amounts else None
+        for r in every:
+            a = r["amount"]
+            r["bin"] = 0 if edges is None else 3 if a is None else int((a > edges).sum())
+
+        def te(r, dim):
+            own = [t["is_late"] for t in train if t[dim] == r[dim]]
+            return (sum(own) + 20 * rate) / (len(own) + 20) if own else rate
+
+        for r in (r for r in every if r["s"] == "test"):
+            scores = {"a": sum(te(r, d) for d in ("salesperson", "division", "city")) / 3, "b": (te(r, "customer_group") + te(r, "bin")) / 2}
+            for m, s in scores.items():
+                p, n = want.get((seed, m, round(s, 9)), (0, 0))
+                want[seed, m, round(s, 9)] = (p + r["is_late"], n + 1 - r["is_late"])
+    assert want and got == want
+
+
+def test_ranking_stages_the_counts_once(spark, monkeypatch):
+    """The collapsed scores are one table, whatever reads them: groups' totals are not counted again from the rows."""
+    from arrears.operators import evaluate as ev
+    staged = []
+    for module in (ev, ordered):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, inner=module.cut_lineage: staged.append(df.columns) or inner(df))
+    scored = spark.createDataFrame([("a", i % 2, (i % 7) / 7) for i in range(40)], "model string, y int, score double")
+    out = ev.metric_row(scored, 0.5, by=["model"]).first()
+    assert staged == [["model", "score", "pos", "neg"]]
+    rows = scored.collect()
+    pairs = [(p.score > n.score) + (p.score == n.score) / 2 for p in rows for n in rows if p.y == 1 and n.y == 0]
+    assert out.auc == pytest.approx(sum(pairs) / len(pairs))
