@@ -20,6 +20,7 @@ the application's own checkpoint folder).
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +43,19 @@ def parse(raw: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in (*COLUMNS, records.MALFORMED)])
 
 
-def score_rows(df: DataFrame, fitted: Fitted, scorer) -> DataFrame:
-    """Coerce -> validate -> online features -> scores (null on reject)."""
+def score_rows(df: DataFrame, fitted: Fitted, scorer, features: Sequence[str] | None = None) -> DataFrame:
+    """Coerce -> validate -> online features -> scores (null on reject).  ``features``: those
+    that the scorer reads, if not all; only these are looked up, kept and written."""
     v = batch.validate(batch.coerce(df), strict=True)
-    s = scorer(feat.transform(v, fitted, mode="online"))
+    s = scorer(feat.transform(v, fitted, mode="online", features=features))
     ok = F.col("error").isNull()
     return s.withColumn("score_a", F.when(ok, F.col("score_a"))).withColumn("score_b", F.when(ok, F.col("score_b")))
 
 
-def route_batches(out_dir: str, fitted: Fitted, scorer):
+def route_batches(out_dir: str, fitted: Fitted, scorer, features: Sequence[str] | None = None):
     """R2: accepted / rejected sinks, idempotent per micro-batch."""
     def sink(batch_df: DataFrame, batch_id: int) -> None:
-        scored = score_rows(parse(records.placed(batch_df)), fitted, scorer).persist()
+        scored = score_rows(parse(records.placed(batch_df)), fitted, scorer, features).persist()
         try:
             scored.filter(F.col("error").isNull()).write.mode("overwrite") \
                 .parquet(os.path.join(out_dir, "accepted", f"batch={batch_id}"))
@@ -88,7 +90,7 @@ def window_sink(out_dir: str):
 
 
 def run(spark: SparkSession, source: str, fitted: Fitted, scorer, name: str, threshold: float = 0.5,
-        root: str | None = None, watermark: str = "30 days") -> str:
+        root: str | None = None, watermark: str = "30 days", features: Sequence[str] | None = None) -> str:
     """Run R1-R3 to completion over what is in ``source`` (availableNow) and
     return the output folder.  Rows are scored once; the windows read the accepted sink.
 
@@ -97,8 +99,8 @@ def run(spark: SparkSession, source: str, fitted: Fitted, scorer, name: str, thr
     root = root or os.path.join(checkpoint_dir(spark), "streams", name)
     out = os.path.join(root, "out")
     empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in (*COLUMNS, records.MALFORMED)]))
-    scored = score_rows(empty, fitted, scorer).schema
-    q1 = (records.streamed_lines(spark, source).writeStream.foreachBatch(route_batches(out, fitted, scorer))
+    scored = score_rows(empty, fitted, scorer, features).schema
+    q1 = (records.streamed_lines(spark, source).writeStream.foreachBatch(route_batches(out, fitted, scorer, features))
           .option("checkpointLocation", os.path.join(root, "ckpt_route")).trigger(availableNow=True).start())
     q1.awaitTermination()
     accepted = (spark.readStream.schema(T.StructType([*scored.fields, T.StructField("batch", T.IntegerType())]))

@@ -164,3 +164,21 @@ def test_ranking_stages_the_counts_once(spark, monkeypatch):
     rows = scored.collect()
     pairs = [(p.score > n.score) + (p.score == n.score) / 2 for p in rows for n in rows if p.y == 1 and n.y == 0]
     assert out.auc == pytest.approx(sum(pairs) / len(pairs))
+
+
+def test_stream_keeps_the_features_it_is_asked_for(spark, tables, tmp_path):
+    """Sinks of a stream that names its scorer's features hold no others; scores are the same."""
+    from arrears.sources import batch
+    from arrears.streaming import scoring
+    source, fitted = str(tmp_path / "in"), plans.fitted(spark, tables)
+    plans.base(spark, tables).select(*plans.KEYS, *[F.col(c).alias(h) for c, h in batch.UPLOAD_HEADER.items()],
+                                     F.date_format("invoice_date", "d/M/yyyy").alias("tanggal")).write.option("header", True).csv(source)
+    keys = [*plans.KEYS, "score_a", "score_b"]
+    got = []
+    for name, features in (("all", None), ("some", plans.SCORED)):
+        out = scoring.run(spark, source, fitted, plans.scorecards, name, root=str(tmp_path / name), watermark="3650 days", features=features)
+        rows = spark.read.parquet(f"{out}/accepted")
+        held = [f for f in feat.FEATURES if f in rows.columns and f != "amount"]
+        assert held == [f for f in feat.FEATURES if f != "amount" and (features is None or f in features)]
+        got.append(sorted(map(str, rows.select(*keys).collect())))
+    assert got[0] and got[0] == got[1]
