@@ -182,3 +182,15 @@ def test_stream_keeps_the_features_it_is_asked_for(spark, tables, tmp_path):
         assert held == [f for f in feat.FEATURES if f != "amount" and (features is None or f in features)]
         got.append(sorted(map(str, rows.select(*keys).collect())))
     assert got[0] and got[0] == got[1]
+
+
+def test_records_are_parsed_once_whatever_reads_their_cells(spark, tmp_path):
+    """Conditions on many cells are not moved below the parser, where each cell would parse the record again."""
+    from arrears.sources import batch
+    names = [h for h in batch.UPLOAD_HEADER.values()]
+    good = dict.fromkeys(names, "x") | {"jumlah": "5"}
+    lines = [",".join(r[n] for n in names) for r in (good, good | {"jumlah": "0"}, good | {"kota": ""}, good)] + ["x,y"]
+    (tmp_path / "a.csv").write_text("\n".join([",".join(names), *lines]) + "\n")
+    up = batch.validate(batch.coerce(batch.read_upload(spark, str(tmp_path))), strict=True).where("error is not null")
+    assert up._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert sorted(r.error for r in up.collect()) == ["amount must be > 0", "city is empty", "wrong number of cells"]
