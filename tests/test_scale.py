@@ -194,3 +194,20 @@ def test_records_are_parsed_once_whatever_reads_their_cells(spark, tmp_path):
     up = batch.validate(batch.coerce(batch.read_upload(spark, str(tmp_path))), strict=True).where("error is not null")
     assert up._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
     assert sorted(r.error for r in up.collect()) == ["amount must be > 0", "city is empty", "wrong number of cells"]
+
+
+def test_neighbour_tasks_read_few_units(spark, monkeypatch):
+    """The blocks' pairs grow with the square of the table; so does the number of tasks, not what one reads."""
+    from arrears.operators import knn
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3)).round(1)
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    plain = sorted(map(tuple, knn.knn(points, 4).select("id", "nn_id", "nn_rank").collect()))
+    monkeypatch.setattr(knn, "SMALL_BLOCK", 10)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(knn, "TASK_UNITS", 2)
+    dealt = []
+    for kind in {DataFrame, type(points)}:
+        monkeypatch.setattr(kind, "repartition", lambda df, *a, inner=kind.repartition: dealt.append(a) or inner(df, *a))
+    assert sorted(map(tuple, knn.knn(points, 4).select("id", "nn_id", "nn_rank").collect())) == plain
+    assert [n for n, *_ in dealt] == [41]
