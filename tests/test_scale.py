@@ -82,6 +82,33 @@ def test_single_passes_stage_no_feature_rows(spark, tables):
         assert len(spark.read.parquet(os.path.join(folder, t)).columns) < 40
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_aggregated_features_shuffle_what_their_look_up_reads(spark, tables, limit, monkeypatch):
+    """Bounds and scaler take the features in groups of one shuffled look-up at most; their figures
+    are those of the whole rows."""
+    from arrears.plans import catalog_models, registry
+    import arrears.plans.catalog  # noqa: F401
+    rows, fitted = plans.base(spark, tables), plans.fitted(spark, tables)
+    whole = feat.model_matrix(feat.transform(rows, fitted).where("split = 'train'")).toPandas()
+    monkeypatch.setattr(fitmod, "BROADCAST_MAX_KEYS", limit)
+    monkeypatch.setattr(plans, "_FEATS", {})
+    groups = feat.shuffle_groups(fitted, feat.FEATURES)
+    assert sorted(f for g in groups for f in g) == sorted(feat.FEATURES) and ["amount_pct"] in groups
+    assert len(groups) == (2 if limit else 17)  # all others; or those without a look-up and 15 keys
+    if not limit:  # a plan per group; the queries below take a few of them
+        assert all(_joins(feat.transform(rows, fitted, "offline", g)) <= 1 for g in groups)
+        some = ["amount", "amount_pct", "amount_cust_zscore", "cust_late_rate", "te_sales_div"]
+        monkeypatch.setattr(catalog_models, "FEATURES", [*some, "code_city"])
+        monkeypatch.setattr(catalog_models, "CONT_FEATURES", some)
+    groups = feat.shuffle_groups(fitted, catalog_models.FEATURES)
+    asked = []
+    inner = catalog_models.featurized
+    monkeypatch.setattr(catalog_models, "featurized", lambda *a, **k: asked.append(k["features"]) or inner(*a, **k))
+    got = [r.asDict() for r in registry.QUERIES["a18_feature_bounds"](spark, tables).collect()]
+    assert asked == groups and [r["feature"] for r in got] == catalog_models.FEATURES
+    assert all(r["min"] == whole[r["feature"]].min() and r["max"] == whole[r["feature"]].max() for r in got)
+
+
 def test_fit_caches_no_rows_and_aggregates_once(spark, tables, monkeypatch):
     """The training rows are read as staged, not copied into the executors' caches."""
     train = plans.base(spark, tables).filter("split = 'train'")
