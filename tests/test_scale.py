@@ -107,6 +107,11 @@ def test_aggregated_features_shuffle_what_their_look_up_reads(spark, tables, lim
     got = [r.asDict() for r in registry.QUERIES["a18_feature_bounds"](spark, tables).collect()]
     assert asked == groups and [r["feature"] for r in got] == catalog_models.FEATURES
     assert all(r["min"] == whole[r["feature"]].min() and r["max"] == whole[r["feature"]].max() for r in got)
+    got = registry.QUERIES["a55_scaler_fit"](spark, tables).collect()
+    assert [r.feature for r in got] == catalog_models.CONT_FEATURES and len(asked) > len(groups)
+    for r in got:
+        assert r["mean"] == pytest.approx(whole[r.feature].mean())
+        assert r["scale"] == pytest.approx(whole[r.feature].std(ddof=0) or 1.0, abs=1e-9)
 
 
 def test_fit_caches_no_rows_and_aggregates_once(spark, tables, monkeypatch):
