@@ -114,6 +114,50 @@ def test_aggregated_features_shuffle_what_their_look_up_reads(spark, tables, lim
         assert r["scale"] == pytest.approx(whole[r.feature].std(ddof=0) or 1.0, abs=1e-9)
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """The shuffle files of a staged table's plan are gone when it is written; the setting is as before."""
+    from arrears import session
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in str(found.mkString(" ")).split() if "shuffle_" in f}
+
+    before, conf = files(), spark.conf.get(session.DROP_SHUFFLES, None)
+    df = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    staged = session.cut_lineage(df)
+    assert files() <= before
+    assert spark.conf.get(session.DROP_SHUFFLES, None) == conf
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_bootstrap_salts_only_ties_of_many_rows(spark, monkeypatch):
+    """A tie is dealt over tasks by its own rows, not by the table's; results do not depend on it."""
+    from arrears.operators import compare
+    calls = spark.sparkContext.accumulator(0)
+    inner = compare._bucket_totals
+
+    def counted(*a):
+        run = inner(*a)
+
+        def call(t):
+            calls.add(1)
+            return run(t)
+        return call
+
+    monkeypatch.setattr(compare, "_bucket_totals", counted)
+    rows = spark.range(60_000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+                                      ((F.col("id") * 7919) % 2003 / 2003).alias("score_a"), ((F.col("id") * 31) % 1999 / 1999).alias("score_b"))
+    one = compare.bootstrap(rows, F.col("id"), n_boot=3).collect()
+    few, buckets = calls.value, 2 * (2 * 31 + 1)
+    assert 2 * 32 <= few <= buckets
+    monkeypatch.setattr(compare, "TIE_ROWS", 10)
+    other = compare.bootstrap(rows, F.col("id"), n_boot=3).collect()
+    assert calls.value - few > buckets
+    assert [r.model for r in sorted(one)] == ["a", "b"]
+    for r, s in zip(sorted(one), sorted(other)):
+        assert tuple(r)[:1] == tuple(s)[:1] and tuple(r)[1:] == pytest.approx(tuple(s)[1:])
+
+
 def test_fit_caches_no_rows_and_aggregates_once(spark, tables, monkeypatch):
     """The training rows are read as staged, not copied into the executors' caches."""
     train = plans.base(spark, tables).filter("split = 'train'")
