@@ -45,6 +45,24 @@ def release() -> None:
         pass  # another C library: nothing to trim
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make`` gives, which this worker keeps for its later tasks until another operator's
+    come: then ``forget`` drops it, as one worker serves all stages of a pipeline in turn."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    if _KEPT:
+        _KEPT.clear()
+        release()
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"

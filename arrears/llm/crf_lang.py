@@ -327,6 +327,7 @@ def identify(docs: DataFrame, model: Crf, modulus: int = 4, held: int = 2) -> Da
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         labeller = Labeller(model)
         for b in batches:
             languages, scores = labeller.label(b.column("text").to_pylist())
@@ -346,6 +347,7 @@ def with_language(docs: DataFrame, model: Crf, languages: list[str] | None = Non
     wanted = set(model.languages if languages is None else languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         labeller = Labeller(model)
         for b in batches:
             found, scores = labeller.label([t or "" for t in b.column("text").to_pylist()])

@@ -17,6 +17,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from arrears.llm import common
+
 #: White space as Unicode defines it (Python's \s also takes U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
@@ -150,14 +152,9 @@ class WordBpe(Coder):
         return b"".join(map(self.cache.__getitem__, text.encode().split()))
 
 
-_LOADED: dict = {}
-
-
 def coder(kind, path: str):
-    """One coder per worker process and file."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+    """The coder that this worker process keeps; another kind or file takes its place."""
+    return common.kept((kind, path), lambda: kind(path))
 
 
 def tokenizer_path(name: str) -> str:

@@ -35,6 +35,7 @@ from arrears.llm import common
 ORDERS, SAMPLE, FEATURES, LEAST = (4, 5, 6), 2500, 8192, 4
 ALPHA, PENALTY, STEPS = 1.0, 0.02, 150
 WINDOW = 1 << 18  # characters hashed at a time
+COUNTED = 64  # texts whose n-grams are counted together before Spark adds them up
 TABLE_BITS = 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,7 +125,8 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
     common.small_batches(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        common.forget()
+        for b in (whole.slice(at, COUNTED) for whole in batches for at in range(0, whole.num_rows, COUNTED)):
             texts, y = b.column("text").to_pylist(), b.column("toxic").to_numpy()
             pairs: dict[int, list] = {}
             for h, places, starts in ngrams(texts, ORDERS):
@@ -208,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, s
     model = Model(hashes[order], ratios, 0.0)
 
     def held_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         seen = model.table()
         for batch in batches:
             text, feature = model.present(batch.column("text").to_pylist(), seen)
@@ -233,6 +236,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, held: int = 0) -> Dat
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         seen = model.table()
         for b in batches:
             yield pa.RecordBatch.from_arrays(
@@ -249,6 +253,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         seen = model.table()
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]

@@ -259,3 +259,21 @@ def test_forward_backward_equals_plain_recursion():
         assert np.allclose(sum(a[t + 1] * b[t + 1] / z for t in range(n)), sums[k])
         total += sum((np.outer(a[t], e[t] * b[t + 1]) * step / z for t in range(1, n)), np.zeros((3, 3)))
     assert np.allclose(total, moves)
+
+
+def test_a_worker_keeps_one_operators_caches():
+    first = common.kept("a", list)
+    assert common.kept("a", list) is first
+    assert common.kept("b", dict) == {} and list(common._KEPT) == ["b"]
+    common.forget()
+    assert not common._KEPT
+
+
+def test_ngrams_are_counted_a_few_texts_at_a_time(spark):
+    made = [(f"text {k % 7} of many", k % 2) for k in range(3 * toxicity.COUNTED)]
+    rows = spark.createDataFrame(made, "text string, toxic int").coalesce(1)
+    held: dict = {}
+    for text, y in made:
+        for gram in {int(x) for h, *_ in toxicity.ngrams([text], toxicity.ORDERS) for x in h.view(np.int64)}:
+            held.setdefault(gram, [0, 0])[1 - y] += 1
+    assert sorted(map(tuple, toxicity.ngram_counts(rows).collect())) == sorted((g, a, b) for g, (a, b) in held.items())
