@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arrears.llm import common
-from arrears.llm.tokens import ByteBpe, coder
+from arrears.llm.tokens import ByteBpe, coder, grouped
 
 MAGIC = b"TKST"
 NO_ID = -(1 << 63)
@@ -68,7 +68,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, total: int) -> bytes:
         c = coder(ByteBpe, tokenizer)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([pack(np.frombuffer(c.encode(x), "<u4"))[:SAMPLE_BYTES] for x in b.column("text").to_pylist()],
+                [pa.array([pack(np.frombuffer(x, "<u4"))[:SAMPLE_BYTES] for x in c.encode_all(b.column("text"))],
                           pa.binary())], names=["raw"])
 
     some = sample(docs, total).select("text")
@@ -95,6 +95,7 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, end_id: int) -> DataF
         from pyspark import TaskContext
         c, end = coder(ByteBpe, tokenizer), array("I", [end_id]).tobytes()
         press = zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        batches = grouped(batches)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -105,8 +106,8 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str, end_id: int) -> DataF
             at = out.write(MAGIC + hashlib.sha256(dictionary).digest())
             for b in [first], batches:
                 for batch in b:
-                    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                        tokens = np.frombuffer(c.encode(text) + end, "<u4")
+                    for doc, found in zip(batch.column("doc_id").to_pylist(), c.encode_all(batch.column("text"))):
+                        tokens = np.frombuffer(found + end, "<u4")
                         ids.append(NO_ID if doc is None else doc)
                         offsets.append(at)
                         counts.append(len(tokens))

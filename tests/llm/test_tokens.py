@@ -7,10 +7,11 @@ from array import array
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from arrears.llm import bpe_dp, common, packing, queries, token_store
+from arrears.llm import bpe_dp, common, packing, queries, token_store, tokens
 from arrears.llm.tokens import ByteBpe, WordBpe, tokenizer_path
 from tests.conftest import SMALL
 
@@ -173,3 +174,41 @@ def test_op8_dictionary_sample_is_of_the_whole_table(spark):
     assert 800 < len(ids) <= 2 * token_store.SAMPLE_DOCS
     assert all(0.15 < sum(q <= i // 10_000 < q + 1 for i in ids) / len(ids) < 0.35 for q in range(4))
     assert token_store.sample(docs.limit(50), 50).count() == 50
+
+
+def test_groups_equal_the_library_whatever_their_size_and_caches(whole, monkeypatch):
+    found = [*texts(200, 7), "Hand, été!\nGroß́ \nline, x_y a'b", "naïve naïve, NAÏVE?! Ÿ\n\n end \n"]
+    for kind, path in ((ByteBpe, BYTE), (WordBpe, WORD)):
+        want = [ids_of(whole[path], t) for t in found]
+        for size in (1, 100, 1 << 22):
+            monkeypatch.setattr(tokens, "GROUP_BYTES", size)
+            c = kind(path)
+            c.words.cap, c.cache.cap, c.marks.cap = 9, 5, 3
+            assert list(c.encode_all(pa.array([None, *found], pa.string()).slice(1))) == want
+            c.at_edge[:] = False  # a vocabulary without marked edges: word by word
+            assert list(c.encode_all(found)) == want
+
+
+def test_new_words_of_a_group_go_to_the_library_in_one_call():
+    c = WordBpe(WORD)
+    model, calls = c.model, []
+
+    class Counting:
+        def encode(self, *args, **kwargs):
+            calls.append("one")
+            return model.encode(*args, **kwargs)
+
+        def encode_batch_fast(self, *args, **kwargs):
+            calls.append("many")
+            return model.encode_batch_fast(*args, **kwargs)
+
+    c.model = Counting()
+    assert len(list(c.encode_all([f"Abc{chr(97 + k % 26)}{chr(97 + k // 26)}, ähn{chr(97 + k // 26)}" for k in range(500)]))) == 500
+    assert calls == ["many"]
+
+
+def test_grouped_batches_hold_all_rows_in_order():
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array(["x" * 50 * k])], names=["doc_id", "text"]) for k in range(9)]
+    out = list(tokens.grouped(iter(batches), 300))
+    assert [x for b in out for x in b.column("doc_id").to_pylist()] == list(range(9)) and 1 < len(out) < 9
+    assert list(tokens.grouped(iter([]))) == []
