@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arrears.llm import common
-from arrears.llm.tokens import WordBpe, as_u32, coder
+from arrears.llm.tokens import WordBpe, as_u32, coder, grouped
 
 #: Classes of the linear program, rounds of multiplicative weights, and the share of its
 #: demand by which a round covers the scarcest class of its pattern.
@@ -42,10 +42,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, end = coder(WordBpe, tokenizer), as_u32([end_id])
-        for b in batches:
+        for b in grouped(batches):
             out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = c.encode(text) + end
+            for doc, ids in zip(b.column("doc_id").to_pylist(), c.encode_all(b.column("text"))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
