@@ -35,7 +35,6 @@ from arrears.llm import common
 ORDERS, SAMPLE, FEATURES, LEAST = (4, 5, 6), 2500, 8192, 4
 ALPHA, PENALTY, STEPS = 1.0, 0.02, 150
 WINDOW = 1 << 18  # characters hashed at a time
-COUNTED = 64  # texts whose n-grams are counted together before Spark adds them up
 TABLE_BITS = 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,23 +125,19 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.forget()
-        for b in (whole.slice(at, COUNTED) for whole in batches for at in range(0, whole.num_rows, COUNTED)):
+        for b in batches:
             texts, y = b.column("text").to_pylist(), b.column("toxic").to_numpy()
-            pairs: dict[int, list] = {}
-            for h, places, starts in ngrams(texts, ORDERS):
+            for h, places, starts in ngrams(texts, ORDERS):  # handed over window by window: Spark adds them up
                 text = np.searchsorted(starts, places, "right") - 1
                 order = np.lexsort((h, text))
                 h, text = h[order], text[order]
                 once = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])) if len(h) else np.zeros(0, bool)
-                for label in (0, 1):
-                    pairs.setdefault(label, []).append(h[once & (y[text] == label)])
-            grams = np.concatenate([np.zeros(0, np.uint64), *pairs.get(0, []), *pairs.get(1, [])])
-            of = np.repeat([0, 1], [sum(map(len, pairs.get(k, []))) for k in (0, 1)])
-            distinct, inverse = np.unique(grams, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(distinct.view(np.int64)),
-                 *(pa.array(np.bincount(inverse[of == k], minlength=len(distinct)).astype(np.int64)) for k in (1, 0))],
-                names=["gram", "toxic", "clean"])
+                grams, of = h[once], y[text[once]]
+                distinct, inverse = np.unique(grams, return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(distinct.view(np.int64)),
+                     *(pa.array(np.bincount(inverse[of == k], minlength=len(distinct)).astype(np.int64)) for k in (1, 0))],
+                    names=["gram", "toxic", "clean"])
         common.release()
 
     return rows.mapInArrow(count, "gram long, toxic long, clean long").groupBy("gram").agg(

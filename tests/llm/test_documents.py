@@ -269,8 +269,8 @@ def test_a_worker_keeps_one_operators_caches():
     assert not common._KEPT
 
 
-def test_ngrams_are_counted_a_few_texts_at_a_time(spark):
-    made = [(f"text {k % 7} of many", k % 2) for k in range(3 * toxicity.COUNTED)]
+def test_ngrams_handed_over_by_windows_add_up(spark):
+    made = [(f"text {k % 7} of many", k % 2) for k in range(200)]
     rows = spark.createDataFrame(made, "text string, toxic int").coalesce(1)
     held: dict = {}
     for text, y in made:
