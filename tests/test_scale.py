@@ -287,3 +287,45 @@ def test_neighbour_tasks_read_few_units(spark, monkeypatch):
         monkeypatch.setattr(kind, "repartition", lambda df, *a, inner=kind.repartition: dealt.append(a) or inner(df, *a))
     assert sorted(map(tuple, knn.knn(points, 4).select("id", "nn_id", "nn_rank").collect())) == plain
     assert [n for n, *_ in dealt] == [41]
+
+
+@pytest.fixture
+def dealt(spark, tables, monkeypatch):
+    """The same tables with rows in every split."""
+    from arrears import constants as K
+    from arrears.plans import catalog_models
+    from arrears.sources.tables import version
+    for kept in ("_BASES", "_FITS", "_FEATS"):
+        monkeypatch.setattr(plans, kept, {})
+    monkeypatch.setattr(catalog_models, "_MODELS", {})
+    split = F.array(F.lit("train"), F.lit("val"), F.lit("test"))[(F.col("order_key") % 3).cast("int")]
+    plans._BASES[version(spark, tables), K.FIXTURE_SEED] = plans.base(spark, tables).withColumn("split", split)
+    return tables
+
+
+@pytest.mark.parametrize("name", ["m01_tree_walk", "m03_additivity", "m02_tiny_network"])
+def test_small_models_stage_no_feature_rows(spark, dealt, name):
+    """A stated small model reads the features that it names, and no feature row is written for it."""
+    from arrears.plans import registry
+    import arrears.plans.catalog  # noqa: F401
+    plans.fitted(spark, dealt)
+    folder = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "tables")
+    before = set(os.listdir(folder))
+    lean = sorted(map(tuple, registry.QUERIES[name](spark, dealt).collect()))
+    assert set(os.listdir(folder)) == before and not plans._FEATS and lean
+    plans.featurized(spark, dealt)
+    assert sorted(map(tuple, registry.QUERIES[name](spark, dealt).collect())) == lean
+
+
+def test_queries_wait_for_the_models_that_they_name(spark, dealt, monkeypatch):
+    """A query fits its own models, once; the network of seeded weights needs none of them."""
+    from arrears.operators import mlp, trees
+    from arrears.plans import registry
+    import arrears.plans.catalog  # noqa: F401
+    fits = []
+    monkeypatch.setattr(trees, "train", lambda *a, kind, inner=trees.train, **k: fits.append(kind) or inner(*a, kind=kind, **k))
+    monkeypatch.setattr(mlp, "train_perceptron", lambda *a, inner=mlp.train_perceptron, **k: fits.append("mlp") or inner(*a, **k))
+    for name, fitted in (("m02_mlp_scores", []), ("m01_tree_scores", ["gbt"]), ("m03_tree_contributions", ["gbt"]),
+                         ("m12_perceptron", ["gbt", "mlp"]), ("m11_tree_importances", ["gbt", "mlp", "rf"])):
+        assert registry.QUERIES[name](spark, dealt).count() > 0
+        assert fits == fitted
