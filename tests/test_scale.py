@@ -329,3 +329,34 @@ def test_queries_wait_for_the_models_that_they_name(spark, dealt, monkeypatch):
                          ("m12_perceptron", ["gbt", "mlp"]), ("m11_tree_importances", ["gbt", "mlp", "rf"])):
         assert registry.QUERIES[name](spark, dealt).count() > 0
         assert fits == fitted
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_neighbours_by_cells_are_those_of_the_blocks(spark, monkeypatch, kind):
+    """The same neighbours in the same order, ties, copies, rows that repeat and own ids included, for all
+    rows and for some of them; cells that cannot hold a nearer row are not read."""
+    from arrears.operators import knn
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(20, 4))[rng.integers(0, 20, 700)] * 40 + rng.integers(0, 4, (700, 4)), np.zeros((60, 4))])
+    rows = [(i if kind == "long" else f"r{i}", [float(v) for v in r]) for i, r in enumerate(x)]
+    points = spark.createDataFrame(rows + rows[:9], f"id {kind}, vec array<double>")
+    some = points.where(F.col("id").isin([r[0] for r in rows[::7]])).withColumn("vec", F.transform("vec", lambda v: v + 1))
+    want = [sorted(map(tuple, knn.knn(p.dropDuplicates(["id"]), 6, candidates=c).collect()))
+            for c in [points.dropDuplicates(["id"])] for p in (points, some)]
+    assert len(want[0]) == 6 * 760
+    monkeypatch.setattr(knn, "CELL_PAIRS", 1)
+    monkeypatch.setattr(knn, "PIECE_ROWS", 16)
+    monkeypatch.setattr(knn, "GROUP_ROWS", 8)
+    monkeypatch.setattr(knn, "VISIT_ROWS", 20)
+    monkeypatch.setattr(knn, "_search", None)
+    assert sorted(map(tuple, knn.knn(points, 6).collect())) == want[0]
+    assert sorted(map(tuple, knn.knn(points, 6, candidates=points).collect())) == want[0]
+    assert sorted(map(tuple, knn.knn(some, 6, candidates=points).collect())) == want[1]
+    c = np.array([[0.0], [10.0], [100.0]])
+    read, ids = [], [np.arange(5 * i, 5 * i + 5) for i in range(3)]
+    held = [knn.pa.RecordBatch.from_arrays([knn.pa.array(n), knn.pa.FixedSizeListArray.from_arrays(knn.pa.array(v + n / 10.0), 1), knn.pa.array((v + n / 10.0) ** 2)],
+                                           names=["id", "vec", "norm"]) for n, v in zip(ids, (0.0, 10.0, 100.0))]
+    got = knn._nearest(np.array([[0.0]]), knn.pa.array([0]), 0, c, (c * c).sum(1), np.arange(3), np.full(3, 5), np.array([.4, .9, 1.4]),
+                       lambda i: read.append(i) or held[i], 3, 5)
+    assert read == [0]
+    assert got["nn_id"].to_pylist() == [1, 2, 3]
