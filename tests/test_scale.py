@@ -360,3 +360,45 @@ def test_neighbours_by_cells_are_those_of_the_blocks(spark, monkeypatch, kind):
                        lambda i: read.append(i) or held[i], 3, 5)
     assert read == [0]
     assert got["nn_id"].to_pylist() == [1, 2, 3]
+
+
+def test_masked_quantiles_are_exact_and_sketch_once(spark, monkeypatch):
+    """Every bit's quantiles are numpy's, many equal and missing values included, from one sketch."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.lognormal(size=900), np.full(600, 1.25), [0.0, 9.5]])
+    mask = rng.integers(0, 8, len(v)) * 2  # nothing has bit 0
+    rows = spark.createDataFrame([(float(a), int(m)) for a, m in zip(v, mask)] + [(None, 15), (float("nan"), 15)], "amount double, m long")
+    sketched = []
+    monkeypatch.setattr(ordered, "boundaries", lambda *a, inner=ordered.boundaries: sketched.append(1) or inner(*a))
+    got = ordered.masked_quantiles(rows, "m", 4, "amount", [0.25, 0.5, 0.9], accuracy=320)
+    assert len(sketched) == 1 and got[0] == [None] * 3
+    for i in (1, 2, 3):
+        assert got[i] == [float(q) for q in np.quantile(v[(mask >> i & 1) == 1], [0.25, 0.5, 0.9])]
+
+
+def test_a_customer_is_hashed_once(spark, tables):
+    """Masks are those of the rows' own splits, a missing customer's too, from as many hashed rows as customers."""
+    from arrears.operators import experiment
+    from arrears.operators.split import split_expr
+    rows = plans.base(spark, tables).withColumn("customer", F.when(F.col("customer") != "3", F.col("customer")))
+    got = experiment.placed(rows, [3, 4, 7], ["train", "val", "test"], ["order_key", "line_no", "customer"])
+    for r in got.join(rows.select("order_key", "line_no", *[split_expr(F.col("customer"), s).alias(f"s{s}") for s in (3, 4, 7)]),
+                      ["order_key", "line_no"]).collect():
+        for split in ("train", "val", "test"):
+            assert r[split] == sum(1 << i for i, s in enumerate((3, 4, 7)) if r[f"s{s}"] == split)
+    assert got.count() == rows.count()
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_seeds_leave_their_counts_only(spark, tables):
+    """What a seed trains on is removed with it."""
+    from arrears.operators import training
+    from arrears.operators.clean import late_flag
+    clean = plans.base(spark, tables).withColumn("id", F.concat_ws("-", *plans.KEYS))
+    group = training.Seeds(clean, late_flag("age_days", 630), [3])
+    group.rare()
+    folder = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "tables")
+    before = set(os.listdir(folder))
+    counts = group.counts(0, dict(n_trees=1, max_depth=2), 2)
+    kept = [set(spark.read.parquet(os.path.join(folder, t)).columns) for t in set(os.listdir(folder)) - before]
+    assert "score" in counts.columns and kept and not any("log_amount" in c or "vec" in c for c in kept)
