@@ -402,3 +402,40 @@ def test_seeds_leave_their_counts_only(spark, tables):
     counts = group.counts(0, dict(n_trees=1, max_depth=2), 2)
     kept = [set(spark.read.parquet(os.path.join(folder, t)).columns) for t in set(os.listdir(folder)) - before]
     assert "score" in counts.columns and kept and not any("log_amount" in c or "vec" in c for c in kept)
+
+
+def test_search_fits_equal_settings_once(spark, monkeypatch):
+    """Settings that are one model with one tree are fitted once, and each has the score of its own fit."""
+    from pyspark.ml.feature import VectorAssembler
+    from arrears.operators import evaluate as ev
+    from arrears.operators import training, trees
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), int(a + b + e > 0)) for a, b, e in rng.normal(size=(300, 3))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    found = [training.Candidate("gbt", 2, False, .05), training.Candidate("gbt", 2, False, .3), training.Candidate("rf", 2, False, .05), training.Candidate("gbt", 3, False, .3)]
+    fits = []
+    monkeypatch.setattr(trees, "fit", lambda *a, inner=trees.fit, **k: fits.append((a[1], k["max_depth"], k["n_trees"], k["step"])) or inner(*a, **k))
+    trace = training.search(df, df, ["a", "b"], found, rungs=(1, 3), keep=1.0).collect()
+    assert len(trace) == 8 and sorted(fits) == sorted([("gbt", 2, 1, .05), ("rf", 2, 1, .05), ("gbt", 3, 1, .3)] + [(c.kind, c.max_depth, 3, c.step) for c in found])
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="_features").transform(df).selectExpr("_features", "double(y) AS _label").coalesce(1)
+    c = found[1]
+    alone = trees.TreeScorer(trees.node_table(spark, trees.fit(data, c.kind, None, n_trees=1, max_depth=2, step=c.step)))
+    scored = training.long_scores(df, {"x": alone}, ["a", "b"], ["y"])
+    assert [r.val_auc for r in trace if (r.rung, r.candidate) == (0, 1)] == pytest.approx([ev.auc(scored, by=["model"]).first()["auc"]])
+
+
+def test_strategies_share_their_neighbours(spark, monkeypatch):
+    """Four searches serve all strategies, and each has the rows that it has alone."""
+    from arrears.operators import knn, resample
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(30, 3)), rng.normal(size=(90, 3)) + 1])
+    p = spark.createDataFrame([(i, [float(a) for a in v], int(i < 30)) for i, v in enumerate(x)], "id long, vec array<double>, y int")
+    smote = resample.augment(p, resample.smote(p))
+    alone = {"smote": smote, "adasyn": resample.augment(p, resample.adasyn(p)), "borderline_smote": resample.augment(p, resample.borderline_smote(p)),
+             "smote_tomek": resample.tomek_clean(smote), "original": resample.augment(p, resample.smote(p).limit(0))}
+    alone = {n: sorted((r.id, *r.vec) for r in d.collect()) for n, d in alone.items()}
+    searches = []
+    monkeypatch.setattr(knn, "knn", lambda *a, inner=knn.knn, **k: searches.append(1) or inner(*a, **k))
+    made = resample.strategies(p)
+    assert {n: sorted((r.id, *r.vec) for r in made[n].collect()) for n in alone} == alone
+    assert len(made) == 7 and len(searches) == 4
